@@ -114,8 +114,10 @@ def new_members(candidates: DataFrame, existing: DataFrame | None, key: str) ->
     combine before the shuffle.
     """
     others = [c for c in candidates.columns if c != key]
-    distinct = candidates.groupBy(key).agg(*[F.first(c).alias(c) for c in others])
-    distinct = distinct.select(*candidates.columns)
+    distinct = candidates.select(key).distinct()
+    if others:
+        distinct = candidates.groupBy(key).agg(*[F.first(c).alias(c) for c in others])
+        distinct = distinct.select(*candidates.columns)
     if existing is None:
         return distinct
     return distinct.join(existing.select(key), key, "left_anti")

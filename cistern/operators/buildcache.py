@@ -129,8 +129,8 @@ def missing_at_top(stacks: DataFrame, top: DataFrame) -> DataFrame:
     return complete.join(top.select("hash").distinct(), "hash", "left_anti")
 
 
-def missing_summary(missing: DataFrame) -> DataFrame:
-    """Per hash the stacks that offer it, and how many hashes are missing in all.
+def missing_summary(missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per hash the stacks that offer it, and one row with the number of missing hashes.
 
     A hash gathers at most one entry per stack, however many rows name it.
     """
@@ -138,8 +138,7 @@ def missing_summary(missing: DataFrame) -> DataFrame:
     listed = per_hash.select(
         "hash", F.concat_ws(",", F.array_sort("stacks")).alias("viable_stacks")
     )
-    total = missing.agg(F.count_distinct("hash").alias("total_missing"))
-    return listed.crossJoin(F.broadcast(total))
+    return listed, per_hash.agg(F.count(F.lit(1)).alias("total_missing"))
 
 
 def publish_plan(missing: DataFrame, ref: str, version: int = 3) -> DataFrame:

@@ -332,7 +332,6 @@ def empty_rows(name: str, like: DataFrame) -> DataFrame:
                 ),
                 "gitlab_runner_version": F.lit(""),
                 "ref": F.lit(""),
-                "tags": F.array().cast("array<string>"),
             }
         ],
         "dim_job_result": [
@@ -375,7 +374,6 @@ def empty_rows(name: str, like: DataFrame) -> DataFrame:
                 "platform": F.lit(""),
                 "host": F.lit(""),
                 "arch": F.lit(""),
-                "tags": F.array().cast("array<string>"),
                 "in_cluster": F.lit(False),
             }
         ],
@@ -388,7 +386,11 @@ def empty_rows(name: str, like: DataFrame) -> DataFrame:
     for member in members.get(name, []):
         row = one.select(
             *[
-                member.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                (
+                    F.array().cast("array<string>")
+                    if f.dataType.typeName() == "array"
+                    else member.get(f.name, F.lit(None)).cast(f.dataType)
+                ).alias(f.name)
                 for f in like.schema.fields
             ]
         )
