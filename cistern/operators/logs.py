@@ -280,7 +280,7 @@ def drop_info_logs(df: DataFrame, severity: str = "severity") -> DataFrame:
 
 def distinct_variants(specs: DataFrame, col: str = "variants") -> DataFrame:
     found = F.regexp_extract_all(F.col(col), F.lit(fixed.VARIANT), F.lit(1))
-    return specs.select(F.trim(F.explode(found)).alias("variant")).distinct()
+    return specs.select(F.explode(found).alias("v")).select(F.trim("v").alias("variant")).distinct()
 
 
 def event_tags(df: DataFrame) -> DataFrame:

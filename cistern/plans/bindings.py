@@ -112,7 +112,7 @@ BINDINGS: dict[str, tuple[str, dict[str, Expr]]] = {
             "compiler_name": "case when p_size % 4 = 0 then '' else p_brand end",
             "compiler_version": "case when p_size % 4 = 0 then '' else '12' end",
             "arch": "p_type",
-            "variants": "concat('+shared~', p_name, ' build=', p_brand)",
+            "variants": "concat('+shared~', p_name, ' patches=', p_size, ' build=', p_brand)",
             "known": "p_partkey % 5 <> 0",
         },
     ),

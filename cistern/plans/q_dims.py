@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import dims, warehouse
+from ..sources.scratch import stage
 from .bindings import bind
 from .common import BINDINGS, ENRICHED_SQL, JOB_TYPE_SQL, enriched, job_rows, key_sql, runner_rows
 from .registry import query
@@ -304,7 +305,8 @@ def build_dim_timer_phase(spark, sf):
     "ci_runners",
 )
 def with_empty_rows(spark, sf):
-    tables = warehouse.build_dimensions(enriched(spark, sf), runner_rows(spark, sf))
+    jobs = stage(enriched(spark, sf), "jobs")
+    tables = warehouse.build_dimensions(jobs, runner_rows(spark, sf))
     out = None
     for name in ("dim_stack_job", "dim_package", "dim_runner", "dim_timer_data", "dim_node"):
         row = tables[name].agg(F.count(F.lit(1)).alias("members"))

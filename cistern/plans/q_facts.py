@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import dims, facts, warehouse
+from ..sources.scratch import stage
 from .bindings import bind
 from .common import (
     BINDINGS,
@@ -91,8 +92,8 @@ _PKG = "named_struct('name', {0}, 'hash', {1}, 'version', {2}, 'compiler_name',
     "job_info_cascade",
     """, j as (select build_id as job_id, build_name as name, build_status as status,
       regexp_matches(build_stage, '^stage-\\d+$') as is_build,
-      build_id % 3 = 0 as m, case when build_id % 15 = 0 then 'label_x' end as ml,
-      build_id % 4 <> 0 as a, case when build_id % 8 = 1 then 'VAR' end as av from b_jobs),
+      in_cluster as m, case when build_id % 5 = 0 then 'label_x' end as ml,
+      ref <> 'develop' as a, case when build_id % 8 = 1 then 'VAR' end as av from b_jobs),
     s as (select *, case when m and is_build and ml is not null then 'reject' when m then 'metrics'
       when not is_build then 'none' when a and av is not null then 'reject' when a then 'artifacts'
       when status = 'failed' then 'name' else 'reject' end as source,
@@ -113,23 +114,27 @@ def job_info_cascade(spark, sf):
         F.col("build_name").alias("name"),
         F.col("build_status").alias("status"),
         F.col("build_stage").rlike(fixed.BUILD_STAGE).alias("is_build"),
+        "in_cluster",
+        "ref",
     )
     misc = "named_struct('stack', 's', 'job_size', 'small', 'build_jobs', 4)"
-    metrics = rows.where("job_id % 3 = 0").selectExpr(
+    metrics = rows.where("in_cluster").selectExpr(
         "job_id",
-        "case when job_id % 15 = 0 then 'label_x' end AS missing_label",
+        "case when job_id % 5 = 0 then 'label_x' end AS missing_label",
         _PKG.format("'m'", "'h'", "'1'") + " AS package",
         misc + " AS misc",
         "named_struct('name', 'pod') AS pod",
         "named_struct('name', 'node') AS node",
     )
-    artifacts = rows.where("job_id % 4 <> 0").selectExpr(
+    artifacts = rows.where("ref <> 'develop'").selectExpr(
         "job_id",
         "case when job_id % 8 = 1 then 'VAR' end AS missing_variable",
         _PKG.format("'a'", "'h'", "'1'") + " AS package",
         misc + " AS misc",
     )
-    info, rejects = facts.job_info_cascade(rows, metrics, artifacts)
+    info, rejects = facts.job_info_cascade(
+        rows.drop("in_cluster", "ref"), metrics, artifacts
+    )
     none = F.lit(None).cast("string")
     named = F.when(F.col("info_source") == "name", F.col("package.hash"))
     return info.select(
@@ -326,7 +331,8 @@ def build_fact_timer_phase(spark, sf):
     *BINDINGS,
 )
 def star_join(spark, sf):
-    tables, fact = warehouse.build_warehouse(enriched(spark, sf), runner_rows(spark, sf))
+    jobs = stage(enriched(spark, sf), "jobs")
+    tables, fact = warehouse.build_warehouse(jobs, runner_rows(spark, sf))
     used = {n: tables[n] for n in ("dim_date", "dim_job_result")}
     joined = facts.star_join(fact, used)
     return joined.groupBy(
