@@ -1 +1,516 @@
+"""Sources and sinks: the given tables written in a source's format and read back."""
 
+from contextlib import contextmanager
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import facts, logs, warehouse
+from ..sources import readers, writers
+from ..sources.scratch import scratch_path, stage
+from .bindings import BINDINGS as BOUND
+from .bindings import bind, table
+from .common import BINDINGS, DUCK_TS, ENRICHED_SQL, enriched, reason_sql, runner_rows, ts_text
+from .q_buildcache import REFS_SQL, cache_entries
+from .q_buildcache import NOW_SQL, keep_hashes
+from .q_logs import FLAGS_SQL, classified
+from .registry import query
+
+AS_OF = datetime(2024, 1, 25)
+AS_OF_SQL = "timestamp '2024-01-25 00:00:00'"
+
+
+def write_documents(rows, by: str, path: str) -> str:
+    """One text file per value of `by`, its lines in the order of `ord`.
+
+    rows: by, ord, value. A document is one file by its format, so its lines meet in one task.
+    """
+    spread = rows.repartition(F.col(by)).sortWithinPartitions(by, "ord")
+    spread.select(by, "value").write.partitionBy(by).text(path)
+    return path
+
+
+@contextmanager
+def few_listing_tasks(spark):
+    """The fixtures are many small folders; list them in a few tasks instead of one per folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def framed(rows, by: str, head: str, foot: str):
+    """The rows of each document between a first and a last line."""
+    ends = rows.select(by).distinct()
+    line = lambda n, text: ends.select(by, F.lit(n).alias("ord"), F.lit(text).alias("value"))
+    body = rows.select(by, F.lit(1).alias("ord"), "value")
+    return line(0, head).unionByName(body).unionByName(line(2, foot))
+
+
+def event_rows(spark, sf):
+    """The jobs binding as webhook events."""
+    rows = bind(spark, sf, "jobs")
+    text = lambda c: F.concat(ts_text(c), F.lit(" UTC"))
+    from ..operators import pipelines
+
+    rows = pipelines.failure_reason_name(rows)
+    return rows.select(
+        "object_kind", "build_id", "build_name", "build_stage", "build_status",
+        "build_failure_reason", text("started_at").alias("build_created_at"),
+        text("started_at").alias("build_started_at"), F.lit(None).cast("string").alias("build_finished_at"),
+        F.col("duration_seconds").alias("build_duration"), "ref", "pipeline_id",
+        F.lit(57).cast("bigint").alias("project_id"),
+        F.struct(
+            F.col("runner_id").alias("id"), F.lit("uo-x").alias("description"),
+            F.array("tag").alias("tags"),
+        ).alias("runner"),
+        F.when(
+            F.col("source_id").isNotNull(), F.struct(F.col("source_id").alias("pipeline_id"))
+        ).alias("source_pipeline"),
+    )
+
+
+def write_events(spark, sf) -> str:
+    path = scratch_path(spark, "events")
+    event_rows(spark, sf).write.json(path)
+    return path
+
+
+@query(
+    "read_job_events",
+    f"""select build_id, object_kind, build_name, build_stage, build_status,
+      {reason_sql('failure_code')} as build_failure_reason,
+      strftime(started_at, {DUCK_TS}) || ' UTC' as build_started_at, runner_id, tag,
+      source_id as source_pipeline_id from b_jobs""",
+    "jobs",
+)
+def read_job_events(spark, sf):
+    events = readers.read_job_events(spark, write_events(spark, sf))
+    return events.select(
+        "build_id", "object_kind", "build_name", "build_stage", "build_status",
+        "build_failure_reason", "build_started_at", F.col("runner.id").alias("runner_id"),
+        F.get("runner.tags", F.lit(0)).alias("tag"),
+        F.col("source_pipeline.pipeline_id").alias("source_pipeline_id"),
+    )
+
+
+CI = {
+    "builds": "ci_builds", "stages": "ci_stages", "pipelines": "ci_pipelines",
+    "runners": "ci_runners", "runner_taggings": "ci_taggings", "tags": "ci_tags",
+    "users": "ci_users", "projects": "ci_projects", "pipeline_links": "ci_links",
+    "builds_metadata": "ci_metadata", "job_definition_instances": "ci_instances",
+    "job_definitions": "ci_definitions",
+}
+
+
+def _first(name: str) -> str:
+    return next(iter(BOUND[name][1]))
+
+
+@query(
+    "read_ci_tables",
+    " union all ".join(
+        f"select '{t}' as \"table\", count(*) as n, cast(sum({_first(b)}) as bigint) as total from b_{b}"
+        for t, b in CI.items()
+    ),
+    *CI.values(),
+)
+def read_ci_tables(spark, sf):
+    path = scratch_path(spark, "ci")
+    for name, binding in CI.items():
+        bind(spark, sf, binding).write.parquet(f"{path}/{name}")
+    out = None
+    for name, df in readers.read_ci_tables(spark, path).items():
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(_first(CI[name])).cast("bigint").alias("total")
+        ).select(F.lit(name).alias("table"), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("read_job_traces", "select job_id, md5(trace || chr(10)) as digest from b_traces", "traces")
+def read_job_traces(spark, sf):
+    rows = bind(spark, sf, "traces").select(
+        F.col("job_id").alias("job"), F.lit(0).alias("ord"), F.col("trace").alias("value")
+    )
+    path = write_documents(rows, "job", scratch_path(spark, "traces"))
+    with few_listing_tasks(spark):
+        traces = readers.read_job_traces(spark, f"{path}/*/*", r"job=([0-9]+)/")
+    return traces.select("job_id", F.md5("trace").alias("digest"))
+
+
+@query(
+    "read_error_csv",
+    f"""select id, name, strftime(created_at, {DUCK_TS}) as created_at, runner, stage, ref, api_link
+      from b_errors""",
+    "errors",
+)
+def read_error_csv(spark, sf):
+    path = scratch_path(spark, "errors")
+    bind(spark, sf, "errors").write.option("header", True).csv(path)
+    rows = readers.read_error_csv(spark, path)
+    return rows.select(
+        "id", "name", ts_text("created_at").alias("created_at"), "runner", "stage", "ref",
+        "api_link",
+    )
+
+
+@query(
+    "read_series",
+    "select pod, kind as metric, round(ts, 3) as ts, round(value, 4) as value from b_samples",
+    "samples",
+)
+def read_series(spark, sf):
+    rows = bind(spark, sf, "samples")
+    series = F.struct(
+        F.create_map(F.lit("__name__"), F.col("kind"), F.lit("pod"), F.col("pod")).alias("metric"),
+        F.array(F.array(F.col("ts").cast("string"), F.col("value").cast("string"))).alias("values"),
+    )
+    answer = F.to_json(F.struct(F.struct(F.array(series).alias("result")).alias("data")))
+    path = scratch_path(spark, "series")
+    rows.select(answer.alias("value")).write.text(path)
+    out = readers.read_series(spark, path)
+    return out.select(
+        F.try_element_at("labels", F.lit("pod")).alias("pod"), "metric",
+        F.round("ts", 3).alias("ts"), F.round("value", 4).alias("value"),
+    )
+
+
+@query(
+    "read_pipeline_vars",
+    """select name || '@' || version || ' /' || hash as job_name, name as package_name,
+      hash as package_hash, arch, 'stack' || substr(version, 3) as stack,
+      case when known then 8 end as build_jobs,
+      case when compiler_name = '' then 'SPACK_JOB_SPEC_COMPILER_NAME' end as missing_variable
+      from b_specs""",
+    "specs",
+)
+def read_pipeline_vars(spark, sf):
+    rows = bind(spark, sf, "specs")
+    pair = lambda key, value: F.concat(F.lit(f"    {key}: \""), value, F.lit("\"\n"))
+    v = fixed.REQUIRED_JOB_VARIABLES
+    sources = {
+        "package_hash": "hash", "package_name": "name", "package_version": "version",
+        "compiler_version": "compiler_version", "arch": "arch", "package_variants": "variants",
+    }
+    block = F.concat(
+        F.lit("\""), F.col("name"), F.lit("@"), F.col("version"), F.lit(" /"), F.col("hash"),
+        F.lit("\":\n  variables:\n"), *[pair(v[k], F.col(c)) for k, c in sources.items()],
+        pair(v["job_size"], F.lit("small")),
+        F.when(F.col("compiler_name") != "", pair(v["compiler_name"], F.col("compiler_name")))
+        .otherwise(""),
+        F.when(F.col("known"), pair(fixed.BUILD_JOBS_VARIABLE, F.lit("8"))).otherwise(""),
+    )
+    jobs = rows.select(F.substring("version", 3, 10).alias("doc"), F.lit(1).alias("ord"),
+                       block.alias("value"))
+    head = jobs.select("doc").distinct().select(
+        "doc", F.lit(0).alias("ord"),
+        F.concat(F.lit(f"variables:\n  {fixed.STACK_VARIABLE}: stack"), F.col("doc"))
+        .alias("value"),
+    )
+    path = write_documents(head.unionByName(jobs), "doc", scratch_path(spark, "vars"))
+    out = readers.job_variables(readers.read_pipeline_vars(spark, f"{path}/*/*"))
+    return out.select(
+        "job_name", "package_name", "package_hash", "arch", "stack", "build_jobs",
+        "missing_variable",
+    )
+
+
+@query(
+    "read_install_times",
+    """select l_suppkey as job_id, concat('pkg', l_partkey) as name, l_returnflag = 'R' as cache,
+      round(l_extendedprice, 2) as total, round(l_quantity, 2) as seconds from lineitem""",
+)
+def read_install_times(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("job"),
+        F.concat(F.lit("pkg"), F.col("l_partkey").cast("string")).alias("name"),
+        F.md5(F.col("l_partkey").cast("string")).alias("hash"),
+        (F.col("l_returnflag") == "R").alias("cache"),
+        F.col("l_extendedprice").alias("total"),
+        F.array(F.struct(F.lit("build").alias("path"), F.col("l_quantity").alias("seconds")))
+        .alias("phases"),
+    )
+    entry = F.to_json(F.struct("name", "hash", "cache", "total", "phases"))
+    lines = rows.select("job", F.concat(F.lit(","), entry).alias("value"))
+    path = write_documents(framed(lines, "job", "[{}", "]"), "job", scratch_path(spark, "times"))
+    with few_listing_tasks(spark):
+        out = readers.read_install_times(spark, f"{path}/*/*", r"job=([0-9]+)/")
+    return out.select(
+        "job_id", "name", "cache", F.round("total", 2).alias("total"),
+        F.round(F.get("phases", F.lit(0))["seconds"], 2).alias("seconds"),
+    )
+
+
+@query(
+    "read_spec_nodes",
+    """select cast(substr(version, 3) as bigint) as job_id, name, hash, version, compiler_name, arch,
+      variants from b_specs""",
+    "specs",
+)
+def read_spec_nodes(spark, sf):
+    rows = bind(spark, sf, "specs")
+    node = F.struct(
+        "name", "hash", "version", "arch", "variants",
+        F.when(
+            F.col("compiler_name") != "",
+            F.struct(
+                F.col("compiler_name").alias("name"), F.col("compiler_version").alias("version")
+            ),
+        ).alias("compiler"),
+    )
+    lines = rows.select(
+        F.substring("version", 3, 10).alias("job"),
+        F.concat(F.lit(","), F.to_json(node)).alias("value"),
+    )
+    path = write_documents(
+        framed(lines, "job", '{"spec":{"nodes":[null', "]}}"), "job", scratch_path(spark, "nodes")
+    )
+    out = readers.read_spec_nodes(spark, f"{path}/*/*", r"job=([0-9]+)/")
+    return out.select("job_id", "name", "hash", "version", "compiler_name", "arch", "variants")
+
+
+@query(
+    "read_bucket_listing",
+    f"select key, size, strftime(modified, {DUCK_TS}) as modified from b_object_keys",
+    "object_keys",
+)
+def read_bucket_listing(spark, sf):
+    rows = bind(spark, sf, "object_keys")
+    line = F.concat(
+        ts_text("modified"), F.lit(" "), F.lpad(F.col("size").cast("string"), 10, " "),
+        F.lit(" "), F.col("key"),
+    )
+    path = scratch_path(spark, "listing")
+    rows.select(line.alias("value")).write.text(path)
+    out = readers.read_bucket_listing(spark, path)
+    return out.select("key", "size", ts_text("modified").alias("modified"))
+
+
+@query("read_cache_index", "select hash, name, external, in_buildcache from b_cache_index",
+       "cache_index")
+def read_cache_index(spark, sf):
+    rows = bind(spark, sf, "cache_index")
+    spec = F.struct(
+        "name", F.when(F.col("external"), F.struct(F.lit("/usr").alias("path"))).alias("external")
+    )
+    entry = F.to_json(F.struct(spec.alias("spec"), "in_buildcache"))
+    lines = rows.select(
+        F.substring("hash", 1, 1).alias("doc"),
+        F.concat(F.lit('"'), F.col("hash"), F.lit('":'), entry, F.lit(",")).alias("value"),
+    )
+    path = write_documents(
+        framed(lines, "doc", '{"database":{"installs":{', '"":null}}}'), "doc",
+        scratch_path(spark, "index"),
+    )
+    return readers.read_cache_index(spark, f"{path}/*/*")
+
+
+@query(
+    "read_lockfiles",
+    """select distinct l_suppkey as pipeline_id, 'stack' || (l_suppkey % 4) as stack,
+      md5(concat('h', l_partkey)) as hash from lineitem""",
+)
+def read_lockfiles(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    doc = F.concat_ws(
+        "_", F.col("l_suppkey").cast("string"),
+        F.concat(F.lit("stack"), (F.col("l_suppkey") % 4).cast("string"), F.lit("-generate")),
+    )
+    key = F.md5(F.concat(F.lit("h"), F.col("l_partkey").cast("string")))
+    lines = rows.select(
+        doc.alias("doc"), F.concat(F.lit('"'), key, F.lit('":{},')).alias("value")
+    )
+    path = write_documents(
+        framed(lines, "doc", '{"concrete_specs":{', '"":{}}}'), "doc", scratch_path(spark, "locks")
+    )
+    with few_listing_tasks(spark):
+        return readers.read_lockfiles(
+            spark, f"{path}/*/*", r"doc=([0-9]+)_", r"doc=[0-9]+_([^/]+)/"
+        )
+
+
+@query(
+    "read_clearsigned_json",
+    """select l_orderkey, l_linenumber, l_partkey, case when l_linenumber <> 3 then l_suppkey end as v
+      from lineitem""",
+)
+def read_clearsigned_json(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn(
+        "text",
+        F.when(
+            F.col("l_linenumber") != 3,
+            F.concat(
+                F.lit("-----BEGIN PGP SIGNED MESSAGE-----\nHash: SHA512\n\n{\"v\": "),
+                F.col("l_suppkey").cast("string"),
+                F.lit("}\n-----BEGIN PGP SIGNATURE-----\nabc\n-----END PGP SIGNATURE-----\n"),
+            ),
+        ).otherwise("unsigned"),
+    )
+    out = readers.read_clearsigned_json(rows, "text")
+    value = F.from_json("text", "v BIGINT")["v"].alias("v")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", value)
+
+
+def _warehouse(spark, sf):
+    jobs = stage(enriched(spark, sf), "jobs")
+    return warehouse.build_warehouse(jobs, runner_rows(spark, sf))
+
+
+@query(
+    "write_warehouse",
+    ENRICHED_SQL
+    + """select 'fact_job' as "table", count(*) as n from enriched
+    union all select 'dim_date', count(distinct cast(started_at as date)) from enriched
+    union all select 'dim_time', count(distinct strftime(started_at, '%H%M%S')) from enriched
+    union all select 'dim_package', 1 + count(distinct i_package_name) from enriched
+    union all select 'dim_package_spec', 1 + count(distinct i_package_hash) from enriched""",
+    *BINDINGS,
+)
+def write_warehouse(spark, sf):
+    path = scratch_path(spark, "warehouse")
+    tables, fact = _warehouse(spark, sf)
+    # Written twice: the second run finds every row and adds none.
+    for _ in range(2):
+        writers.write_warehouse(tables, {"fact_job": fact}, path)
+    out = None
+    for name in ("fact_job", "dim_date", "dim_time", "dim_package", "dim_package_spec"):
+        row = writers.read_table(spark, path, name).agg(F.count(F.lit(1)).alias("n"))
+        row = row.select(F.lit(name).alias("table"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "write_job_logs",
+    """select job_id, md5(trace) as digest, case when job_id % 4 = 0 then 'gitlab-job-logs-20240125'
+      else strftime(date '2024-01-01' + cast(job_id % 9 as int), 'gitlab-job-logs-%Y%m%d') end as log_index
+      from b_traces""",
+    "traces",
+)
+def write_job_logs(spark, sf):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("job_id") % 9).cast("int"))
+    docs = bind(spark, sf, "traces").withColumn(
+        "timestamp", F.when(F.col("job_id") % 4 != 0, day.cast("timestamp_ntz"))
+    )
+    path = scratch_path(spark, "logs")
+    writers.write_job_logs(logs.strip_ansi(docs, "trace"), path, AS_OF)
+    return spark.read.parquet(path).select("job_id", F.md5("trace").alias("digest"), "log_index")
+
+
+LIMITS = {"fact_job": 10}
+
+
+@query(
+    "export_snapshot",
+    ENRICHED_SQL
+    + f"""select 'fact_job' as "table", count(*) as n from enriched where cast(started_at as date)
+      >= cast({AS_OF_SQL} - interval '10' day as date)
+      and date_trunc('second', started_at) < {AS_OF_SQL} - interval '1' hour
+    union all select 'dim_date', count(distinct cast(started_at as date)) from enriched
+    union all select 'dim_time', count(distinct strftime(started_at, '%H%M%S')) from enriched
+    union all select 'dim_job_result', 1 + count(distinct (status, error_taxonomy, unnecessary, job_type,
+      gitlab_failure_reason, job_exit_code)) from enriched""",
+    *BINDINGS,
+)
+def export_snapshot(spark, sf):
+    path, names = _export(spark, sf)
+    out = None
+    for name in names:
+        row = spark.read.option("header", True).csv(f"{path}/{name}").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        row = row.select(F.lit(name).alias("table"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _export(spark, sf):
+    tables, fact = _warehouse(spark, sf)
+    names = ("dim_date", "dim_time", "dim_job_result")
+    path = scratch_path(spark, "snapshot")
+    writers.export_snapshot(
+        {n: tables[n] for n in names}, {"fact_job": facts.generated_timestamps(fact)}, path, AS_OF,
+        LIMITS,
+    )
+    return path, ("fact_job", *names)
+
+
+@query(
+    "restore_snapshot",
+    ENRICHED_SQL
+    + f"""select job_id, strftime(started_at, '%Y%m%d') as start_date_key,
+      strftime(started_at, '%H%M%S') as start_time_key, coalesce(i_pod_name, '') as pod_name,
+      i_node_cpu as node_cpu, i_build_jobs as build_jobs, error_taxonomy, job_exit_code
+      from enriched where cast(started_at as date) >= cast({AS_OF_SQL} - interval '10' day as date)
+      and date_trunc('second', started_at) < {AS_OF_SQL} - interval '1' hour""",
+    *BINDINGS,
+)
+def restore_snapshot(spark, sf):
+    path, _ = _export(spark, sf)
+    tables = writers.restore_snapshot(
+        spark,
+        path,
+        {
+            "fact_job": "job_id BIGINT, start_date_key STRING, start_time_key STRING, "
+            "pod_name STRING, node_cpu INT, build_jobs INT, job_result_id STRING",
+            "dim_job_result": "job_result_id STRING, error_taxonomy STRING, job_exit_code INT",
+        },
+    )
+    restored = scratch_path(spark, "restored")
+    writers.write_restored(tables, restored)
+    fact = spark.read.schema(tables["fact_job"].schema).parquet(f"{restored}/fact_job")
+    result = spark.read.parquet(f"{restored}/dim_job_result")
+    return fact.join(result, "job_result_id").select(
+        "job_id", "start_date_key", "start_time_key", "pod_name", "node_cpu", "build_jobs",
+        "error_taxonomy", "job_exit_code",
+    )
+
+
+@query(
+    "write_keeplists",
+    f""", k as (select l.stack, hash from b_locks l join b_lock_pipelines p on p.id = l.pipeline_id
+      where ref = 'develop' and updated_at between {NOW_SQL} - interval '500' day and {NOW_SQL})
+    select stack, hash from k union select 'develop', hash from k""",
+    "locks",
+    "lock_pipelines",
+)
+def write_keeplists(spark, sf):
+    path = scratch_path(spark, "keep")
+    writers.write_keeplists(keep_hashes(spark, sf), path)
+    return spark.read.text(path).select("stack", F.col("value").alias("hash"))
+
+
+@query(
+    "write_cache_listing",
+    REFS_SQL
+    + """ select ref, count(distinct (label, url)) as mirrors, min(label) as first_label from l group by ref""",
+)
+def write_cache_listing(spark, sf):
+    path = scratch_path(spark, "cache")
+    writers.write_cache_listing(cache_entries(spark, sf), path)
+    schema = "MAP<STRING, ARRAY<STRUCT<label: STRING, url: STRING>>>"
+    lines = spark.read.text(path).select(F.from_json("value", schema).alias("m"))
+    rows = lines.select(F.explode("m").alias("ref", "mirrors"))
+    return rows.select(
+        "ref", F.size("mirrors").cast("bigint").alias("mirrors"),
+        F.get("mirrors", F.lit(0))["label"].alias("first_label"),
+    )
+
+
+@query(
+    "write_annotated_csv",
+    FLAGS_SQL + "select cast(job_id as varchar) as job_id, cast(killed as varchar) as killed, "
+    "cast(other_errors as varchar) as other_errors from f",
+    "traces",
+)
+def write_annotated_csv(spark, sf):
+    path = scratch_path(spark, "annotated")
+    flags = classified(spark, sf).drop("trace")
+    writers.write_annotated_csv(flags, path)
+    out = spark.read.option("header", True).csv(path)
+    return out.select("job_id", "killed", "other_errors")

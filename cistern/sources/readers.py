@@ -11,9 +11,12 @@ from .. import schemas
 from ..functions import fixed
 
 
-def file_stem() -> Column:
-    """Name of the row's file without folder and extension."""
-    return F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
+FILE_STEM = r"([^/]+)\.[^./]+$"
+
+
+def from_path(pattern: str) -> Column:
+    """First group of the pattern in the path of the row's file."""
+    return F.regexp_extract(F.input_file_name(), pattern, 1)
 
 
 def read_job_events(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +47,11 @@ def read_ci_tables(
     return {name: read_ci_table(spark, name, options) for name in schemas.CI_TABLES}
 
 
-def read_job_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row per `<job_id>.log`, the whole text in it."""
+def read_job_traces(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
+    """One row per `<job_id>.log`, the whole text in it; job_id is the pattern of its path."""
     text = spark.read.text(path, wholetext=True)
     return text.select(
-        file_stem().try_cast("bigint").alias("job_id"), F.col("value").alias("trace")
+        from_path(job_id).try_cast("bigint").alias("job_id"), F.col("value").alias("trace")
     )
 
 
@@ -159,18 +162,19 @@ def job_variables(df: DataFrame) -> DataFrame:
     )
 
 
-def read_install_times(spark: SparkSession, path: str) -> DataFrame:
-    """Timings of each `<job_id>.json` array."""
+def read_install_times(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
+    """Timings of each `<job_id>.json` array; entries without a hash name no spec."""
     rows = spark.read.schema(schemas.INSTALL_TIMES).option("multiLine", True).json(path)
-    return rows.select(file_stem().try_cast("bigint").alias("job_id"), "*")
+    named = rows.select(from_path(job_id).try_cast("bigint").alias("job_id"), "*")
+    return named.where("hash IS NOT NULL")
 
 
-def read_spec_nodes(spark: SparkSession, path: str) -> DataFrame:
+def read_spec_nodes(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
     """One row per node of each `<job_id>.json` spec document."""
     docs = spark.read.schema(schemas.SPEC_DOCUMENT).option("multiLine", True).json(path)
     nodes = docs.select(
-        file_stem().try_cast("bigint").alias("job_id"), F.explode("spec.nodes").alias("n")
-    )
+        from_path(job_id).try_cast("bigint").alias("job_id"), F.explode("spec.nodes").alias("n")
+    ).where("n IS NOT NULL")
     empty = F.lit("")
     return nodes.select(
         "job_id",
@@ -203,7 +207,7 @@ def read_cache_index(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(
         F.from_json("value", schemas.CACHE_INDEX).alias("j")
     )
-    rows = docs.select(F.explode("j.database.installs").alias("hash", "i"))
+    rows = docs.select(F.explode("j.database.installs").alias("hash", "i")).where("i IS NOT NULL")
     return rows.select(
         "hash",
         F.col("i.spec.name").alias("name"),
@@ -212,19 +216,20 @@ def read_cache_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_lockfiles(spark: SparkSession, path: str) -> DataFrame:
+def read_lockfiles(
+    spark: SparkSession,
+    path: str,
+    pipeline_id: str = r"([0-9]+)/[^/]+\.lock$",
+    job_name: str = r"([^/]+)\.lock$",
+) -> DataFrame:
     """(pipeline_id, stack, hash) of each `<pipeline_id>/<job name>.lock` file."""
     docs = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"),
+        from_path(pipeline_id).try_cast("bigint").alias("pipeline_id"),
+        F.replace(from_path(job_name), F.lit("-generate"), F.lit("")).alias("stack"),
         F.from_json("value", "concrete_specs MAP<STRING, STRING>").alias("j"),
     )
-    name = F.regexp_extract("file", r"([^/]+)\.lock$", 1)
-    return docs.select(
-        F.regexp_extract("file", r"([0-9]+)/[^/]+\.lock$", 1).try_cast("bigint")
-        .alias("pipeline_id"),
-        F.replace(name, F.lit("-generate"), F.lit("")).alias("stack"),
-        F.explode(F.map_keys("j.concrete_specs")).alias("hash"),
-    )
+    hashes = F.explode(F.map_keys("j.concrete_specs")).alias("hash")
+    return docs.select("pipeline_id", "stack", hashes).where("hash <> ''")
 
 
 def read_clearsigned_json(df: DataFrame, col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.columns import new_members
 from ..operators import dims as dim_builders
 from ..operators.facts import PHASE_KEY, TIMER_KEY
 from ..operators.pipelines import _lit_ts
@@ -53,7 +54,7 @@ def write_warehouse(
             columns = ["hash", *dim_builders.SPEC_FIELDS]
             fresh = df.select(*columns).join(old.select(*columns), columns, "left_anti")
         else:
-            fresh = dim_builders.new_members(df, old, key) if old is not None else df
+            fresh = new_members(df, old, key) if old is not None else df
         fresh.write.mode("append").parquet(f"{path}/{name}")
     for name, df in facts.items():
         old = read_table(df.sparkSession, path, name)
@@ -123,10 +124,7 @@ def export_snapshot(
             ]
         )
         writer = flat.write.mode("overwrite").option("header", True).option("escape", '"')
-        # Kept apart from NULL by an empty value of its own.
-        writer.option("nullValue", fixed.SNAPSHOT_NULL).option("emptyValue", "").csv(
-            f"{path}/{name}"
-        )
+        writer.option("nullValue", fixed.SNAPSHOT_NULL).csv(f"{path}/{name}")
 
 
 def restore_snapshot(
@@ -141,7 +139,7 @@ def restore_snapshot(
         wanted = spark.createDataFrame([], schemas[name]).schema
         raw = (
             spark.read.option("header", True).option("escape", '"')
-            .option("nullValue", fixed.SNAPSHOT_NULL).option("emptyValue", "")
+            .option("nullValue", fixed.SNAPSHOT_NULL)
             .csv(f"{path}/{name}")
         )
         out[name] = raw.select(
