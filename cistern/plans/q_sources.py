@@ -26,7 +26,8 @@ def write_documents(rows, by: str, path: str) -> str:
 
     rows: by, ord, value. A document is one file by its format, so its lines meet in one task.
     """
-    spread = rows.repartition(F.col(by)).sortWithinPartitions(by, "ord")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    spread = rows.repartition(tasks, by).sortWithinPartitions(by, "ord")
     spread.select(by, "value").write.partitionBy(by).text(path)
     return path
 
