@@ -125,11 +125,12 @@ SPEC_MEDIA_TYPE = "application/vnd.spack.spec.v5+json"
 INDEX_MEDIA_PREFIX = "application/vnd.spack.db"
 KEY_MEDIA_TYPE = "application/pgp-keys"
 
-# Object listing line, and the three kinds of object key that describe a build.
+# Object listing line, and the kinds of object key that describe a build.
 LISTING_LINE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2})\s+(\d+)\s+(.+)$"
-V2_META_KEY = r"^(.+)(/build_cache/.+-)([^\.]+)(\.spec\.json\.sig)$"
-V2_ARCHIVE_KEY = r"^(.+)(/build_cache/.+-)([^\.]+)(\.spack)$"
-V3_MANIFEST_KEY = r"^(.+)(/v3/manifests/spec/.+-)([^-\.]+)(\.spec\.manifest\.json)$"
+V2_SUFFIXES = (".spec.json.sig", ".spack")
+V2_KEY = r"^(.+)(/build_cache/.+-)([^\.]+)(\.spec\.json\.sig|\.spack)$"
+V3_SUFFIXES = (".spec.manifest.json",)
+V3_KEY = r"^(.+)(/v3/manifests/spec/.+-)([^-\.]+)(\.spec\.manifest\.json)$"
 
 # Variables that a build job's definition must carry, by output column.
 REQUIRED_JOB_VARIABLES = {

@@ -15,12 +15,23 @@ from .pipelines import _lit_ts
 CATALOG = ("prefix", "hash")
 
 
-def _keyed(listing: DataFrame, pattern: str, name: str) -> DataFrame:
+def _parsed(listing: DataFrame, pattern: str, suffixes: Sequence[str]) -> DataFrame:
+    """Keys of one shape with prefix, hash and suffix, by one regex evaluation per key.
+
+    Most keys of a bucket are blobs, so the suffix is tested before the regex runs.
+    """
     key = F.col("key")
-    return listing.where(key.rlike(pattern)).select(
-        F.regexp_extract(key, pattern, 1).alias("prefix"),
-        F.regexp_extract(key, pattern, 3).alias("hash"),
-        key.alias(name),
+    ending = F.lit(False)
+    for suffix in suffixes:
+        ending = ending | key.endswith(suffix)
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(key, pattern, f"$1{mark}$3{mark}$4"), mark)
+    named = listing.where(ending).select("key", "size", parts.alias("_p"))
+    return named.where(F.size("_p") == 3).select(
+        F.get("_p", F.lit(0)).alias("prefix"),
+        F.get("_p", F.lit(1)).alias("hash"),
+        F.get("_p", F.lit(2)).alias("suffix"),
+        "key",
         "size",
     )
 
@@ -31,32 +42,18 @@ def catalog_v2(listing: DataFrame) -> DataFrame:
     An aggregate over both kinds in one pass of the listing; of several keys of one kind the last
     in key order, the order in which a bucket lists them, is kept.
     """
-    key = F.col("key")
-    is_meta = key.rlike(fixed.V2_META_KEY)
-    is_archive = key.rlike(fixed.V2_ARCHIVE_KEY) & ~is_meta
-    pattern = [fixed.V2_META_KEY, fixed.V2_ARCHIVE_KEY]
-    named = listing.select("*", is_meta.alias("_meta"), is_archive.alias("_archive")).where(
-        "_meta OR _archive"
-    )
-
-    def part(i: int) -> Column:
-        return F.when(F.col("_meta"), F.regexp_extract(key, pattern[0], i)).otherwise(
-            F.regexp_extract(key, pattern[1], i)
-        )
-
-    parts = named.select(
-        part(1).alias("prefix"), part(3).alias("hash"), "key", "size", "_meta", "_archive"
-    )
+    parts = _parsed(listing, fixed.V2_KEY, fixed.V2_SUFFIXES)
+    is_meta = F.col("suffix") == fixed.V2_SUFFIXES[0]
     return parts.groupBy(*CATALOG).agg(
-        F.max(F.when(F.col("_meta"), F.col("key"))).alias("meta"),
-        F.max(F.when(F.col("_archive"), F.col("key"))).alias("archive"),
-        F.max_by("size", F.when(F.col("_archive"), F.col("key"))).alias("archive_size"),
+        F.max(F.when(is_meta, F.col("key"))).alias("meta"),
+        F.max(F.when(~is_meta, F.col("key"))).alias("archive"),
+        F.max_by("size", F.when(~is_meta, F.col("key"))).alias("archive_size"),
     )
 
 
 def catalog_v3(listing: DataFrame) -> DataFrame:
-    found = _keyed(listing, fixed.V3_MANIFEST_KEY, "manifest")
-    return found.groupBy(*CATALOG).agg(F.max("manifest").alias("manifest"))
+    parts = _parsed(listing, fixed.V3_KEY, fixed.V3_SUFFIXES)
+    return parts.groupBy(*CATALOG).agg(F.max("key").alias("manifest"))
 
 
 def split_stacks(

@@ -40,13 +40,12 @@ def match_taxonomy(
     )
 
 
-def error_taxonomy(
+def first_class(
     trace: ColumnOrName,
-    failure_reason: ColumnOrName,
     classes: Taxonomy = taxonomy_values.CLASSES,
     order: Sequence[str] = taxonomy_values.ORDER,
 ) -> Column:
-    """The one class of a failed trace.
+    """First class of the order found in the text, NULL when none is.
 
     The order is written as a CASE chain, so evaluation stops at the first class that matches
     instead of searching the text for all of them.
@@ -56,8 +55,14 @@ def error_taxonomy(
     for name in order:
         hit = any_match(trace, classes[name])
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+    return chain
+
+
+def settle_taxonomy(found: Column, failure_reason: ColumnOrName) -> Column:
+    """The class found, else the failure reason where it names itself, else `other`."""
     reason = as_column(failure_reason)
-    return chain.when(reason.isin(*fixed.SELF_NAMED_REASONS), reason).otherwise("other")
+    own = F.when(reason.isin(*fixed.SELF_NAMED_REASONS), reason)
+    return F.coalesce(found, own, F.lit("other"))
 
 
 def assign_error_taxonomy(
@@ -74,7 +79,8 @@ def assign_error_taxonomy(
     text = F.coalesce(F.col(trace), F.lit(""))
     return df.select(
         "*",
-        F.when(failed, error_taxonomy(text, reason, classes, order)).alias("error_taxonomy"),
+        F.when(failed, settle_taxonomy(first_class(text, classes, order), reason))
+        .alias("error_taxonomy"),
         F.when(failed, F.lit(version)).alias("error_taxonomy_version"),
     )
 
@@ -119,25 +125,25 @@ def class_overlap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows shared by each pair of classes, their union and the percentage shared."""
     sets = class_signatures(df, columns)
     n = F.lit(len(columns))
-    singles = (
-        sets.select(F.explode("classes").alias("c"), "rows").groupBy("c").agg(F.sum("rows").alias("n"))
-    )
-    # A set has at most as many members as there are classes, so its pairs are few.
+    # A set has at most as many members as there are classes, so its pairs are few. A class
+    # paired with itself counts the rows of that class.
     pairs = F.flatten(
         F.transform(
             "classes",
             lambda a, i: F.transform(
-                F.slice(F.col("classes"), i + 2, n), lambda b: F.struct(a.alias("a"), b.alias("b"))
+                F.slice(F.col("classes"), i + 1, n), lambda b: F.struct(a.alias("a"), b.alias("b"))
             ),
         )
     )
-    both = (
+    counts = (
         sets.select(F.explode(pairs).alias("p"), "rows")
         .groupBy("p.a", "p.b")
-        .agg(F.sum("rows").alias("overlap"))
+        .agg(F.sum("rows").alias("n"))
     )
-    left = singles.select(F.col("c").alias("a"), F.col("n").alias("na"))
-    right = singles.select(F.col("c").alias("b"), F.col("n").alias("nb"))
+    single = counts.where("a = b")
+    left = single.select("a", F.col("n").alias("na"))
+    right = single.select("b", F.col("n").alias("nb"))
+    both = counts.where("a <> b").withColumnRenamed("n", "overlap")
     total = F.col("na") + F.col("nb") - F.col("overlap")
     return (
         both.join(left, "a")

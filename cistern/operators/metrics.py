@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -113,26 +113,17 @@ def range_step(start: Column, end: Column, parts: int) -> Column:
     return F.greatest(F.ceil((end - start) / F.lit(parts)), F.lit(1)).cast("double")
 
 
-def range_sample(
-    samples: DataFrame,
-    windows: DataFrame,
-    key: str,
-    parts: int = 10,
-    lookback: float = LOOKBACK,
-    width: float = SLICE,
-) -> DataFrame:
-    """Values of the series of each window's key at start, start + step, ... up to end.
+def _meet(held: DataFrame, windows: DataFrame, key: str, parts: int, width: float) -> DataFrame:
+    """Windows with the spans of their key that hold at one of their grid points or more.
 
-    windows: window_id, <key>, start_ts, end_ts; samples carry <key> as a column.
-    A sample holds for a span of time, so a window and a sample meet where their spans overlap.
-    Both are cut into time slices and joined by (key, slice): no key's history meets in one task,
-    and the range condition rides on an equality.
+    Adds step and the first and last grid number, `k_from` and `k_to`. Both sides are cut into
+    time slices and joined by (key, slice): no key's history meets in one task, and the range
+    condition rides on an equality. A span counts in the slice where it starts or, if that is
+    earlier, where the window starts, so every pair is found once.
     """
-    held = spans(samples, lookback).withColumn(
+    spread = held.withColumn(
         "_slice",
-        F.explode(
-            F.sequence(slice_of(F.col("ts"), width), slice_of(F.col("until"), width))
-        ),
+        F.explode(F.sequence(slice_of(F.col("ts"), width), slice_of(F.col("until"), width))),
     )
     cut = windows.withColumn("step", range_step(F.col("start_ts"), F.col("end_ts"), parts))
     cut = cut.withColumn(
@@ -141,30 +132,71 @@ def range_sample(
             F.sequence(slice_of(F.col("start_ts"), width), slice_of(F.col("end_ts"), width))
         ),
     )
-    met = cut.join(held, [key, "_slice"])
-    w = F.lit(float(width))
-    low = F.greatest(F.col("ts"), F.col("start_ts"), F.col("_slice") * w)
-    slice_end = (F.col("_slice") + 1) * w
-    high = F.least(F.col("until"), F.col("end_ts"), slice_end)
-    # Rounded outwards; the exact test below leaves each grid point in one slice and one sample.
-    first = F.greatest(F.floor((low - F.col("start_ts")) / F.col("step")), F.lit(0))
-    last = F.ceil((high - F.col("start_ts")) / F.col("step"))
-    ks = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint")))
-    points = met.withColumn("_k", F.explode(ks))
-    at = F.col("start_ts") + F.col("_k") * F.col("step")
-    points = points.withColumn("point_ts", at)
-    inside = (
-        (F.col("point_ts") >= low)
-        & (F.col("point_ts") < slice_end)
-        & (F.col("point_ts") <= F.col("end_ts"))
-        & F.when(F.col("closed"), F.col("point_ts") <= F.col("until")).otherwise(
-            F.col("point_ts") < F.col("until")
-        )
+    met = cut.join(spread, [key, "_slice"])
+    start, step = F.col("start_ts"), F.col("step")
+    first_slice = slice_of(F.greatest(F.col("ts"), start), width)
+    met = met.where(
+        (F.col("_slice") == first_slice)
+        & (F.col("until") >= start)
+        & (F.col("ts") <= F.col("end_ts"))
+    )
+    at = lambda k: start + k * step
+    # Division may round either way, so the numbers are settled by comparing the grid points.
+    low = F.greatest(F.ceil((F.col("ts") - start) / step) - 1, F.lit(0))
+    low = F.when(at(low) >= F.col("ts"), low).when(at(low + 1) >= F.col("ts"), low + 1).otherwise(
+        low + 2
+    )
+    high = F.floor((F.least(F.col("until"), F.col("end_ts")) - start) / step) + 1
+
+    def holds(k: Column) -> Column:
+        before = F.when(F.col("closed"), at(k) <= F.col("until")).otherwise(at(k) < F.col("until"))
+        return before & (at(k) <= F.col("end_ts"))
+
+    high = F.when(holds(high), high).when(holds(high - 1), high - 1).otherwise(
+        F.when(holds(high - 2), high - 2).otherwise(high - 3)
     )
-    return points.where(inside).select(
+    ranged = met.withColumns({"k_from": low.cast("bigint"), "k_to": high.cast("bigint")})
+    return ranged.where("k_from <= k_to").drop("_slice")
+
+
+def range_sample(
+    samples: DataFrame,
+    windows: DataFrame,
+    key: str,
+    parts: int = 10,
+    lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> DataFrame:
+    """Values of the series of each window's key at start, start + step, ... up to end.
+
+    windows: window_id, <key>, start_ts, end_ts; samples carry <key> as a column.
+    """
+    met = _meet(spans(samples, lookback), windows, key, parts, width)
+    points = met.withColumn("_k", F.explode(F.sequence("k_from", "k_to")))
+    return points.select(
         "window_id", key, "metric", "labels", "series", "step",
-        F.col("point_ts").alias("ts"), "value",
+        (F.col("start_ts") + F.col("_k") * F.col("step")).alias("ts"), "value",
+    )
+
+
+def presence(samples: DataFrame, key: str, lookback: float, width: float) -> DataFrame:
+    """Times in which each series has a value, its spans joined where one follows the other.
+
+    Spans are joined within a slice of time, so a long-lived series gives one row per slice.
+    """
+    held = spans(samples, lookback).withColumn("_slice", slice_of(F.col("ts"), width))
+    before = (
+        Window.partitionBy("series", "_slice")
+        .orderBy("ts", "until")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    breaks = F.coalesce(F.sum(F.col("closed").cast("int")).over(before), F.lit(0))
+    runs = held.select("series", key, "ts", "until", "closed", "_slice", breaks.alias("_run"))
+    return runs.groupBy("series", key, "_slice", "_run").agg(
+        F.min("ts").alias("ts"),
+        F.max("until").alias("until"),
+        F.bool_or("closed").alias("closed"),
+    ).drop("_slice", "_run")
 
 
 def pod_for_job(samples: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -321,30 +353,55 @@ def spot_price(samples: DataFrame, windows: DataFrame, width: float = 86400.0) -
     return windows.join(mean, "window_id", "left")
 
 
-def node_occupancy(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def node_occupancy(
+    samples: DataFrame,
+    windows: DataFrame,
+    key: str = "node",
+    parts: int = 100,
+    lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> tuple[DataFrame, DataFrame]:
     """Share of its node that a job had: the mean of 1/n over time, n being the pods present.
 
-    points: range_sample output of the node's cpu series. The first time does not count unless it
-    is the only one. A node with a single series gives a reject instead.
+    samples are the node's cpu series. The first time does not count unless it is the only one. A
+    node with a single series gives a reject instead.
+
+    n is not counted point by point: each presence of a series adds one from its first grid point
+    on and takes it away after its last, and a running sum over the window's few grid points gives
+    n at each.
     """
-    per_time = points.groupBy("window_id", "ts").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("step").alias("step"),
+    met = _meet(presence(samples, key, lookback, width), windows, key, parts, width)
+    change = F.explode(
+        F.array(
+            F.struct(F.col("k_from").alias("k"), F.lit(1).alias("d")),
+            F.struct((F.col("k_to") + 1).alias("k"), F.lit(-1).alias("d")),
+        )
+    ).alias("c")
+    changes = met.select("window_id", "series", change)
+    per_k = changes.groupBy("window_id", "c.k").agg(
+        F.sum("c.d").alias("d"),
         F.min("series").alias("lo"),
         F.max("series").alias("hi"),
     )
-    inverse = 1.0 / F.col("n")
-    whole = per_time.groupBy("window_id").agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.sum(inverse).alias("total"),
-        F.min_by(inverse, "ts").alias("first_inverse"),
-        F.max("step").alias("step"),
+    in_window = Window.partitionBy("window_id").orderBy("k")
+    counted = per_k.withColumn(
+        "n", F.sum("d").over(in_window.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("next_k", F.lead("k").over(in_window))
+    # From k up to the next change, n stays the same.
+    held = F.col("n") > 0
+    last = F.col("next_k") - 1
+    inverse = 1.0 / F.when(held, F.col("n"))
+    whole = counted.groupBy("window_id").agg(
+        F.min(F.when(held, F.col("k"))).alias("first_k"),
+        F.max(F.when(held, last)).alias("last_k"),
+        F.sum(F.when(held, inverse * (last - F.col("k") + 1))).alias("total"),
+        F.min_by(inverse, F.when(held, F.col("k"))).alias("first_inverse"),
         (F.min("lo") == F.max("hi")).alias("lonely"),
     )
-    span = F.col("last_ts") - F.col("first_ts")
+    # The step cancels out: both the sum and the span are counted in grid points.
+    span = F.col("last_k") - F.col("first_k")
     share = F.when(span == 0, F.col("first_inverse")).otherwise(
-        F.try_divide((F.col("total") - F.col("first_inverse")) * F.col("step"), span)
+        F.try_divide(F.col("total") - F.col("first_inverse"), span)
     )
     good = whole.where("NOT lonely").select("window_id", share.alias("node_occupancy"))
     rejects = whole.where("lonely").select(

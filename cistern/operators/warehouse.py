@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from . import dims, facts, logs, pipelines
 
 NO_INFO = {
@@ -62,6 +63,22 @@ def flatten_events(events: DataFrame) -> DataFrame:
     )
 
 
+def trace_features(traces: DataFrame) -> DataFrame:
+    """What the warehouse keeps of each trace, computed where the trace is read.
+
+    error_class is the first taxonomy class found; it counts only for jobs that failed, so pass
+    the traces of failed jobs alone where they are stored apart.
+    """
+    text = traces.withColumn("trace", F.coalesce("trace", F.lit("")))
+    read = text.withColumn("error_class", logs.first_class("trace"))
+    read = dims.flag_unnecessary(dims.extract_runner_version(read))
+    read = facts.section_timer_columns(facts.section_timers(read))
+    return read.select(
+        "job_id", "error_class", "gitlab_runner_version", "unnecessary",
+        *[f"gitlab_{s}" for s in fixed.SECTION_TIMERS],
+    )
+
+
 def enrich_jobs(
     jobs: DataFrame,
     traces: DataFrame,
@@ -75,25 +92,26 @@ def enrich_jobs(
     retry_reasons, attempt_number; exit_codes: build_id, job_exit_code; info: job_id and any
     columns of NO_INFO.
 
-    The trace is read once: what is kept of it are a few short columns, so the joins and shuffles
-    after this step never carry the text.
+    Only the short columns of trace_features are joined: the text itself is never shuffled.
     """
     started = facts.filter_started(jobs)
-    typed = dims.determine_job_type(started)
     rejects = dims.job_type_rejects(started)
-    read = started.select("build_id", "build_status", "build_failure_reason").join(
-        traces.select(F.col("job_id").alias("build_id"), "trace"), "build_id", "left"
-    )
-    read = read.withColumn("trace", F.coalesce("trace", F.lit("")))
-    read = logs.assign_error_taxonomy(read)
-    read = dims.flag_unnecessary(dims.extract_runner_version(read))
-    read = facts.section_timer_columns(facts.section_timers(read)).drop(
-        "trace", "section_timers", "build_status", "build_failure_reason",
-        "error_taxonomy_version",
+    known = dims.determine_job_type(started).where("job_type IS NOT NULL")
+    features = trace_features(traces).withColumnRenamed("job_id", "build_id")
+    df = (
+        known.join(features, "build_id", "left")
+        .join(retry, "build_id", "left")
+        .join(exit_codes, "build_id", "left")
     )
-    known = typed.where("job_type IS NOT NULL")
-    df = known.join(read, "build_id").join(retry, "build_id", "left")
-    df = df.join(exit_codes, "build_id", "left")
+    no_trace = {
+        "gitlab_runner_version": F.lit(""),
+        "unnecessary": F.lit(False),
+        **{f"gitlab_{s}": F.lit(0).cast("bigint") for s in fixed.SECTION_TIMERS},
+    }
+    df = df.withColumns({c: F.coalesce(c, v) for c, v in no_trace.items()})
+    taxonomy = logs.settle_taxonomy(F.col("error_class"), "build_failure_reason")
+    df = df.withColumn("error_taxonomy", F.when(F.col("build_status") == "failed", taxonomy))
+    df = df.drop("error_class")
     df = dims.resolve_parent_pipeline(df)
     df = df.withColumn("attempt_number", F.coalesce("attempt_number", F.lit(1)).cast("int"))
     df = pipelines.retry_info(df)

@@ -316,7 +316,9 @@ OCC_SQL = RANGE_SQL + """, pt2 as (select window_id, ts, count(*) as n, max(step
     "samples",
 )
 def node_occupancy(spark, sf):
-    good, rejects = metrics.node_occupancy(ranged(spark, sf))
+    good, rejects = metrics.node_occupancy(
+        samples(spark, sf), windows(spark, sf), "node", parts=10, lookback=DAY / 2, width=DAY / 2
+    )
     none = F.lit(None).cast("double").alias("node_occupancy")
     return good.select(
         "window_id", F.round("node_occupancy", 4).alias("node_occupancy"),
