@@ -366,37 +366,65 @@ def node_occupancy(
     samples are the node's cpu series. The first time does not count unless it is the only one. A
     node with a single series gives a reject instead.
 
-    n is not counted point by point: each presence of a series adds one from its first grid point
-    on and takes it away after its last, and a running sum over the window's few grid points gives
-    n at each.
+    How many series a node has is a step function of time that all its jobs share. Each presence
+    adds one where it begins and takes it away where it ends, and the grid points of the jobs read
+    the running sum at their place in between: the work is the sum of points and presences, not
+    their product. Presences are cut at the borders of time slices, so that every slice of a node
+    is summed alone.
     """
-    met = _meet(presence(samples, key, lookback, width), windows, key, parts, width)
-    change = F.explode(
-        F.array(
-            F.struct(F.col("k_from").alias("k"), F.lit(1).alias("d")),
-            F.struct((F.col("k_to") + 1).alias("k"), F.lit(-1).alias("d")),
+    low = F.col("_slice") * F.lit(float(width))
+    cut = presence(samples, key, lookback, width).withColumn(
+        "_slice",
+        F.explode(F.sequence(slice_of(F.col("ts"), width), slice_of(F.col("until"), width))),
+    )
+    # When one series is present, the running sum of these numbers tells which one.
+    tag = F.pmod(F.xxhash64("series"), F.lit(1 << 44))
+    none = F.lit(None).cast("bigint")
+
+    def event(at: Column, rank: Column, sign: int) -> Column:
+        return F.struct(
+            at.alias("at"), rank.alias("rank"), F.lit(sign).alias("d"), (tag * sign).alias("tag")
         )
-    ).alias("c")
-    changes = met.select("window_id", "series", change)
-    per_k = changes.groupBy("window_id", "c.k").agg(
-        F.sum("c.d").alias("d"),
-        F.min("series").alias("lo"),
-        F.max("series").alias("hi"),
-    )
-    in_window = Window.partitionBy("window_id").orderBy("k")
-    counted = per_k.withColumn(
-        "n", F.sum("d").over(in_window.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("next_k", F.lead("k").over(in_window))
-    # From k up to the next change, n stays the same.
-    held = F.col("n") > 0
-    last = F.col("next_k") - 1
-    inverse = 1.0 / F.when(held, F.col("n"))
+
+    begin = event(F.greatest(F.col("ts"), low), F.lit(0), 1)
+    # A presence that ends because its series fell silent still counts at its very end.
+    end = event(F.col("until"), F.when(F.col("closed"), 2).otherwise(0), -1)
+    ends_here = slice_of(F.col("until"), width) == F.col("_slice")
+    events = cut.select(
+        key, "_slice",
+        F.explode(F.when(ends_here, F.array(begin, end)).otherwise(F.array(begin))).alias("e"),
+    ).select(
+        key, "_slice", "e.at", "e.rank", "e.d", "e.tag",
+        none.alias("window_id"), none.alias("k"),
+    )
+    stepped = windows.withColumn("step", range_step(F.col("start_ts"), F.col("end_ts"), parts))
+    last = F.floor((F.col("end_ts") - F.col("start_ts")) / F.col("step")).cast("bigint")
+    grid = stepped.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    at = F.col("start_ts") + F.col("k") * F.col("step")
+    points = grid.select(
+        key, slice_of(at, width).alias("_slice"), at.alias("at"), F.lit(1).alias("rank"),
+        F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("tag"), "window_id", "k",
+    )
+    so_far = (
+        Window.partitionBy(key, "_slice")
+        .orderBy("at", "rank")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counted = (
+        events.unionByName(points)
+        .select(
+            "window_id", "k", F.sum("d").over(so_far).alias("n"), F.sum("tag").over(so_far)
+            .alias("who"),
+        )
+        .where("window_id IS NOT NULL AND n > 0")
+    )
+    inverse = 1.0 / F.col("n")
     whole = counted.groupBy("window_id").agg(
-        F.min(F.when(held, F.col("k"))).alias("first_k"),
-        F.max(F.when(held, last)).alias("last_k"),
-        F.sum(F.when(held, inverse * (last - F.col("k") + 1))).alias("total"),
-        F.min_by(inverse, F.when(held, F.col("k"))).alias("first_inverse"),
-        (F.min("lo") == F.max("hi")).alias("lonely"),
+        F.min("k").alias("first_k"),
+        F.max("k").alias("last_k"),
+        F.sum(inverse).alias("total"),
+        F.min_by(inverse, "k").alias("first_inverse"),
+        ((F.max("n") == 1) & (F.min("who") == F.max("who"))).alias("lonely"),
     )
     # The step cancels out: both the sum and the span are counted in grid points.
     span = F.col("last_k") - F.col("first_k")
