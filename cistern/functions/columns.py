@@ -110,14 +110,10 @@ def matches_one_of(text: Column, patterns: Sequence[str]) -> Column:
 def new_members(candidates: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
     """One candidate row per key, minus the keys that exist.
 
-    Equal keys mean equal rows or first-write-wins chosen by the caller, so the aggregate may
-    combine before the shuffle.
+    The distinct rows come first: grouping whole rows needs no sort and combines before the
+    shuffle, so what is left for choosing one row per key is about as small as the dimension.
     """
-    others = [c for c in candidates.columns if c != key]
-    distinct = candidates.select(key).distinct()
-    if others:
-        distinct = candidates.groupBy(key).agg(*[F.first(c).alias(c) for c in others])
-        distinct = distinct.select(*candidates.columns)
+    distinct = candidates.distinct().dropDuplicates([key])
     if existing is None:
         return distinct
     return distinct.join(existing.select(key), key, "left_anti")

@@ -322,33 +322,68 @@ def spot_price(samples: DataFrame, windows: DataFrame, width: float = 86400.0) -
 
     windows: window_id, capacity_type, instance_type, zone, start_ts, end_ts
 
-    One kind of node can serve most jobs, so prices are first summed per slice of time. A window
-    adds up the whole slices inside it and meets single samples only in the slices at its edges.
+    One kind of node can serve most jobs, so windows never meet its samples one by one. Prices are
+    summed per slice of time, and a running sum within each slice is read where a window starts
+    and where it ends: a window is its slices up to the last, plus the part of the last slice
+    before its end, minus the part of the first slice before its start.
     """
+    keys = [*PRICE_KEY, "_slice"]
+    none = F.lit(None).cast(windows.schema["window_id"].dataType)
     prices = select_series(samples, fixed.PRICE_METRIC).select(
         *[label(k).alias(k) for k in PRICE_KEY],
-        "ts",
-        "value",
         slice_of(F.col("ts"), width).alias("_slice"),
+        F.col("ts").alias("at"),
+        F.lit(1).alias("rank"),
+        "value",
+        F.lit(1).alias("n"),
+        none.alias("window_id"),
+        F.lit(0).alias("sign"),
+    )
+    # Prices at the start count and so do those at the end.
+    marks = F.explode(
+        F.array(
+            F.struct(F.col("start_ts").alias("at"), F.lit(0).alias("rank"), F.lit(-1).alias("sign")),
+            F.struct(F.col("end_ts").alias("at"), F.lit(2).alias("rank"), F.lit(1).alias("sign")),
+        )
+    )
+    edges = windows.select("window_id", *PRICE_KEY, marks.alias("m")).select(
+        *PRICE_KEY,
+        slice_of(F.col("m.at"), width).alias("_slice"),
+        "m.at",
+        "m.rank",
+        F.lit(0.0).alias("value"),
+        F.lit(0).alias("n"),
+        "window_id",
+        "m.sign",
+    )
+    so_far = (
+        Window.partitionBy(*keys)
+        .orderBy("at", "rank")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    running = (
+        prices.unionByName(edges)
+        .select(
+            "window_id",
+            (F.sum("value").over(so_far) * F.col("sign")).alias("total"),
+            (F.sum("n").over(so_far) * F.col("sign")).alias("n"),
+        )
+        .where("window_id IS NOT NULL")
     )
-    keys = [*PRICE_KEY, "_slice"]
     sums = prices.groupBy(*keys).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     first = slice_of(F.col("start_ts"), width)
     last = slice_of(F.col("end_ts"), width)
-    cut = windows.withColumn("_slice", F.explode(F.sequence(first, last)))
-    edge = (F.col("_slice") == first) | (F.col("_slice") == last)
-    whole = cut.where(~edge).join(sums, keys).select("window_id", "total", "n")
-    partial = (
-        cut.where(edge)
-        .join(prices, keys)
-        .where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts")))
-        .groupBy("window_id")
-        .agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    whole = (
+        windows.where(first < last)
+        .withColumn("_slice", F.explode(F.sequence(first, last - 1)))
+        .join(sums, keys)
+        .select("window_id", "total", "n")
     )
+    count = F.sum("n")
     mean = (
-        whole.unionByName(partial)
+        whole.unionByName(running)
         .groupBy("window_id")
-        .agg(F.try_divide(F.sum("total"), F.sum("n")).alias("spot_price"))
+        .agg(F.when(count > 0, F.sum("total") / count).alias("spot_price"))
     )
     return windows.join(mean, "window_id", "left")
 

@@ -85,6 +85,7 @@ def enrich_jobs(
     retry: DataFrame,
     exit_codes: DataFrame,
     info: DataFrame | None = None,
+    few_jobs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per started job with every column the dimensions and the fact need, and rejects.
 
@@ -93,10 +94,15 @@ def enrich_jobs(
     columns of NO_INFO.
 
     Only the short columns of trace_features are joined: the text itself is never shuffled.
+    few_jobs tells that the jobs are a small part of the traces, as in a micro-batch: then only
+    their traces are searched.
     """
     started = facts.filter_started(jobs)
     rejects = dims.job_type_rejects(started)
     known = dims.determine_job_type(started).where("job_type IS NOT NULL")
+    if few_jobs:
+        asked = started.select(F.col("build_id").alias("job_id"))
+        traces = traces.join(asked, "job_id", "left_semi")
     features = trace_features(traces).withColumnRenamed("job_id", "build_id")
     df = (
         known.join(features, "build_id", "left")

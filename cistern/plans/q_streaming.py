@@ -33,7 +33,8 @@ def _run_jobs(spark, sf) -> str:
     retry = stage(retry_rows(spark, sf), "retry")
 
     def enrich(jobs):
-        return warehouse.enrich_jobs(jobs, traces, retry, codes, info_rows(spark, sf))[0]
+        info = info_rows(spark, sf)
+        return warehouse.enrich_jobs(jobs, traces, retry, codes, info, few_jobs=True)[0]
 
     source = streams.event_stream(spark, write_events(spark, sf))
     run = streams.stream_jobs(

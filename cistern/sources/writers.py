@@ -44,7 +44,7 @@ def write_warehouse(
 
     Keys are computed from the data, so appending what is missing is all an upsert takes, except
     for package specs, whose empty fields may be filled: those are stored as versions and read
-    through `latest_specs`. Facts are written sorted by day, one partition per day.
+    through `latest_specs`. Facts are written in one folder per day.
     """
     for name, df in dims.items():
         spark = df.sparkSession
@@ -61,9 +61,8 @@ def write_warehouse(
         keys = FACT_KEYS[name]
         fresh = df if old is None else df.join(old.select(*keys), keys, "left_anti")
         day = FACT_PARTITION[name]
-        # Rows of one day may be a third of all: spread each day over several writers.
-        spread = fresh.repartition(F.col(day), F.abs(F.hash(*keys)) % 8)
-        spread.sortWithinPartitions(day).write.mode("append").partitionBy(day).parquet(
+        # Rebalancing gathers the rows of a day but splits a day that is larger than the others.
+        fresh.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(
             f"{path}/{name}"
         )
 
