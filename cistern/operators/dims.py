@@ -318,9 +318,8 @@ def build_dim_timer_phase(timings: DataFrame, existing: DataFrame | None = None)
     return get_or_create(rows, existing, "path")
 
 
-def empty_rows(name: str, like: DataFrame) -> DataFrame:
-    """The fixed members of a dimension, shaped like the table they join."""
-    spark = like.sparkSession
+def empty_members(name: str) -> list[dict[str, Column]]:
+    """The fixed members of a dimension: its unknown member, or both members of dim_timer_data."""
     empty_key = surrogate_key(F.lit(""), F.lit(""), F.lit(""))
     no_text = {c: F.lit("") for c in ("stack", "job_size", "job_type")}
     members: dict[str, list[dict]] = {
@@ -381,9 +380,14 @@ def empty_rows(name: str, like: DataFrame) -> DataFrame:
         "dim_package_spec": [{"hash": F.lit(""), **{c: F.lit("") for c in SPEC_FIELDS}}],
         "dim_timer_data": [{"cache": F.lit(True)}, {"cache": F.lit(False)}],
     }
-    one = spark.range(1)
+    return members.get(name, [])
+
+
+def empty_rows(name: str, like: DataFrame) -> DataFrame | None:
+    """The fixed members shaped like the table they join."""
+    one = like.sparkSession.range(1)
     out = None
-    for member in members.get(name, []):
+    for member in empty_members(name):
         row = one.select(
             *[
                 (
@@ -395,7 +399,7 @@ def empty_rows(name: str, like: DataFrame) -> DataFrame:
             ]
         )
         out = row if out is None else out.unionByName(row)
-    return out if out is not None else like.limit(0)
+    return out
 
 
 KEYS = {
@@ -419,9 +423,11 @@ def with_empty_rows(dims: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out = {}
     for name, df in dims.items():
         key = KEYS[name]
-        fixed_rows = empty_rows(name, df)
-        out[name] = fixed_rows.unionByName(df.join(fixed_rows.select(key), key, "left_anti")
-                                           .select(*df.columns))
+        members = empty_members(name)
+        if members:
+            is_fixed = is_true(F.col(key).isin(*[m[key] for m in members]))
+            df = empty_rows(name, df).unionByName(df.where(~is_fixed))
+        out[name] = df
     return out
 
 
