@@ -26,7 +26,8 @@ def _parsed(listing: DataFrame, pattern: str, suffixes: Sequence[str]) -> DataFr
         ending = ending | key.endswith(suffix)
     mark = "\u0001"
     parts = F.split(F.regexp_replace(key, pattern, f"$1{mark}$3{mark}$4"), mark)
-    named = listing.where(ending).select("key", "size", parts.alias("_p"))
+    # Behind a generator the regex stays evaluated once: later filters are not merged into it.
+    named = listing.where(ending).select("key", "size", F.explode(F.array(parts)).alias("_p"))
     return named.where(F.size("_p") == 3).select(
         F.get("_p", F.lit(0)).alias("prefix"),
         F.get("_p", F.lit(1)).alias("hash"),

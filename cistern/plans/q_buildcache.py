@@ -93,11 +93,8 @@ def _manifests(spark, sf):
         blob("other", "hash"), blob(fixed.TARBALL_MEDIA_TYPE, "tar_sum"),
         blob(fixed.SPEC_MEDIA_TYPE, "spec_sum"), blob(fixed.SPEC_MEDIA_TYPE, "hash"),
     )
-    documents = (
-        rows.where("stack IS NOT NULL")
-        .groupBy("stack", "hash")
-        .agg(F.first(data).alias("data"))
-    )
+    sums = rows.where("stack IS NOT NULL").select("stack", "hash", "spec_sum", "tar_sum")
+    documents = sums.distinct().select("stack", "hash", data.alias("data"))
     return buildcache.manifest_blobs(stacks, documents, "develop"), top
 
 
