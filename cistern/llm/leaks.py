@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, repeated bit sampling over windows, exact edit verification.
 
 Texts and items are compared as lower-case words (runs of ASCII letters and digits and of all other letters), so that
-case, marks and line breaks don't matter.
+case, marks and line breaks don't matter. Places in bytes are those of the lower-cased text in UTF-8, which differ from
+the text's own only behind a letter whose small form has another length.
 
 The CGK embedding walks through a word sequence: at step t it writes the word under its head and moves on or stays, by a
 random bit that depends on t and the word. Two sequences of small edit distance fall into step again soon after an edit,
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ class Items:
         hasher = WordHasher(SPACE)
         self.rows = []
         for item_id, text in rows:
-            data = np.frombuffer((text or "").encode(), np.uint8)
+            data = np.frombuffer(pc.utf8_lower(text or "").as_py().encode(), np.uint8)
             words = hasher.words(data, np.zeros(1, np.int64))[0]
             if len(words) >= MIN_WORDS:
                 self.rows.append((item_id, words))
@@ -195,7 +197,7 @@ def _search(sent, schema: str):
         own, hasher = sent.value, WordHasher(SPACE)
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, at in text_blocks(batch.column(1)):
+            for a, b, data, at in text_blocks(pc.utf8_lower(batch.column(1))):
                 h, begin, end = hasher.words(data, at[:-1])
                 cut = np.searchsorted(begin, at)
                 out = []
