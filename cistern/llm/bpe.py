@@ -29,6 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+
+from cistern.llm.frames import with_fields
 
 #: What the tokenizer's file means by \s; Python's has four more.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -358,7 +361,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     [*part.columns, pa.array(ids, ids_type), pa.array([len(x) for x in ids], pa.int64())], [*names, "token_ids", "n_tokens"]
                 )
 
-    schema = docs.schema.add("token_ids", "array<int>").add("n_tokens", "long")
+    schema = with_fields(docs, token_ids=ArrayType(IntegerType()), n_tokens=LongType())
     return docs.mapInArrow(run, schema)
 
 
@@ -380,7 +383,7 @@ def decode(coded: DataFrame, path: str, ids: str = "token_ids", text: str = "tex
                 texts = pa.array([of(v, x.as_py()) for x in part.column(place)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, text])
 
-    return coded.mapInArrow(run, coded.schema.add(text, "string"))
+    return coded.mapInArrow(run, with_fields(coded, **{text: StringType()}))
 
 
 def transcode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

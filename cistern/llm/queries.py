@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cistern.llm import bpe, leaks, near, quality, toxicity
+from cistern.llm import bpe, counts, extract, leaks, near, quality, shards, tokenids, toxicity, warc
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.transcode(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -26,6 +30,10 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.token_file_rows(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,16 +51,50 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, groups=("lang",))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_near_copies": op3_near_copies,
+    "op4_token_files": op4_token_files,
     "op5_leaks": op5_leaks,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_extract": op9_extract,
+    "op10_shards": op10_shards,
+}
+# The digest in base 32: five bits of the SHA-1 for each letter, from two hex digits.
+CHECKS: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, url, strlen(html) AS payload_bytes,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    ((CAST('0x' || substr(h, CAST(i * 5 // 4 + 1 AS INT), 2) AS INT) >> CAST(3 - i * 5 % 4 AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+                min(page_id) OVER (PARTITION BY html) AS first_id
+            FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
+        FROM d
+    """,
 }
-CHECKS: dict[str, str] = {}

@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from cistern.llm.frames import with_fields
 from cistern.llm.wordhash import mix
 
 BUCKETS = 1 << 17
@@ -213,4 +215,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
                 own = scores(part.column(place).to_pylist(), sent.value, bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.float64())], [*names, result])
 
-    return docs.mapInArrow(run, docs.schema.add(result, "double"))
+    return docs.mapInArrow(run, with_fields(docs, **{result: DoubleType()}))
