@@ -64,18 +64,36 @@ def grep_regex(pattern: str) -> str:
     return "".join(quoted)
 
 
-_META = set(".^$*+?{}[]|()")
-_BREAKS = re.compile(r"\[[^\]]*\][+*?]?|\.[+*?]?|\\[A-Za-z][+*?]?|[^\\][*?]|[\^$]")
+_ATOM = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
+_LONG_ESCAPES = set("0123456789xucpPNkQE")
+_QUANTIFIER = re.compile(r"(?:[*+?]|\{[^}]*\})[?+]?")
 
 
 def mandatory_text(pattern: str) -> tuple[str, bool]:
-    """Longest text every match must contain, and whether that text is the whole pattern."""
-    bare = re.sub(r"\\[^A-Za-z]", "", pattern)
-    if "(" in bare or "|" in re.sub(r"\[[^\]]*\]", "", bare):
-        return "", False
-    pieces = [re.sub(r"\\([^A-Za-z])", r"\1", p) for p in _BREAKS.split(pattern)]
-    whole = not (_META & set(bare)) and len(pieces) == 1
-    return max(pieces, key=len), whole
+    """Longest text every match must contain, and whether that text is the whole pattern.
+
+    The pattern is read atom by atom: only plain and escaped characters without a quantifier count. Groups,
+    alternatives and inline flags give no text.
+    """
+    runs, at, whole = [""], 0, True
+    while at < len(pattern):
+        atom = _ATOM.match(pattern, at)[0]
+        at += len(atom)
+        quantifier = _QUANTIFIER.match(pattern, at)
+        at = quantifier.end() if quantifier else at
+        # Groups, alternatives, and escapes that take more than one character.
+        if atom in ("(", ")", "|") or atom[0] == "\\" and atom[1:] in _LONG_ESCAPES:
+            return "", False
+        plain = atom not in (".", "^", "$") and not atom.startswith("[")
+        if atom.startswith("\\"):
+            atom = atom[1:]
+            plain = bool(atom) and not atom.isalnum()
+        if plain and not quantifier:
+            runs[-1] += atom
+        else:
+            whole = False
+            runs.append("")
+    return max(runs, key=len), whole
 
 
 def text_matches(text: ColumnOrName, pattern: str) -> Column:
@@ -89,7 +107,7 @@ def text_matches(text: ColumnOrName, pattern: str) -> Column:
     if whole:
         return col.contains(literal)
     found = col.rlike(java_regex(pattern))
-    return col.contains(literal) & found if len(literal) > 3 else found
+    return col.contains(literal) & found if literal else found
 
 
 def any_match(text: ColumnOrName, patterns: Sequence[str]) -> Column:
@@ -107,13 +125,18 @@ def matches_one_of(text: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-def new_members(candidates: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
-    """One candidate row per key, minus the keys that exist.
+def one_per(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The smallest row of each key, by its other columns in order: the same one whatever the partitioning."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    least = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(*[c if c in key else F.col(f"_least.{c}").alias(c) for c in rows.columns])
 
-    The distinct rows come first: grouping whole rows needs no sort and combines before the
-    shuffle, so what is left for choosing one row per key is about as small as the dimension.
-    """
-    distinct = candidates.distinct().dropDuplicates([key])
+
+def new_members(candidates: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
+    """One candidate row per key, minus the keys that exist."""
+    distinct = one_per(candidates, [key])
     if existing is None:
         return distinct
     return distinct.join(existing.select(key), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import ColumnOrName, as_column
+from ..functions.columns import ColumnOrName, as_column, one_per
 from . import dims
 
 TIMER_KEY = ["job_id", "date_key", "time_key", "cache", "package", "spec_hash"]
@@ -226,8 +226,8 @@ def build_fact_job(jobs: DataFrame, existing: DataFrame | None = None) -> DataFr
 
 
 def new_facts(rows: DataFrame, key: list[str], existing: DataFrame | None) -> DataFrame:
-    """Duplicates of a key give one row, and keys already stored give none."""
-    fresh = rows.dropDuplicates(key)
+    """Duplicates of a key give the smallest of their rows, and keys already stored give none."""
+    fresh = one_per(rows, key)
     if existing is None:
         return fresh
     return fresh.join(existing.select(*key), key, "left_anti").select(*rows.columns)

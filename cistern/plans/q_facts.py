@@ -278,47 +278,30 @@ def select_timings(spark, sf):
     "build_fact_timer",
     TIMINGS_SQL
     + """select job_id, date_key, '010203' as time_key, cache, name as package, hash as spec_hash,
-      count(*) > 0 as has_total from ok group by all""",
+      total as total_duration from ok
+      qualify row_number() over (partition by job_id, date_key, cache, name, hash order by total nulls first) = 1""",
     "install_times",
     "specs",
 )
 def build_fact_timer(spark, sf):
     specs = bind(spark, sf, "specs").where("known")
-    fact = facts.build_fact_timer(selected(spark, sf), specs, specs)
-    return fact.select(
-        *facts.TIMER_KEY, F.col("total_duration").isNotNull().alias("has_total")
-    )
+    return facts.build_fact_timer(selected(spark, sf), specs, specs)
 
 
 @query(
     "build_fact_timer_phase",
     TIMINGS_SQL
-    + """, c as (select job_id, date_key, '010203' as time_key, cache, name as package,
-      hash as spec_hash, phase, count(distinct (seconds, total)) as n, max(seconds) as duration,
-      max(round(seconds / total, 6)) as ratio from ok group by all)
-    select job_id, date_key, time_key, cache, package, spec_hash, phase,
-      case when n = 1 then duration end as duration, case when n = 1 then ratio end as ratio_of_total
-    from c""",
+    + """select job_id, date_key, '010203' as time_key, cache, name as package, hash as spec_hash,
+      phase, seconds as duration, round(case when total <> 0 then seconds / total end, 6) as ratio_of_total
+    from ok qualify row_number() over (partition by job_id, date_key, cache, name, hash, phase
+      order by seconds nulls first, case when total <> 0 then seconds / total end nulls first) = 1""",
     "install_times",
     "specs",
 )
 def build_fact_timer_phase(spark, sf):
     specs = bind(spark, sf, "specs").where("known")
-    rows = selected(spark, sf)
-    fact = facts.build_fact_timer_phase(rows, specs, specs)
-    # A key that the timings hold twice keeps either row; only keys held once are compared.
-    copies = (
-        facts.known_timings(rows, specs, specs)
-        .select(*facts.TIMER_KEY, F.explode("phases").alias("p"), "total")
-        .groupBy(*facts.TIMER_KEY, F.col("p.path").alias("phase"))
-        .agg(F.count_distinct("p.seconds", "total").alias("n"))
-    )
-    one = F.col("n") == 1
-    return fact.join(copies, facts.PHASE_KEY).select(
-        *facts.PHASE_KEY,
-        F.when(one, F.col("duration")).alias("duration"),
-        F.when(one, F.round("ratio_of_total", 6)).alias("ratio_of_total"),
-    )
+    fact = facts.build_fact_timer_phase(selected(spark, sf), specs, specs)
+    return fact.withColumn("ratio_of_total", F.round("ratio_of_total", 6))
 
 
 @query(

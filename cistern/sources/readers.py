@@ -130,9 +130,9 @@ def read_pipeline_vars(spark: SparkSession, path: str) -> DataFrame:
                         if isinstance(v, dict) and k != "variables"
                     }
                 except (yaml.YAMLError, AttributeError) as error:
-                    rows.append((path_, None, None, None, str(error)[:200]))
+                    rows.append((path_, None, None, None, str(error)))
                     continue
-                rows.extend((path_, k, v, shared, None) for k, v in jobs.items() if v)
+                rows.extend((path_, k, v, shared, None) for k, v in jobs.items())
             yield pd.DataFrame(
                 rows, columns=["path", "job_name", "variables", "pipeline_variables", "problem"]
             )
@@ -140,6 +140,19 @@ def read_pipeline_vars(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, schemas.PIPELINE_VARS)
 
 
+def pipeline_var_rejects(df: DataFrame) -> DataFrame:
+    """(path, operator, reason) of files that can't be parsed and of jobs that lack a variable."""
+    broken = df.where("job_name IS NULL").select(
+        "path", F.lit("read_pipeline_vars").alias("operator"), F.col("problem").alias("reason")
+    )
+    lacking = job_variables(df).where("missing_variable IS NOT NULL").select(
+        "path",
+        F.lit("job_variables").alias("operator"),
+        F.concat(F.col("job_name"), F.lit(" has no "), F.col("missing_variable")).alias("reason"),
+    )
+    return broken.unionByName(lacking)
+
+
 def job_variables(df: DataFrame) -> DataFrame:
     """Required and optional variables as columns; missing_variable names the first absent one."""
     own = {

@@ -16,6 +16,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="cistern-"))
     return _local[0]

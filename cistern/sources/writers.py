@@ -28,7 +28,19 @@ FACT_TIMES = {
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    """A stored table, or None before its first write."""
+    """A stored table, or None before its first write. Package specs are given in their last version."""
+    stored = _stored(spark, path, name)
+    return latest_specs(stored) if name == "dim_package_spec" and stored is not None else stored
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there, in whatever store holds it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     try:
         return spark.read.parquet(f"{path}/{name}")
     except AnalysisException as error:
@@ -49,11 +61,10 @@ def write_warehouse(
     for name, df in dims.items():
         spark = df.sparkSession
         key = dim_builders.KEYS[name]
-        old = read_table(spark, path, name)
-        if name == "dim_package_spec" and old is not None:
-            columns = ["hash", *dim_builders.SPEC_FIELDS]
-            fresh = df.select(*columns).join(old.select(*columns), columns, "left_anti")
+        if name == "dim_package_spec":
+            fresh = _new_specs(df, _stored(spark, path, name))
         else:
+            old = read_table(spark, path, name)
             fresh = new_members(df, old, key) if old is not None else df
         fresh.write.mode("append").parquet(f"{path}/{name}")
     for name, df in facts.items():
@@ -67,14 +78,36 @@ def write_warehouse(
         )
 
 
+def _new_specs(df: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Specs that are new, and the next version of those that gain a value for an empty field."""
+    columns = ["hash", *dim_builders.SPEC_FIELDS]
+    if stored is None:
+        return df.select(*columns).withColumn("stored_version", F.lit(1))
+    hashes = df.select("hash").distinct()
+    own = stored.join(hashes, "hash", "left_semi")
+    last = latest_specs(own)
+    after = dim_builders.upsert_package_spec(last, df, list(dim_builders.SPEC_FIELDS))
+    changed = after.join(last, columns, "left_anti")
+    number = own.groupBy("hash").agg(F.max("stored_version").alias("n"))
+    return changed.join(number, "hash", "left").select(
+        *columns, (F.coalesce("n", F.lit(0)) + 1).alias("stored_version")
+    )
+
+
 def latest_specs(specs: DataFrame) -> DataFrame:
-    """Stored package specs with the fullest value of each field."""
-    return specs.groupBy("hash").agg(*[F.max(c).alias(c) for c in dim_builders.SPEC_FIELDS])
+    """Stored package specs in their last version."""
+    return specs.groupBy("hash").agg(
+        *[F.max_by(c, "stored_version").alias(c) for c in dim_builders.SPEC_FIELDS]
+    )
 
 
-def log_day(df: DataFrame, now: datetime, ts: str = "timestamp") -> DataFrame:
-    """Adds the index of each document: one per day, today for documents without a time."""
-    when = F.coalesce(F.col(ts), _lit_ts(now)) if ts in df.columns else _lit_ts(now)
+def log_day(df: DataFrame, now: datetime | None, ts: str = "timestamp") -> DataFrame:
+    """Adds the index of each document: one per day, that of now for documents without a time.
+
+    Without now it is the time of the query, in a stream that of each micro-batch.
+    """
+    today = F.current_timestamp().cast("timestamp_ntz") if now is None else _lit_ts(now)
+    when = F.coalesce(F.col(ts), today) if ts in df.columns else today
     return df.withColumn("timestamp", when).withColumn(
         "log_index", F.date_format("timestamp", "'gitlab-job-logs-'yyyyMMdd")
     )

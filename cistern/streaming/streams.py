@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.columns import is_true
-from ..operators import facts, logs, metrics, rolling, warehouse
+from ..functions.columns import is_true, one_per
+from ..operators import dims, facts, logs, metrics, rolling, warehouse
 from ..sources import writers
 
 Trigger = dict
@@ -26,20 +26,26 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.BUILD_EVENTS).json(path)
 
 
-Enrich = Callable[[DataFrame], DataFrame]
+Enrich = Callable[[DataFrame], "DataFrame | tuple[DataFrame, DataFrame]"]
 
 
 def stream_jobs(
     events: DataFrame, out: str, checkpoint: str, enrich: Enrich, runners: DataFrame,
-    trigger: Trigger = ONCE,
+    trigger: Trigger = ONCE, rejects: str | None = None,
 ) -> StreamingQuery:
     """Finished build events to warehouse tables.
 
-    enrich turns the job rows of a batch into enriched jobs (warehouse.enrich_jobs with the
-    caller's traces, retries and details).
+    enrich turns the job rows of a batch into enriched jobs and rejects (warehouse.enrich_jobs with
+    the caller's traces, retries and details); the jobs alone will do. rejects: a folder for those
+    of each batch.
     """
-    def batch(df: DataFrame, _: int) -> None:
-        jobs = enrich(warehouse.flatten_events(df.dropDuplicates(["build_id"])))
+    def batch(df: DataFrame, batch_id: int) -> None:
+        # Finished builds first: a build also sends events of its earlier states.
+        finished = one_per(warehouse.flatten_events(df), ["build_id"])
+        enriched = enrich(finished)
+        jobs, rejected = enriched if isinstance(enriched, tuple) else (enriched, None)
+        if rejected is not None and rejects:
+            rejected.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         jobs = jobs.persist()
         try:
             tables, fact = warehouse.build_warehouse(jobs, runners)
@@ -56,37 +62,43 @@ def stream_jobs(
 
 
 def stream_timings(
-    timings: DataFrame, warehouse_path: str, checkpoint: str, trigger: Trigger = ONCE
+    timings: DataFrame, warehouse_path: str, checkpoint: str, nodes: DataFrame | None = None,
+    trigger: Trigger = ONCE,
 ) -> StreamingQuery:
-    """Timing facts of jobs that are already in the warehouse.
+    """Timing facts of jobs in the warehouse, and the phases they name.
 
-    A query of its own: if it fails, the job facts stand. Rows whose job, package or spec is not
-    stored yet give no fact, so run it behind stream_jobs.
+    A query of its own: if it fails, the job facts stand. nodes (job_id and the columns of a spec
+    node) enter as packages and specs before timings are looked up, so that dependencies which no
+    job has built are known. Rows whose job, package or spec isn't stored yet wait in
+    `pending_timings`, one folder for each batch, and are tried again with the next batch.
     """
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        fact = writers.read_table(spark, warehouse_path, "fact_job")
-        result = writers.read_table(spark, warehouse_path, "dim_job_result")
-        packages = writers.read_table(spark, warehouse_path, "dim_package")
-        specs = writers.read_table(spark, warehouse_path, "dim_package_spec")
-        if fact is None or result is None or packages is None or specs is None:
-            return
-        jobs = fact.select(
-            "job_id", "spec_hash", "start_date_key", "start_time_key", "job_result_id"
-        ).join(result.select("job_result_id", "status", "job_type").distinct(), "job_result_id")
-        chosen = facts.select_timings(df, jobs).persist()
+        path = f"{warehouse_path}/pending_timings"
+        waiting = writers.read_table(spark, path, f"batch={batch_id - 1}") if batch_id else None
+        if batch_id and waiting is None:
+            raise RuntimeError(f"the pending timings of batch {batch_id - 1} are missing in {path}")
+        rows = (df if waiting is None else df.unionByName(waiting)).persist()
         try:
-            names = packages.select("name").distinct()
-            writers.write_warehouse(
-                {},
-                {
-                    "fact_timer": facts.build_fact_timer(chosen, names, specs),
-                    "fact_timer_phase": facts.build_fact_timer_phase(chosen, names, specs),
-                },
-                warehouse_path,
-            )
+            chosen = _stored_timings(rows, nodes, warehouse_path)
+            if chosen is None:
+                rest = rows
+            else:
+                chosen, rest = chosen
+                names = writers.read_table(spark, warehouse_path, "dim_package").select("name").distinct()
+                specs = writers.read_table(spark, warehouse_path, "dim_package_spec")
+                writers.write_warehouse(
+                    {"dim_timer_phase": dims.build_dim_timer_phase(chosen)},
+                    {
+                        "fact_timer": facts.build_fact_timer(chosen, names, specs),
+                        "fact_timer_phase": facts.build_fact_timer_phase(chosen, names, specs),
+                    },
+                    warehouse_path,
+                )
+            rest.select(*df.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            writers.remove(spark, f"{path}/batch={batch_id - 2}")
         finally:
-            chosen.unpersist()
+            rows.unpersist()
 
     return (
         timings.writeStream.foreachBatch(batch)
@@ -96,10 +108,52 @@ def stream_timings(
     )
 
 
+def _stored_timings(
+    rows: DataFrame, nodes: DataFrame | None, warehouse_path: str
+) -> tuple[DataFrame, DataFrame] | None:
+    """Timings to store and those that wait; None before there is a warehouse."""
+    spark = rows.sparkSession
+    fact = writers.read_table(spark, warehouse_path, "fact_job")
+    result = writers.read_table(spark, warehouse_path, "dim_job_result")
+    if fact is None or result is None:
+        return None
+    asked = rows.select("job_id").distinct()
+    if nodes is not None:
+        own = nodes.join(asked, "job_id", "left_semi")
+        packages, specs = dims.add_spec_nodes(
+            own.select("name").limit(0), own.select("hash", *dims.SPEC_FIELDS).limit(0), own
+        )
+        writers.write_warehouse(
+            {"dim_package": packages, "dim_package_spec": specs}, {}, warehouse_path
+        )
+    packages = writers.read_table(spark, warehouse_path, "dim_package")
+    specs = writers.read_table(spark, warehouse_path, "dim_package_spec")
+    if packages is None or specs is None:
+        return None
+    known = fact.join(asked, "job_id", "left_semi").select(
+        "job_id", "spec_hash", "start_date_key", "start_time_key", "job_result_id"
+    )
+    jobs = known.join(
+        result.select("job_result_id", "status", "job_type").distinct(), "job_result_id"
+    )
+    chosen = facts.select_timings(rows, jobs)
+    no_job = rows.join(jobs.select("job_id"), "job_id", "left_anti")
+    no_package = chosen.join(
+        packages.select(F.col("name")).distinct(), "name", "left_anti"
+    ).select(*rows.columns)
+    no_spec = chosen.join(packages.select("name").distinct(), "name", "left_semi").join(
+        specs.select("hash").distinct(), "hash", "left_anti"
+    ).select(*rows.columns)
+    return chosen, no_job.unionByName(no_package).unionByName(no_spec)
+
+
 def stream_job_logs(
-    documents: DataFrame, out: str, checkpoint: str, now: datetime, trigger: Trigger = ONCE
+    documents: DataFrame, out: str, checkpoint: str, now: datetime | None = None, trigger: Trigger = ONCE
 ) -> StreamingQuery:
-    """Cleaned log documents appended to the folder of their day."""
+    """Cleaned log documents appended to the folder of their day.
+
+    A document without a time belongs to the day of `now`, or else of its micro-batch.
+    """
     clean = writers.log_day(logs.strip_ansi(documents, "trace", "job_trace").drop("trace"), now)
     return (
         clean.writeStream.format("parquet")
@@ -143,6 +197,8 @@ def stream_alerts(
         spark = df.sparkSession
         checked = df.withColumn("_holds", is_true(condition))
         old = writers.read_table(spark, state, f"batch={batch_id - 1}") if batch_id else None
+        if batch_id and old is None:
+            raise RuntimeError(f"the state of batch {batch_id - 1} is missing in {state}")
         since = rolling.held_since(
             checked, keys, "ts", "_holds", max(metrics.SLICE, hold), "active_since", old
         ).persist()
@@ -160,6 +216,8 @@ def stream_alerts(
             last.where("since IS NOT NULL").write.mode("overwrite").parquet(
                 f"{state}/batch={batch_id}"
             )
+            # A batch that runs again needs the state before it; older ones are of no use.
+            writers.remove(spark, f"{state}/batch={batch_id - 2}")
         finally:
             since.unpersist()
 
