@@ -10,9 +10,9 @@ so that their embeddings have a small Hamming distance. Hashes of a few sampled
 equal with good probability; WALKS embeddings with SAMPLES hashes each repeat that until a leak is found with the
 probability wanted.
 
-Windows: an item's size class is the largest of SIZES that is at most half of its words. In a text, windows of each size
-follow one upon the other; in an item, they begin at every word. So whatever the place of a leaked item in a text, one of
-the text's windows lies within it and is compared with the window of the item that begins at the same word. Equal hashes
+Windows: an item's size class is the largest of SIZES that is at most a third of its words. In a text, windows of each size
+follow one upon the other; in an item, they begin at every word. So whatever the place of a leaked item in a text, two of
+the text's windows (one for the shortest items) lie within it and each is compared with the window of the item that begins at the same word. Equal hashes
 propose (text, item, place); the proposal is then verified on the whole item: the least number of words to insert, delete or replace in order to turn the item
 into some passage of the text around that place is at most MAX_EDITS times the item's words.
 
@@ -38,16 +38,16 @@ from cistern.llm.wordhash import WordHasher, mix, text_blocks
 #: What separates words: ASCII but letters and digits.
 SPACE = bytes(b for b in range(128) if not chr(b).isalnum())
 MIN_WORDS = 8
-SIZES = (4, 6, 12)
-WALKS, SAMPLES, PICKED = 2, 8, 5
+SIZES = (4, 6, 8, 12)
+WALKS, SAMPLES, PICKED = 2, 8, 4
 MAX_EDITS = 0.2
 MAX_WINDOWS = 2_000_000
 SEED = 20_011
 
 
 def window_size(words: int) -> int:
-    """The size class of an item: windows of that size, one upon the other, have one within any run of so many words."""
-    return max(z for z in SIZES if 2 * z - 1 <= words)
+    """The size class of an item: windows of that size, one upon the other, have two within any run of so many words, and one in runs below the least class."""
+    return max((z for z in SIZES if 3 * z - 1 <= words), default=SIZES[0])
 
 
 def _picks(size: int, walk: int) -> np.ndarray:
