@@ -1,5 +1,12 @@
 """Names, codes, patterns and formats that decide results."""
 
+import json
+import re
+from pathlib import Path
+
+#: Names and addresses of the site whose data are read: change the file for another site.
+SITE = json.loads((Path(__file__).resolve().parents[1] / "settings.json").read_text(encoding="utf-8"))
+
 # Job names that are their own job type.
 NAMED_JOB_TYPES = (
     "no-specs-to-rebuild",
@@ -42,7 +49,7 @@ SECTION_TIMERS = (
 )
 
 # Taxonomy classes that are the user's own error.
-USER_ERRORS = ("spack_error", "build_error", "concretization_error", "module_not_found")
+USER_ERRORS = tuple(SITE["user_errors"])
 
 # Failure reasons that stand in when no pattern matched.
 SELF_NAMED_REASONS = ("stuck_or_timeout_failure", "scheduler_failure")
@@ -120,49 +127,30 @@ INDEX_MANIFEST = r"/v[\d]+/manifests/index/index.manifest.json$"
 LAYOUT_ROOT = r"^v[\d]+$"
 
 # Media types in build cache manifests.
-TARBALL_MEDIA_TYPE = "application/vnd.spack.install.v2.tar+gzip"
-SPEC_MEDIA_TYPE = "application/vnd.spack.spec.v5+json"
-INDEX_MEDIA_PREFIX = "application/vnd.spack.db"
+TARBALL_MEDIA_TYPE = SITE["tarball_media_type"]
+SPEC_MEDIA_TYPE = SITE["spec_media_type"]
+INDEX_MEDIA_PREFIX = SITE["index_media_prefix"]
+INDEX_MEDIA_TYPE = SITE["index_media_type"]
 KEY_MEDIA_TYPE = "application/pgp-keys"
 
 # Object listing line, and the kinds of object key that describe a build.
 LISTING_LINE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2})\s+(\d+)\s+(.+)$"
-V2_SUFFIXES = (".spec.json.sig", ".spack")
-V2_KEY = r"^(.+)(/build_cache/.+-)([^\.]+)(\.spec\.json\.sig|\.spack)$"
+V2_SUFFIXES = (SITE["spec_suffix"], SITE["archive_suffix"])
+V2_KEY = rf"^(.+)(/build_cache/.+-)([^\.]+)({'|'.join(map(re.escape, V2_SUFFIXES))})$"
 V3_SUFFIXES = (".spec.manifest.json",)
 V3_KEY = r"^(.+)(/v3/manifests/spec/.+-)([^-\.]+)(\.spec\.manifest\.json)$"
 
 # Variables that a build job's definition must carry, by output column.
-REQUIRED_JOB_VARIABLES = {
-    "package_hash": "SPACK_JOB_SPEC_DAG_HASH",
-    "package_name": "SPACK_JOB_SPEC_PKG_NAME",
-    "package_version": "SPACK_JOB_SPEC_PKG_VERSION",
-    "compiler_name": "SPACK_JOB_SPEC_COMPILER_NAME",
-    "compiler_version": "SPACK_JOB_SPEC_COMPILER_VERSION",
-    "arch": "SPACK_JOB_SPEC_ARCH",
-    "package_variants": "SPACK_JOB_SPEC_VARIANTS",
-    "job_size": "CI_JOB_SIZE",
-}
-STACK_VARIABLE = "SPACK_CI_STACK_NAME"
-BUILD_JOBS_VARIABLE = "SPACK_BUILD_JOBS"
+REQUIRED_JOB_VARIABLES = SITE["required_job_variables"]
+STACK_VARIABLE = SITE["stack_variable"]
+BUILD_JOBS_VARIABLE = SITE["build_jobs_variable"]
 
 # Pod annotations and labels, by output column.
-POD_ANNOTATIONS = {
-    "package_hash": "annotation_metrics_spack_job_spec_hash",
-    "package_name": "annotation_metrics_spack_job_spec_pkg_name",
-    "package_version": "annotation_metrics_spack_job_spec_pkg_version",
-    "arch": "annotation_metrics_spack_job_spec_arch",
-    "package_variants": "annotation_metrics_spack_job_spec_variants",
-}
-POD_OPTIONAL_ANNOTATIONS = {
-    "compiler_name": "annotation_metrics_spack_job_spec_compiler_name",
-    "compiler_version": "annotation_metrics_spack_job_spec_compiler_version",
-}
-POD_LABELS = {
-    "job_size": "label_gitlab_ci_job_size",
-    "stack": "label_metrics_spack_ci_stack_name",
-}
-POD_BUILD_JOBS = "annotation_metrics_spack_job_build_jobs"
+POD_ANNOTATIONS = SITE["pod_annotations"]
+POD_OPTIONAL_ANNOTATIONS = SITE["pod_optional_annotations"]
+POD_LABELS = SITE["pod_labels"]
+POD_BUILD_JOBS = SITE["pod_build_jobs"]
+PIPELINE_NODE_LABEL = SITE["pipeline_node_label"]
 POD_JOB_ID = "annotation_gitlab_ci_job_id"
 NODE_LABELS = {
     "cpu": "label_karpenter_k8s_aws_instance_cpu",
@@ -196,14 +184,14 @@ SNAPSHOT_DAYS = {"fact_job": 1000, "fact_timer": 30, "fact_timer_phase": 7}
 SNAPSHOT_NULL = "<null>"
 
 # Backlog texts of pull requests.
-BASE_DOC_URL = "https://github.com/spack/spack-infrastructure/blob/main/docs/deferred_pipelines.md"
+BASE_DOC_URL = SITE["base_doc_url"]
 STALE_REASON = "stale"
 DRAFT_REASON = "draft"
 LABEL_REASON = "missing_label"
 BASE_REASON = "base"
 
 # Address that job pages live under.
-JOB_URL_PREFIX = "https://gitlab.spack.io/spack/spack-packages/-/jobs/"
+JOB_URL_PREFIX = SITE["job_url_prefix"]
 
 # Log line formats; groups are listed in order.
 LOG_FORMATS = {

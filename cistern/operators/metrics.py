@@ -723,7 +723,7 @@ def pipeline_overview(samples: DataFrame, step: float, lookback: float = LOOKBAC
     build = [("namespace", "=", "pipeline")]
     nodes = by_labels(
         instant(
-            select_series(samples, "kube_node_labels", [("label_spack_io_pipeline", "=", "true")]),
+            select_series(samples, "kube_node_labels", [(fixed.PIPELINE_NODE_LABEL, "=", "true")]),
             step, lookback,
         ),
         ["node", "label_node_kubernetes_io_instance_type",

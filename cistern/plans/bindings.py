@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import fixed
+
 Expr = str | tuple[str, str]
 
 BUILD_NAME = (
@@ -342,8 +344,8 @@ BINDINGS: dict[str, tuple[str, dict[str, Expr]]] = {
         {
             "key": "concat('develop', case when l_suppkey % 4 = 0 then '' else "
             "concat('/stack', l_suppkey % 4) end, '/build_cache/linux-', l_orderkey % 5, '-', "
-            "md5(concat('h', l_orderkey)), case when l_linenumber % 2 = 0 then '.spack' else "
-            "'.spec.json.sig' end)",
+            "md5(concat('h', l_orderkey)), case when l_linenumber % 2 = 0 then '" + fixed.V2_SUFFIXES[1] + "' else '"
+            + fixed.V2_SUFFIXES[0] + "' end)",
             "size": "cast(floor(l_extendedprice) as bigint)",
             "modified": "cast(l_shipdate as {ntz})",
         },

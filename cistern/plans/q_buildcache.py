@@ -14,11 +14,11 @@ NOW_SQL = "timestamp '1999-01-01 00:00:00'"
 INDEXED = datetime(1998, 6, 1)
 INDEXED_SQL = "timestamp '1998-06-01 00:00:00'"
 
-V2_SQL = """, v2 as (select regexp_extract(key, '^(.+)/build_cache/', 1) as prefix,
+V2_SQL = f""", v2 as (select regexp_extract(key, '^(.+)/build_cache/', 1) as prefix,
     regexp_extract(key, '-([^-.]+)[.]', 1) as hash,
-    max(key) filter (key like '%.spec.json.sig') as meta,
-    max(key) filter (key like '%.spack') as archive,
-    arg_max(size, key) filter (key like '%.spack') as any_size from b_object_keys group by all)"""
+    max(key) filter (key like '%{fixed.V2_SUFFIXES[0]}') as meta,
+    max(key) filter (key like '%{fixed.V2_SUFFIXES[1]}') as archive,
+    arg_max(size, key) filter (key like '%{fixed.V2_SUFFIXES[1]}') as any_size from b_object_keys group by all)"""
 
 
 @query("catalog_v2", V2_SQL + "select prefix, hash, meta, archive from v2", "object_keys")
@@ -173,8 +173,8 @@ def _spec_documents(spark, sf):
     )
 
 
-MIGRATE_SQL = V2_SQL + """, done as (select distinct hash from b_manifest_keys where stack = 'stack1'),
-  sz as (select prefix, hash, max(size) filter (key like '%.spack') as n from (
+MIGRATE_SQL = V2_SQL + f""", done as (select distinct hash from b_manifest_keys where stack = 'stack1'),
+  sz as (select prefix, hash, max(size) filter (key like '%{fixed.V2_SUFFIXES[1]}') as n from (
     select *, regexp_extract(key, '^(.+)/build_cache/', 1) as prefix,
       regexp_extract(key, '-([^-.]+)[.]', 1) as hash from b_object_keys) group by all),
   sd as (select md5(concat('h', o_orderkey)) as hash, o_orderkey % 11 <> 0 as has_alg,
@@ -403,7 +403,7 @@ def cache_entries(spark, sf):
     )
     keys = rows.groupBy("key").agg(F.min("sum").alias("sum"), F.bool_or("blob").alias("blob"))
     blob = F.struct(
-        F.when(F.col("blob"), "application/vnd.spack.db.v8+json").otherwise("text/plain")
+        F.when(F.col("blob"), fixed.INDEX_MEDIA_TYPE).otherwise("text/plain")
         .alias("mediaType"),
         F.lit("sha256").alias("checksumAlgorithm"), F.col("sum").alias("checksum"),
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import dims, warehouse
 from ..sources.scratch import stage
 from .bindings import bind
@@ -120,9 +121,8 @@ def flag_unnecessary(spark, sf):
     return dims.flag_unnecessary(traces).select("job_id", "unnecessary")
 
 
-INFRA_SQL = """(status = 'failed'
-  and not coalesce(error_taxonomy in ('spack_error', 'build_error', 'concretization_error',
-    'module_not_found'), false)
+INFRA_SQL = f"""(status = 'failed'
+  and not coalesce(error_taxonomy in {fixed.USER_ERRORS}, false)
   and not coalesce(job_type = 'rebuild-index' and error_taxonomy = 'failed_to_get_specs', false))"""
 
 

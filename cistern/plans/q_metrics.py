@@ -198,13 +198,13 @@ def pod_requests_limits(spark, sf):
 
 @query(
     "pod_labels",
-    """, p as (select distinct pod, cast(substr(pod, 2) as int) as n from b_samples)
+    f""", p as (select distinct pod, cast(substr(pod, 2) as int) as n from b_samples)
     select pod, 'pkg' || n as package_name, 'stack' || n as stack,
       case when n % 3 = 0 then 'gcc' else '' end as compiler_name,
       case when n % 4 = 0 then n end as build_jobs, cast(null as varchar) as reason
       from p where n % 7 <> 0
     union all select pod, null, null, null, null,
-      'missing label annotation_metrics_spack_job_spec_hash' from p where n % 7 = 0""",
+      'missing label {fixed.POD_ANNOTATIONS['package_hash']}' from p where n % 7 = 0""",
     "samples",
 )
 def pod_labels(spark, sf):
@@ -630,7 +630,7 @@ def overview_rows(spark, sf):
     kind = F.concat(F.lit("m"), (F.col("k") % 3).cast("string"))
     parts = [
         ("kube_node_labels", _labels(
-            node="node", label_spack_io_pipeline=F.lit("true"),
+            node="node", **{fixed.PIPELINE_NODE_LABEL: F.lit("true")},
             label_node_kubernetes_io_instance_type=kind,
             label_beta_kubernetes_io_instance_type=kind)),
         ("kube_pod_info", _labels(pod="pod", node="node", namespace=F.lit("pipeline"))),

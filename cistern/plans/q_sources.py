@@ -183,10 +183,10 @@ def read_series(spark, sf):
 
 @query(
     "read_pipeline_vars",
-    """select name || '@' || version || ' /' || hash as job_name, name as package_name,
+    f"""select name || '@' || version || ' /' || hash as job_name, name as package_name,
       hash as package_hash, arch, 'stack' || substr(version, 3) as stack,
       case when known then 8 end as build_jobs,
-      case when compiler_name = '' then 'SPACK_JOB_SPEC_COMPILER_NAME' end as missing_variable
+      case when compiler_name = '' then '{fixed.REQUIRED_JOB_VARIABLES['compiler_name']}' end as missing_variable
       from b_specs""",
     "specs",
 )

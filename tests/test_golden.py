@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cistern.functions import taxonomy_values
+from cistern.functions import fixed, taxonomy_values
 from cistern.functions.columns import grep_regex, mandatory_text
 from cistern.operators import buildcache, dims, facts, logs, metrics, pipelines, rolling, upkeep
 
@@ -51,7 +51,7 @@ def test_traceback_over_lines(spark):
     text = "Traceback (most recent call last):\n  x\n\ty AssertionError"
     other = "Traceback (most recent call last):\r x AssertionError"
     df = spark.createDataFrame([(text,), (other,)], "t STRING")
-    hit = logs.any_match("t", taxonomy_values.CLASSES["spack_error"])
+    hit = logs.any_match("t", taxonomy_values.CLASSES[fixed.USER_ERRORS[0]])
     assert [r[0] for r in df.select(hit).collect()] == [True, False]
 
 
@@ -109,7 +109,7 @@ def test_strip_ansi_leaves_known_tail(spark):
 
 def test_infrastructure_error_reads_null_as_no_match(spark):
     data = [
-        ("failed", None, "build"), ("failed", "spack_error", "build"), ("success", None, "build"),
+        ("failed", None, "build"), ("failed", fixed.USER_ERRORS[0], "build"), ("success", None, "build"),
         ("failed", "failed_to_get_specs", "rebuild-index"), ("failed", "failed_to_get_specs", "copy"),
     ]
     df = spark.createDataFrame(data, "status STRING, error_taxonomy STRING, job_type STRING")
@@ -351,13 +351,16 @@ def test_label_replace_needs_whole_value(spark):
 # Build cache
 
 
+ARCHIVE = fixed.V2_SUFFIXES[1]
+
+
 def test_catalog_and_publish(spark):
     keys = [
-        "develop/s1/build_cache/linux-a-h1.spec.json.sig", "develop/s1/build_cache/linux/a-h1.spack",
-        "develop/s2/build_cache/linux-a-h1.spec.json.sig", "develop/s2/build_cache/linux/a-h1.spack",
-        "develop/s2/build_cache/linux-a-h2.spec.json.sig", "develop/s1/build_cache/linux/a-h3.spack",
+        "develop/s1/build_cache/linux-a-h1.spec.json.sig", f"develop/s1/build_cache/linux/a-h1{ARCHIVE}",
+        "develop/s2/build_cache/linux-a-h1.spec.json.sig", f"develop/s2/build_cache/linux/a-h1{ARCHIVE}",
+        "develop/s2/build_cache/linux-a-h2.spec.json.sig", f"develop/s1/build_cache/linux/a-h3{ARCHIVE}",
         "develop/build_cache/linux-a-h4.spec.json.sig", "develop/s1/build_cache/index.json",
-        "develop/s2/build_cache/linux-a-h4.spec.json.sig", "develop/s2/build_cache/linux/a-h4.spack",
+        "develop/s2/build_cache/linux-a-h4.spec.json.sig", f"develop/s2/build_cache/linux/a-h4{ARCHIVE}",
     ]
     listing = spark.createDataFrame([(k, 1) for k in keys], "key STRING, size BIGINT")
     stacks, top = buildcache.split_stacks(buildcache.catalog_v2(listing), "develop")
@@ -365,7 +368,7 @@ def test_catalog_and_publish(spark):
     assert rows(missing, "hash", "stack") == [("h1", "s1"), ("h1", "s2")]
     plan = buildcache.publish_plan(missing, "develop", version=2)
     assert rows(plan, "step", "stack", "dst") == [
-        (0, "s1", "develop/build_cache/linux/a-h1.spack"),
+        (0, "s1", f"develop/build_cache/linux/a-h1{ARCHIVE}"),
         (1, "s1", "develop/build_cache/linux-a-h1.spec.json.sig")]
 
 
