@@ -3,13 +3,13 @@
 A text is lower-cased (A-Z) and cut into words; its set is its distinct five-word shingles, as 64-bit hashes. One
 permutation of the hashes is cut into BINS bins; an empty bin takes the value of the first filled one in an order of its
 own. ROWS bins make a band. Texts with equal sets are one representative, so that copies never meet in a bucket. In each
-bucket the smallest representative is the centre and has an edge to every other member: a bucket of m makes m - 1 edges,
-never m * m. Edges are confirmed on full sets.
+bucket two centres have an edge to every other member: a bucket of m makes less than 2 * m edges, never m * m. Edges are
+confirmed on full sets.
 
-A star may miss a link between two members that are both unlike their centre. Buckets whose members end up in several
-components are therefore searched on: members become centres in turn (1, 2, 4, ... of them a round), against members of
-other components only, until every bucket is one component or all of its members have been centres. So within buckets no
-link is lost; two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6.
+Two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6, and ten of the 32 on average. A link
+is tested where one of the two is a centre of a shared bucket, and needn't be where both are linked to a centre. Members
+that aren't linked to their bucket's centre have stars of their own, round by round, as long as that finds links. A link
+between two texts is missed only if in all of their buckets the centres are other texts, to which they aren't both linked.
 
 Null, empty and blank texts have no set and stand alone. Texts of less than five words are one shingle. Repeated rows
 are copies, and rows of one id one document whose texts are each compared; rows with a null id stand alone (component_id null). Very long texts are whole. An empty table gives an
@@ -137,47 +137,57 @@ def components(links: DataFrame) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """Rows (key, a, na, b, nb) of buckets of two and more: the centre a and every other member b."""
-    centre = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    return members.join(centre, "key").where("rep <> c.rep").select(
-        "key", "m", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")
-    )
+def _like_sizes(pairs: DataFrame) -> DataFrame:
+    return pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).distinct()
 
 
-def _like_sizes(pairs: DataFrame) -> DataFrame:
-    return pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+def _shared(members: DataFrame) -> DataFrame:
+    """Members (key, rep, n) of buckets of two and more, with the number that each has around it in all of its buckets."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stage(members.join(sizes, "key"), "buckets")
+    around = shared.groupBy("rep").agg(F.sum("m").alias("around"))
+    return stage(shared.join(around, "rep").select("key", "rep", "n", "around"), "members")
 
 
-def _searched_on(stars: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within buckets of several components that the stars didn't test."""
-    big = stars.where("m > 2")
-    members = big.select("key", F.col("b").alias("rep"), F.col("nb").alias("n"), F.lit(True).alias("other")).union(
-        big.select("key", F.col("a").alias("rep"), F.col("na").alias("n"), F.lit(False).alias("other")).distinct()
-    )
+def _stars(shared: DataFrame) -> DataFrame:
+    """(key, a, na, b, nb): edges from two centres of each bucket to every other member.
+
+    One centre is the member with most others around it, which in a group of edited copies is likely the text they come
+    from; the other is drawn by a hash, so that the buckets of two texts have different centres.
+    """
+    first = F.min(F.struct((-F.col("around")).alias("o"), "rep", "n")).alias("c1")
+    drawn = F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n")).alias("c2")
+    centres = shared.groupBy("key").agg(first, drawn)
+    both = shared.join(centres, "key").withColumn("c", F.explode(F.array_distinct(F.array(F.struct("c1.rep", "c1.n"), F.struct("c2.rep", "c2.n")))))
+    return both.where("rep <> c.rep").select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    """Each pair of texts once, the smaller first."""
+    turn = F.col("a") < F.col("b")
+    cols = [F.when(turn, F.col(x)).otherwise(F.col(y)).alias(z) for z, x, y in (("a", "a", "b"), ("na", "na", "nb"), ("b", "b", "a"), ("nb", "nb", "na"))]
+    return _like_sizes(stars.select(*cols))
 
-    def open_buckets(roots: DataFrame) -> DataFrame:
-        own = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
-        return own.join(mixed.where("lo < hi").select("key", "m"), "key")
 
-    step = 1
+def _searched_on(shared: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) after stars among the members that aren't in the component of their bucket's centre.
+
+    Each round drops the centre's component from a bucket and draws stars among the rest, as long as that finds links.
+    """
+    left = shared
     while True:
-        now = stage(open_buckets(roots), "buckets")
-        most = now.agg(F.max("m")).first()[0]
-        if most is None or step >= most:
-            return links
-        rank = now.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
-        rank = stage(rank, "ranks")
-        centre = rank.where(f"r > {step} and r <= {2 * step}").select(
-            "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("r").alias("r1")
-        )
-        pairs = rank.join(centre, "key").where("r > r1 and root <> ra").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
-        found = stage(_confirmed(_like_sizes(pairs).distinct(), sets), "more")
-        if found.take(1):
-            links = links.union(found)
-            roots = components(links)
-        step *= 2
+        own = left.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        centre = own.groupBy("key").agg(F.min(F.struct((-F.col("around")).alias("o"), "rep", "root")).alias("c")).select("key", F.col("c.root").alias("gone"))
+        rest = own.join(centre, "key").where("root <> gone")
+        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        left = stage(rest.join(mixed, "key", "left_semi").select("key", "rep", "n", "around"), "rest")
+        pairs = stage(_pairs(_stars(left)).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        found = stage(_confirmed(pairs, sets).distinct(), "more")
+        if not found.take(1):
+            return roots
+        tested = tested.select("a", "b").union(pairs.select("a", "b"))
+        # A component is a star of links to its root: new links are added to those.
+        roots = components(found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,17 +201,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     chosen = sets_of.join(reps, (F.col("doc_id") == F.col("rep")) & (sets_of["digest"] == reps["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
     # Rows of one id may have several sets; a representative is then told apart by its set.
     members = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key"))
-    stars = stage(_star(members), "stars")
-    pairs = stage(_like_sizes(stars.select("a", "na", "b", "nb")).distinct(), "pairs")
-    wanted = stars.select(F.col("b").alias("doc_id")).union(stars.select(F.col("a").alias("doc_id"))).distinct()
+    shared = _shared(members)
+    pairs = stage(_pairs(_stars(shared)), "pairs")
+    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(
         docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, f"doc_id {kind}, shingles array<long>"),
         "sets",
     )
-    links = stage(_confirmed(pairs, sets).distinct(), "confirmed")
-    roots = components(links)
-    links = _searched_on(stars, links, roots, sets)
-    roots = components(links)
+    roots = components(stage(_confirmed(pairs, sets).distinct(), "confirmed"))
+    roots = _searched_on(shared, roots, pairs, sets)
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = signed.join(named, "digest", "left").select(
         "doc_id",
