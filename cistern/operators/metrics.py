@@ -311,13 +311,17 @@ def pod_node(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(label(names["zone"])).alias("zone"),
     )
     nodes = uuids.join(sizes, "node")
-    return pods.join(nodes, "node"), r1.unionByName(r2).unionByName(r3)
+    lost = pods.join(nodes.select("node"), "node", "left_anti").select(
+        F.col("pod").cast("string").alias("key"), F.lit("pod_node").alias("operator"),
+        F.concat(F.lit("no details of node "), F.col("node")).alias("reason"),
+    )
+    return pods.join(nodes, "node"), r1.unionByName(r2).unionByName(r3).unionByName(lost)
 
 
 PRICE_KEY = ("capacity_type", "instance_type", "zone")
 
 
-def spot_price(samples: DataFrame, windows: DataFrame, width: float = 86400.0) -> DataFrame:
+def spot_price(samples: DataFrame, windows: DataFrame, width: float = 3600.0) -> DataFrame:
     """Mean price of each window's kind of node; NULL where the window has no price.
 
     windows: window_id, capacity_type, instance_type, zone, start_ts, end_ts

@@ -28,17 +28,22 @@ def read_ci_table(
 ) -> DataFrame:
     """One table of the CI database.
 
-    Give a folder of parquet extracts, or JDBC options. A JDBC read with lower and upper bounds
-    is split by the table's id into parallel ranges.
+    Give a folder of parquet extracts, or JDBC options. A JDBC read is split by the table's id into
+    parallel ranges, between the bounds given or else the least and greatest id.
     """
     ddl = schemas.CI_TABLES[name]
     if isinstance(options, str):
         return spark.read.schema(ddl).parquet(f"{options}/{name}")
     table, column = schemas.CI_TABLE_SOURCES[name]
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
-    if "lowerBound" in options and "upperBound" in options:
-        reader = reader.option("partitionColumn", column).option("numPartitions", partitions)
-    return reader.load()
+    source = spark.read.format("jdbc").options(**options)
+    if "lowerBound" not in options or "upperBound" not in options:
+        ends = f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {table}) ends"
+        lo, hi = source.option("dbtable", ends).load().first()
+        source = source.option("lowerBound", lo or 0).option("upperBound", (hi or 0) + 1)
+    reader = source.option("dbtable", table).option("partitionColumn", column)
+    rows = reader.option("numPartitions", partitions).load()
+    wanted = spark.createDataFrame([], ddl).schema
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
 
 
 def read_ci_tables(
