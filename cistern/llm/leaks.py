@@ -39,7 +39,7 @@ from cistern.llm.wordhash import WordHasher, mix, text_blocks
 SPACE = bytes(b for b in range(128) if not chr(b).isalnum())
 MIN_WORDS = 8
 SIZES = (4, 6, 8, 12)
-WALKS, SAMPLES, PICKED = 2, 8, 4
+WALKS, SAMPLES, PICKED = 4, 8, 6
 MAX_EDITS = 0.2
 MAX_WINDOWS = 2_000_000
 SEED = 20_011
@@ -51,9 +51,14 @@ def window_size(words: int) -> int:
 
 
 def _picks(size: int, walk: int) -> np.ndarray:
-    """Sampled steps of the embedding, SAMPLES rows of PICKED; as a head moves every other step, they span the window."""
+    """Sampled steps of the embedding, SAMPLES rows: one in each of PICKED equal parts, so that few fall on one word.
+
+    As a head moves every other step, they span the window.
+    """
     draw = np.random.default_rng(SEED + 100 * size + walk)
-    return np.stack([draw.choice(2 * size - 2, PICKED, replace=False) for _ in range(SAMPLES)])
+    parts = min(PICKED, size + 1)
+    edges = np.linspace(0, 2 * size - 1, parts + 1)
+    return np.stack([np.floor(draw.uniform(edges[:-1], edges[1:])).astype(np.int64) for _ in range(SAMPLES)])
 
 
 def sketches(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
