@@ -195,7 +195,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end: int
         write_file(uri, np.array(doc_ids, np.int64), starts, np.concatenate(runs))
         yield pa.RecordBatch.from_pydict({"file": [uri], "first_doc": [doc_ids[0]], "docs": [len(doc_ids)], "ids": [int(starts[-1])]})
 
-    ranged = docs.repartitionByRange(int(files), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(int(files), "doc_id").sortWithinPartitions("doc_id", "text")
     written = stage(ranged.mapInArrow(run, "file string, first_doc long, docs long, ids long"), "token-files")
     # A row for each file: their running sum is the place of each file's first id.
     order = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
