@@ -6,10 +6,11 @@ own. ROWS bins make a band. Texts with equal sets are one representative, so tha
 bucket two centres have an edge to every other member: a bucket of m makes less than 2 * m edges, never m * m. Edges are
 confirmed on full sets.
 
-Two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6, and ten of the 32 on average. A link
-is tested where one of the two is a centre of a shared bucket, and needn't be where both are linked to a centre. Members
-that aren't linked to their bucket's centre have stars of their own, round by round, as long as that finds links. A link
-between two texts is missed only if in all of their buckets the centres are other texts, to which they aren't both linked.
+Two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6, and ten of the 32 on average. Stars
+may miss a link between two members that are both unlike their centres. In buckets whose members are of several components
+all pairs of different components are therefore compared, by sketches that exclude no linked pair, and what these leave is
+confirmed on full sets. So within buckets no link is lost. These comparisons grow with the square of such a bucket, as bit
+counts in blocks of members that are spread over tasks; the rows shuffled for it grow with the square over BLOCK.
 
 Null, empty and blank texts have no set and stand alone. Texts of less than five words are one shingle. Repeated rows
 are copies, and rows of one id one document whose texts are each compared; rows with a null id stand alone (component_id null). Very long texts are whole. An empty table gives an
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cistern.llm.wordhash import WordHasher, mix, text_blocks
@@ -33,6 +34,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 PERCENT = 75
+SKETCH = 2048
+BLOCK = 512
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -169,25 +172,68 @@ def _pairs(stars: DataFrame) -> DataFrame:
     return _like_sizes(stars.select(*cols))
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.column(1).offsets.to_numpy()
+        h = batch.column(1).values.to_numpy().view(np.uint64)
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            bits = np.zeros(SKETCH, np.uint8)
+            bits[mix(h[a:b]) % np.uint64(SKETCH)] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(out, pa.binary())], ["rep", "n", "bits"])
+
+
+def _compared(block: pa.Table) -> pa.Table:
+    """Pairs of different components that may be linked, of two blocks of a bucket's members or within one.
+
+    A sketch has a bit for each place that a shingle falls on. Each bit that only one of two texts has is a shingle at
+    least that the other lacks, so the intersection is at most the set's size less those bits. This drops no linked pair.
+    """
+    block = block.combine_chunks()
+    n, own = block["n"].to_numpy(), block["own"].to_numpy()
+    root = block["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = np.frombuffer(b"".join(block["bits"].to_pylist()), np.uint64).reshape(len(n), -1)
+    left = np.flatnonzero(own == own.min())
+    right = left if len(left) == len(n) else np.flatnonzero(own != own.min())
+    if len(left) == len(n) and block["lo"][0] != block["hi"][0]:
+        right = right[:0]  # the other block is empty
+    held = np.bitwise_count(bits).sum(1, np.int64)
+    first, second = [left[:0]], [left[:0]]
+    for k, a in enumerate(left.tolist()):
+        b = left[k + 1 :] if right is left else right
+        b = b[(root[b] != root[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))]
+        common = np.bitwise_count(bits[a] & bits[b]).sum(1, np.int64)
+        both = common + np.minimum(n[a] - held[a], n[b] - held[b])
+        b = b[100 * both >= PERCENT * (n[a] + n[b] - both)]
+        first.append(np.full(len(b), a))
+        second.append(b)
+    a, b = block.take(pa.array(np.concatenate(first))), block.take(pa.array(np.concatenate(second)))
+    return pa.table([a["rep"], a["n"], b["rep"], b["n"]], ["a", "na", "b", "nb"])
+
+
 def _searched_on(shared: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) after stars among the members that aren't in the component of their bucket's centre.
+    """(node, root) after all pairs of different components in a bucket are compared.
 
-    Each round drops the centre's component from a bucket and draws stars among the rest, as long as that finds links.
+    Members of a bucket of several components are dealt into blocks, and each two blocks are compared in a group of their
+    own, so a hot bucket is spread over many tasks. Pairs that their sketches exclude are never rows.
     """
-    left = shared
-    while True:
-        own = left.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        centre = own.groupBy("key").agg(F.min(F.struct((-F.col("around")).alias("o"), "rep", "root")).alias("c")).select("key", F.col("c.root").alias("gone"))
-        rest = own.join(centre, "key").where("root <> gone")
-        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = stage(rest.join(mixed, "key", "left_semi").select("key", "rep", "n", "around"), "rest")
-        pairs = stage(_pairs(_stars(left)).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        found = stage(_confirmed(pairs, sets).distinct(), "more")
-        if not found.take(1):
-            return roots
-        tested = tested.select("a", "b").union(pairs.select("a", "b"))
-        # A component is a star of links to its root: new links are added to those.
-        roots = components(found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    sketches = stage(sets.mapInArrow(_sketched, f"rep {kind}, n long, bits binary").distinct(), "sketches")
+    own = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    own = stage(own.select("key", "rep", "n", "root"), "own")
+    several = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    members = own.join(several.select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key")
+    dealt = members.join(sketches, ["rep", "n"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "root", "bits")
+    compared = dealt.groupBy("key", "lo", "hi").applyInArrow(_compared, f"a {kind}, na long, b {kind}, nb long")
+    pairs = stage(_pairs(compared).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = stage(_confirmed(pairs, sets).distinct(), "more")
+    if not found.take(1):
+        return roots
+    # A component is a star of links to its root: new links are added to those.
+    return components(found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +255,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "sets",
     )
     roots = components(stage(_confirmed(pairs, sets).distinct(), "confirmed"))
-    roots = _searched_on(shared, roots, pairs, sets)
+    roots = _searched_on(shared, roots, pairs.select("a", "b"), sets)
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = signed.join(named, "digest", "left").select(
         "doc_id",

@@ -174,6 +174,34 @@ def test_near_copies_against_brute_force(spark):
     assert near.near_copies(df.limit(0)).count() == 0
 
 
+def edited_rows(draw):
+    """A group without its original: chains of edits that drift, so most members are near only a few others."""
+    base = [f"w{k}" for k in range(160)]
+    rows, chain = [], [base, base, base]
+    for n in range(210):
+        w = list(chain[n % 3])
+        at = draw.randint(0, 150)
+        w[at : at + 2] = [f"x{n}", f"y{n}"]
+        chain[n % 3] = w
+        rows.append((n, " ".join(w)))
+    keep = set(draw.sample(range(210), 150))
+    return [r for r in rows if r[0] in keep]
+
+
+def test_near_copies_of_drifting_edits_lose_no_link_of_a_bucket(spark, monkeypatch):
+    rows = edited_rows(random.Random(3))
+    # All texts share a bucket, so that every pair has to be compared; blocks are small, so that there are several.
+    monkeypatch.setattr(near, "BLOCK", 16, raising=False)
+    shared = spark.createDataFrame([(1, i, len(set(zip(*(t.split()[k:] for k in range(5))))), i) for i, t in rows], "key BIGINT, rep BIGINT, n BIGINT, around BIGINT")
+    sets = near.stage(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").mapInArrow(near._sets, "doc_id BIGINT, shingles array<long>"), "sets")
+    pairs = near.stage(near._pairs(near._stars(shared)), "pairs")
+    roots = near.components(near.stage(near._confirmed(pairs, sets), "confirmed"))
+    found = {r["node"]: r["root"] for r in near._searched_on(shared, roots, pairs.select("a", "b"), sets).collect()}
+    want = {i: root for i, (_, root) in brute_components(rows).items()}
+    assert {i: found.get(i, i) for i in want} == want
+    assert len({r["root"] for r in roots.collect()}) + len(want) - roots.count() > len(set(want.values()))
+
+
 def test_null_ids_stand_alone(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id BIGINT, text STRING")
     got = near.near_copies(df).collect()
