@@ -202,6 +202,18 @@ def test_near_copies_of_drifting_edits_lose_no_link_of_a_bucket(spark, monkeypat
     assert len({r["root"] for r in roots.collect()}) + len(want) - roots.count() > len(set(want.values()))
 
 
+def test_near_copies_hidden_behind_unlike_centres(spark):
+    rows = [(i, " ".join(f"u{i}_{k}" for k in range(44))) for i in range(20)]
+    rows += [(90, " ".join(f"w{k}" for k in range(44))), (91, " ".join(f"w{k}" for k in range(45)))]
+    n = {i: len(t.split()) - 4 for i, t in rows}
+    shared = spark.createDataFrame([(1, i, n[i], 100 - i) for i, _ in rows], "key BIGINT, rep BIGINT, n BIGINT, around BIGINT")
+    sets = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").mapInArrow(near._sets, "doc_id BIGINT, shingles array<long>")
+    none = spark.createDataFrame([], "node BIGINT, root BIGINT")
+    tested = spark.createDataFrame([], "a BIGINT, b BIGINT")
+    found = near._searched_on(shared, none, tested, sets).collect()
+    assert [(r["node"], r["root"]) for r in found] == [(91, 90)]
+
+
 def test_null_ids_stand_alone(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id BIGINT, text STRING")
     got = near.near_copies(df).collect()
