@@ -72,25 +72,29 @@ def with_suffixes(lengths: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def _null_safe(a: DataFrame, b: DataFrame, on: tuple[str, ...]) -> DataFrame:
+def _null_safe(a: DataFrame, b: DataFrame, on: tuple[str, ...], how: str = "inner") -> DataFrame:
     b = b.select(*(F.col(c).alias(f"_{c}") if c in on else c for c in b.columns))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
     cond = same[0]
     for s in same[1:]:
         cond &= s
-    return a.join(b, cond).drop(*(f"_{c}" for c in on))
+    return a.join(b, cond, how).drop(*(f"_{c}" for c in on))
 
 
 def limits(suffixes: DataFrame, at: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
     """For any context limits (column max_tokens) and each group: documents cut, tokens left and lost.
 
     The first length above a limit has all that is needed: tokens lost are those above it, less the limit for each
-    document.
+    document. A limit that no document of a group exceeds cuts nothing there. Null limits give no rows.
     """
     pairs = suffixes.join(at, F.col("n_tokens") > F.col("max_tokens"))
-    first = pairs.groupBy(*groups, "max_tokens").agg(F.min_by(F.struct("docs_from", "tokens_from", "tokens"), "n_tokens").alias("s"))
-    lost = F.col("s.tokens_from") - F.col("s.docs_from") * F.col("max_tokens")
-    return first.select(*groups, "max_tokens", F.col("s.docs_from").alias("docs_cut"), (F.col("s.tokens") - lost).alias("tokens_left"), lost.alias("tokens_lost"))
+    first = pairs.groupBy(*groups, "max_tokens").agg(F.min_by(F.struct("docs_from", "tokens_from"), "n_tokens").alias("s"))
+    totals = suffixes.groupBy(*groups).agg(F.max("tokens").alias("tokens")).where("tokens is not null")
+    every = totals.crossJoin(at.select("max_tokens").where("max_tokens is not null").distinct())
+    out = _null_safe(every, first, (*groups, "max_tokens"), "left")
+    cut = F.coalesce("s.docs_from", F.lit(0))
+    lost = F.coalesce(F.col("s.tokens_from") - F.col("s.docs_from") * F.col("max_tokens"), F.lit(0))
+    return out.select(*groups, "max_tokens", cut.alias("docs_cut"), (F.col("tokens") - lost).alias("tokens_left"), lost.alias("tokens_lost"))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", groups: tuple[str, ...] = ()) -> DataFrame:

@@ -345,6 +345,16 @@ def test_token_counts_against_brute_force(spark):
     assert counts.token_counts(docs.limit(0), BYTE_BPE).count() == 0
 
 
+def test_limits_above_the_longest_document(spark):
+    rows = counts.with_suffixes(spark.createDataFrame([("en", 3, 2), ("en", 9, 1), (None, 4, 1)], "lang STRING, n_tokens BIGINT, n_docs BIGINT"), ("lang",))
+    at = spark.createDataFrame([(3,), (9,), (1000,)], "max_tokens BIGINT")
+    got = {(r["lang"], r["max_tokens"]): tuple(r)[2:] for r in counts.limits(rows, at, ("lang",)).collect()}
+    assert got == {
+        ("en", 3): (1, 9, 6), ("en", 9): (0, 15, 0), ("en", 1000): (0, 15, 0),
+        (None, 3): (1, 3, 1), (None, 9): (0, 4, 0), (None, 1000): (0, 4, 0),
+    }
+
+
 # --- 8
 
 def brute_base(t):
