@@ -1,7 +1,7 @@
 """The pipeline over documents: toxicity, quality rules, near copies, benchmark leaks, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return the columns of
-documents; the last one adds tokens.
+documents; the last one adds tokens and what they decode to.
 """
 
 from __future__ import annotations
@@ -39,8 +39,12 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its tokens, and whether they decode to as many as are encoded again."""
-    return bpe.encode(docs.select(*COLUMNS), WORD_BPE)
+    """Every document with its tokens, their decoded text, and whether that encodes to as many tokens again."""
+    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), WORD_BPE), WORD_BPE, text="decoded")
+    kept = coded.withColumnsRenamed({"token_ids": "_ids", "n_tokens": "_n"})
+    again = bpe.encode(kept, WORD_BPE, text="decoded")
+    same = (F.col("_n") == F.col("n_tokens")).alias("same_count")
+    return again.select(*COLUMNS, F.col("_ids").alias("token_ids"), F.col("_n").alias("n_tokens"), "decoded", same)
 
 
 STAGES = [

@@ -476,6 +476,18 @@ def test_pipeline_against_its_parts(spark):
         assert r["token_ids"] == [i for run in bpe.tokens(v, r["text"]) for i in run]
 
 
+def test_last_stage_decodes(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.with_tokens(spark, odd_docs(spark), SF).collect()
+    want = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(odd_docs(spark), WORD_BPE), WORD_BPE).collect()}
+    assert {r["doc_id"]: r["decoded"] for r in got} == want
+    v = bpe.vocabulary_of(open(WORD_BPE).read())
+    for r in got:
+        assert r["n_tokens"] == len(r["token_ids"])
+        assert r["same_count"] == (sum(len(run) for run in bpe.tokens(v, r["decoded"])) == r["n_tokens"])
+
+
 @pytest.mark.parametrize("name", ["op5_leaks", "op6_toxicity", "op9_extract"])
 def test_queries_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
