@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cistern.llm import bpe, counts, extract, leaks, near, quality, shards, tokenids, toxicity, warc
+from cistern.llm import (
+    bpe, counts, extract, leaks, manifest, near, quality, shards, substring, tokenids, toxicity, warc, whitening,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -68,6 +70,18 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_extract": op9_extract,
     "op10_shards": op10_shards,
+    "op11_substrings": op11_substrings,
+    "op12_manifest": op12_manifest,
+    "op13_whitening": op13_whitening,
 }
 # The digest in base 32: five bits of the SHA-1 for each letter, from two hex digits.
 CHECKS: dict[str, str] = {
@@ -97,4 +114,5 @@ CHECKS: dict[str, str] = {
             CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
         FROM d
     """,
+    "op12_manifest": manifest.check_sql(),
 }
