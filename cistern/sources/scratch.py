@@ -25,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the scratch folder."""
-    return f"{scratch_root(spark)}/cistern/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -36,4 +36,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `stage` gave, once nothing reads them any more. Other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            _delete(t.sparkSession, path)
+            t._scratch = None
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes everything that `stage` and `scratch_path` left below the scratch folder; for the end of a run."""
+    _delete(spark, _own_folder(spark))
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """That of this application below the scratch folder."""
+    return f"{scratch_root(spark)}/cistern/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
