@@ -25,7 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cistern.llm.fmindex import Index
@@ -161,26 +161,27 @@ def _frequent_hashes(docs: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.sort(np.array([r["h"] for r in found if r["whole"] == k], np.int64).view(np.uint64)) for k in (0, 1))
 
 
-NAMES = ["key", "sid", "doc", "v"]
+NAMES = ["key", "sid", "doc", "known"]
+PIECES = "key long, sid long, doc long, known int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: those whose key stands in several texts, and those that are known to be shared (v below 0).
+    """Of rows sorted by key: those whose key stands in documents of several ids, and those known to be shared.
 
-    Rows of the latest key wait while all are of one text, each piece once.
+    Rows of the latest key wait while all are of one id, each piece once.
     """
     wait = [np.zeros(0, np.int64)] * 4
-    shared: int | None = None  # the latest key, if it is in several texts
+    shared: int | None = None  # the latest key, if it is in several documents
     for batch in batches:
         new = [batch.column(i).to_numpy() for i in range(4)]
-        known = new[3] < 0
+        known = new[3] > 0
         yield from _rows([c[known] for c in new])
-        key, sid, doc, v = cols = [np.concatenate([w, c[~known]]) for w, c in zip(wait, new, strict=True)]
+        key, sid, doc, _ = cols = [np.concatenate([w, c[~known]]) for w, c in zip(wait, new, strict=True)]
         if not len(key):
             continue
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(start, append=len(key))
-        mixed = np.logical_or.reduceat((doc != np.repeat(doc[start], size)) | (v != np.repeat(v[start], size)), start)
+        mixed = np.logical_or.reduceat(doc != np.repeat(doc[start], size), start)
         mixed[0] |= shared is not None and key[0] == shared
         yield from _rows([c[np.repeat(mixed, size)] for c in cols])
         shared = int(key[-1]) if mixed[-1] else None
@@ -195,17 +196,16 @@ def _rows(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def _pieces_of(keys: np.ndarray, windows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct pieces of each text (doc, v, text)."""
+        """Distinct pieces of each text (doc_id, text)."""
         hasher = exact_hasher()
         for batch in batches:
-            doc, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, _, data, at in text_blocks(batch.column(2)):
+            doc = batch.column(0).to_numpy()
+            for a, _, data, at in text_blocks(batch.column(1)):
                 p = Pieces(hasher, data, at, keys, windows)
                 order = np.lexsort((p.sid, p.key, p.text))
                 k, s, t, f = p.key[order], p.sid[order], p.text[order], p.frequent[order]
                 once = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]))[: len(k)]
-                k, s, t, f = k[once], s[once], t[once] + a, f[once]
-                yield from _rows([k.view(np.int64), s.view(np.int64), doc[t], np.where(f, -1 - v[t], v[t])])
+                yield from _rows([k[once].view(np.int64), s[once].view(np.int64), doc[t[once] + a], f[once].astype(np.int32)])
 
     return run
 
@@ -330,37 +330,38 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, text, n_words, n_removed, kept) of every row; kept: the words that stay, joined by one space."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = docs.where("doc_id is not null").withColumn("did", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # Equal texts by a digest of 128 bits; v tells texts of one id apart.
+    # Equal texts by a digest of 128 bits.
     equal = named.where("text is not null").select("doc_id", "did", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size"))
-    equal = equal.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("did").alias("did"), F.min("size").alias("size"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("did"))
-    first = stage(equal.select("doc_id", "did", "size", (order - 1).alias("v")), "texts")
+    first = equal.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("did").alias("first_did"), F.min("size").alias("size"))
+    first = stage(first.drop("digest"), "texts")
     texts, size = first.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = max(8, size // SHARD_BYTES)
     keys, windows = _frequent_hashes(named.where("text is not null").select("did", "text"), texts)
 
-    # The texts are exchanged by id once; each use below reads the same exchange.
-    distinct = named.join(first.select("doc_id", "did", "v"), ["doc_id", "did"])
-    pieces = distinct.select("doc_id", "v", "text").mapInArrow(_pieces_of(keys, windows), "key long, sid long, doc long, v int")
+    # The texts are exchanged by id once: each use below reads the same exchange, so all joins are by the id alone and texts
+    # of one id are told apart afterwards.
+    same = F.col("did").bitwiseXOR(F.col("first_did")) == 0
+    distinct = named.join(first.select(F.col("doc_id").alias("id"), "first_did"), (F.col("doc_id") == F.col("id")) & same)
+    pieces = distinct.select("doc_id", "text").mapInArrow(_pieces_of(keys, windows), PIECES)
     # Pieces of frequent keys are shared for sure, and are spread by document.
-    dealt = pieces.repartition(F.when(F.col("v") < 0, F.xxhash64("doc", "key")).otherwise(F.col("key")))
-    shared = dealt.sortWithinPartitions("key").mapInArrow(_shared, "key long, sid long, doc long, v int")
-    shared = shared.withColumn("v", F.when(F.col("v") < 0, -1 - F.col("v")).otherwise(F.col("v")))
-    holders = shared.groupBy("key", "sid").agg(F.min(F.struct("doc", "v")).alias("h"), F.max("doc").alias("last"))
-    wanted = holders.groupBy(F.col("h.doc").alias("doc_id"), F.col("h.v").alias("v")).agg(F.collect_list(F.struct("key", "sid", "last")).alias("p"))
-    fetched = distinct.join(wanted, ["doc_id", "v"]).select("doc_id", "text", "p.key", "p.sid", "p.last")
+    dealt = pieces.repartition(F.when(F.col("known") > 0, F.xxhash64("doc", "key")).otherwise(F.col("key")))
+    shared = dealt.sortWithinPartitions("key").mapInArrow(_shared, PIECES).drop("known")
+    holders = shared.groupBy("key", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    wanted = holders.groupBy(F.col("doc").alias("holder")).agg(F.collect_list(F.struct("key", "sid", "last")).alias("p"))
+    fetched = distinct.join(wanted, F.col("doc_id") == F.col("holder")).select("doc_id", "text", "p.key", "p.sid", "p.last")
     contents = fetched.mapInArrow(_contents_of(keys, windows), "key long, sid long, doc long, last long, text binary")
     found = contents.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(
         lambda _, t: _searched(t), "key long, sid long, firsts array<long>"
     )
-    told = shared.join(found, ["key", "sid"])
+    # A piece's windows go from a document if a smaller id has them, whatever text of the id they stand in.
     places = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc"), i)), lambda i: i.isNotNull())
-    told = told.select("key", "sid", "doc", "v", places.alias("places")).where(F.size("places") > 0)
-    told = told.groupBy(F.col("doc").alias("doc_id"), "v").agg(F.collect_list(F.struct("key", "sid", "places")).alias("r"))
-    marks = first.select("doc_id", "did", "v").join(told, ["doc_id", "v"], "left")
+    told = shared.join(found, ["key", "sid"]).select("key", "sid", "doc", places.alias("places")).where(F.size("places") > 0)
+    told = told.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "sid", "places")).alias("r"))
+    marks = first.select(F.col("doc_id").alias("id"), "first_did").join(told, "id", "left")
     empty = F.array().cast("array<struct<key:long,sid:long,places:array<int>>>")
-    marked = named.join(marks.select("doc_id", "did", F.coalesce("r", empty).alias("r"), F.lit("text").alias("state")), ["doc_id", "did"], "left")
-    kind = F.coalesce("state", F.lit("copy"))
+    marked = named.join(marks, (F.col("doc_id") == F.col("id")) & same, "left")
+    # A text that is no first one of its kind is a copy of one; null texts have nothing to lose.
+    kind = F.when(F.col("first_did").isNull() & F.col("text").isNotNull(), "copy").otherwise("text")
     marked = marked.select("doc_id", "text", kind.alias("state"), F.coalesce("r", empty).alias("r"))
     alone = docs.where("doc_id is null").select("doc_id", "text", F.lit("text").alias("state"), empty.alias("r"))
     out = marked.unionByName(alone).select("doc_id", "text", "state", "r.key", "r.sid", "r.places")
