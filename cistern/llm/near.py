@@ -3,8 +3,11 @@
 A text is lower-cased (A-Z) and cut into words; its set is its distinct five-word shingles, as 64-bit hashes. One
 permutation of the hashes is cut into BINS bins; an empty bin takes the value of the first filled one in an order of its
 own. ROWS bins make a band. Texts with equal sets are one representative, so that copies never meet in a bucket. In each
-bucket two centres have an edge to every other member: a bucket of m makes less than 2 * m edges, never m * m. Edges are
-confirmed on full sets.
+bucket two centres have an edge to every other member: a bucket of m makes less than 2 * m edges, never m * m. Edges that
+the texts' sketches don't rule out are confirmed on full sets.
+
+A sketch has a bit for each place that a shingle falls on, at least two places for each shingle of the set, whatever its
+size. Each bit that only one of two texts has is a shingle at least that the other lacks, so sketches rule out no linked pair.
 
 Two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6, and ten of the 32 on average. Stars
 may miss a link between two members that are both unlike their centres. In buckets whose members are of several components
@@ -13,8 +16,8 @@ confirmed on full sets. So within buckets no link is lost. These comparisons gro
 counts in blocks of members that are spread over tasks; the rows shuffled for it grow with the square over BLOCK.
 
 Null, empty and blank texts have no set and stand alone. Texts of less than five words are one shingle. Repeated rows
-are copies, and rows of one id one document whose texts are each compared; rows with a null id stand alone (component_id null). Very long texts are whole. An empty table gives an
-empty result. Columns but id and text are not read.
+are copies. Rows of one id are one document, whose texts are each compared. Rows with a null id stand alone, and their
+component_id is null. Very long texts are whole. An empty table gives an empty result. Columns but id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cistern.llm.wordhash import WordHasher, mix, text_blocks
-from cistern.sources.scratch import stage
+from cistern.sources.scratch import discard, stage
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 PERCENT = 75
-SKETCH = 2048
+#: Bits of a sketch: a power of two, at least so many, and so many for each shingle.
+SKETCH, SKETCH_BITS = 512, 2
 BLOCK = 512
 
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -84,18 +88,47 @@ class Signer:
         return out.view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    size = max(SKETCH, 1 << max(0, SKETCH_BITS * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(s) & np.uint64(size - 1)).astype(np.int64)] = 1
+    # Bit k of a sketch folded in half is bit k or bit k + size / 2 of the whole.
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they are for `size` bits."""
+    while bits.shape[1] * 64 > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def _may_be_linked(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """For each pair of sketches of one size: whether their sets may be linked."""
+    common = np.bitwise_count(x & y).sum(1, np.int64)
+    both = common + np.minimum(nx - np.bitwise_count(x).sum(1, np.int64), ny - np.bitwise_count(y).sum(1, np.int64))
+    return 100 * both >= PERCENT * (nx + ny - both)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, signer = WordHasher(), Signer()
     for batch in batches:
         for a, b, data, at in text_blocks(batch.column(1)):
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, bits = [], [], [], []
             for s in _shingle_sets(hasher, data, at):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(signer.bands(s) if len(s) else None)
+                bits.append(_sketch(s) if len(s) else None)
+            cols = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "bands"],
+                [batch.column(0).slice(a, b - a), *cols, batch.column(2).slice(a, b - a)], ["doc_id", "n", "digest", "bands", "bits", "text_hash"]
             )
 
 
@@ -109,7 +142,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b, and their set sizes na, nb) those that are linked, by their full sets."""
-    # Each pair is checked once; the order of the two joins lets either side of a hot centre be split.
+    # Each pair is checked once. Nothing above the joins needs their order, so a hot centre's rows can be split over tasks.
     x = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     x = x.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -134,7 +167,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = stage(small, "links")
         same = after.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        settled = same == edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges)
+        if settled:
             break
         edges = after
     return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -149,7 +184,9 @@ def _shared(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stage(members.join(sizes, "key"), "buckets")
     around = shared.groupBy("rep").agg(F.sum("m").alias("around"))
-    return stage(shared.join(around, "rep").select("key", "rep", "n", "around"), "members")
+    out = stage(shared.join(around, "rep").select("key", "rep", "n", "around"), "members")
+    discard(shared)
+    return out
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -176,50 +213,77 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.column(1).offsets.to_numpy()
         h = batch.column(1).values.to_numpy().view(np.uint64)
-        out = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            bits = np.zeros(SKETCH, np.uint8)
-            bits[mix(h[a:b]) % np.uint64(SKETCH)] = 1
-            out.append(np.packbits(bits).tobytes())
+        out = [_sketch(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(out, pa.binary())], ["rep", "n", "bits"])
 
 
-def _compared(block: pa.Table) -> pa.Table:
-    """Pairs of different components that may be linked, of two blocks of a bucket's members or within one.
+def _words_of(bits: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """(each sketch as a row of 64-bit words, their sizes in bits)."""
+    rows = [np.frombuffer(b, np.uint64)[None, :] for b in bits.to_pylist()]
+    return rows, np.array([64 * r.shape[1] for r in rows], np.int64)
 
-    A sketch has a bit for each place that a shingle falls on. Each bit that only one of two texts has is a shingle at
-    least that the other lacks, so the intersection is at most the set's size less those bits. This drops no linked pair.
-    """
+
+def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, na, b, nb and their sketches) those whose sketches allow a link."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+        (x, own), (y, other) = _words_of(batch.column(4)), _words_of(batch.column(5))
+        size, keep = np.minimum(own, other), np.zeros(len(batch), bool)
+        for z in np.unique(size).tolist():
+            at = np.flatnonzero(size == z)
+            left, right = (np.concatenate([_folded(rows[i], z) for i in at.tolist()]) for rows in (x, y))
+            keep[at] = _may_be_linked(left, na[at], right, nb[at])
+        yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
+
+
+def _unlike_dropped(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    kind = sketches.schema["rep"].dataType.simpleString()
+    x = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), ["b", "nb"])
+    x = x.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), ["a", "na"])
+    return x.select("a", "na", "b", "nb", "x", "y").mapInArrow(_not_ruled_out, f"a {kind}, na long, b {kind}, nb long")
+
+
+def _compared(block: pa.Table) -> pa.Table:
+    """Pairs of different components that may be linked, of two blocks of a bucket's members or within one."""
     block = block.combine_chunks()
     n, own = block["n"].to_numpy(), block["own"].to_numpy()
     root = block["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-    bits = np.frombuffer(b"".join(block["bits"].to_pylist()), np.uint64).reshape(len(n), -1)
+    rows, size = _words_of(block["bits"])
     left = np.flatnonzero(own == own.min())
     right = left if len(left) == len(n) else np.flatnonzero(own != own.min())
     if len(left) == len(n) and block["lo"][0] != block["hi"][0]:
         right = right[:0]  # the other block is empty
-    held = np.bitwise_count(bits).sum(1, np.int64)
     first, second = [left[:0]], [left[:0]]
-    for k, a in enumerate(left.tolist()):
-        b = left[k + 1 :] if right is left else right
-        b = b[(root[b] != root[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))]
-        common = np.bitwise_count(bits[a] & bits[b]).sum(1, np.int64)
-        both = common + np.minimum(n[a] - held[a], n[b] - held[b])
-        b = b[100 * both >= PERCENT * (n[a] + n[b] - both)]
-        first.append(np.full(len(b), a))
-        second.append(b)
+    # Sets of like size have sketches of one size, or one has twice the other's and is folded.
+    for z in np.unique(size).tolist():
+        of = np.flatnonzero((size == z) | (size == 2 * z))
+        place = np.full(len(n), -1)
+        place[of] = np.arange(len(of))
+        bits = np.concatenate([_folded(rows[i], z) for i in of.tolist()])
+        for k, a in enumerate(left.tolist()):
+            if place[a] < 0:
+                continue
+            b = left[k + 1 :] if right is left else right
+            b = b[(place[b] >= 0) & (np.minimum(size[b], size[a]) == z) & (root[b] != root[a])]
+            b = b[100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])]
+            b = b[_may_be_linked(bits[place[a]][None, :], n[a], bits[place[b]], n[b])]
+            first.append(np.full(len(b), a))
+            second.append(b)
     a, b = block.take(pa.array(np.concatenate(first))), block.take(pa.array(np.concatenate(second)))
     return pa.table([a["rep"], a["n"], b["rep"], b["n"]], ["a", "na", "b", "nb"])
 
 
-def _searched_on(shared: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+def _searched_on(shared: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
     """(node, root) after all pairs of different components in a bucket are compared.
 
     Members of a bucket of several components are dealt into blocks, and each two blocks are compared in a group of their
     own, so a hot bucket is spread over many tasks. Pairs that their sketches exclude are never rows.
     """
     kind = sets.schema["doc_id"].dataType.simpleString()
-    sketches = stage(sets.mapInArrow(_sketched, f"rep {kind}, n long, bits binary").distinct(), "sketches")
+    if sketches is None:
+        sketches = stage(sets.mapInArrow(_sketched, f"rep {kind}, n long, bits binary").distinct(), "sketches")
     own = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     own = stage(own.select("key", "rep", "n", "root"), "own")
     several = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
@@ -229,18 +293,19 @@ def _searched_on(shared: DataFrame, roots: DataFrame, tested: DataFrame, sets: D
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "root", "bits")
     compared = dealt.groupBy("key", "lo", "hi").applyInArrow(_compared, f"a {kind}, na long, b {kind}, nb long")
     pairs = stage(_pairs(compared).join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = stage(_confirmed(pairs, sets).distinct(), "more")
-    if not found.take(1):
-        return roots
-    # A component is a star of links to its root: new links are added to those.
-    return components(found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    found = stage(_confirmed(pairs, sets), "more")
+    if found.take(1):
+        # A component is a star of links to its root: new links are added to those.
+        roots = components(found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    discard(own, pairs, found)
+    return roots
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row. kept: the row has the smallest id of its component."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row. kept: the row has the smallest id of its component."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", text_hash(F.col("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stage(docs.mapInArrow(_signed, f"doc_id {kind}, n long, digest binary, bands array<long>"), "signatures")
+    signed = stage(docs.mapInArrow(_signed, f"doc_id {kind}, n long, digest binary, bands array<long>, bits binary, text_hash long"), "signatures")
     sets_of = signed.where("n > 0 and doc_id is not null")
     reps = sets_of.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = stage(reps, "representatives")
@@ -248,18 +313,26 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Rows of one id may have several sets; a representative is then told apart by its set.
     members = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key"))
     shared = _shared(members)
-    pairs = stage(_pairs(_stars(shared)), "pairs")
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, f"doc_id {kind}, shingles array<long>"),
-        "sets",
-    )
-    roots = components(stage(_confirmed(pairs, sets).distinct(), "confirmed"))
-    roots = _searched_on(shared, roots, pairs.select("a", "b"), sets)
+    wanted = stage(shared.select("rep").distinct(), "wanted")
+    sketches = chosen.select(F.col("doc_id").alias("rep"), "n", "bits").join(wanted, "rep", "left_semi")
+    sketches = stage(sketches, "sketches")
+    starred = stage(_pairs(_stars(shared)), "pairs")
+    pairs = stage(_unlike_dropped(starred, sketches), "pairs")
+    # The same plan at every size: the texts meet the ids by a merge, not by a broadcast while the ids are few.
+    found = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi")
+    sets = stage(found.select("doc_id", "text").mapInArrow(_sets, f"doc_id {kind}, shingles array<long>"), "sets")
+    links = stage(_confirmed(pairs, sets), "confirmed")
+    roots = components(links)
+    discard(pairs, links)
+    roots = _searched_on(shared, roots, starred.select("a", "b"), sets, sketches)
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = signed.join(named, "digest", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        "text_hash",
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    out = stage(out, "components")
+    discard(signed, reps, shared, wanted, sketches, starred, sets, roots)
+    return out
