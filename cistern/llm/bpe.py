@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType
 
 from cistern.llm.frames import with_fields
 
@@ -39,14 +39,34 @@ _NOT_SPACES = regex.compile(r"[\x1c-\x1f]")
 # Fixed value: the pattern of words in the tokenizer's file, with its meaning of \s.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS = regex.compile(_WORDS.replace(r"\s", SPACES))
-_FIRST = regex.compile(r"[\p{L}]")
+#: What words that may go on consist of.
+_RUNS = {"L": regex.compile(r"[\p{L}]*"), "S": regex.compile(rf"[^{SPACES}\p{{L}}\p{{N}}]*")}
+_KINDS = [("L", regex.compile(r"\p{L}")), ("N", regex.compile(r"\p{N}")), ("S", regex.compile(rf"[^{SPACES}]"))]
 PIECE = 1 << 16
-#: Words in each of a Python worker's two caches, which are emptied when full.
-CACHE = 400_000
+#: Bytes of the words that a Python worker remembers the tokens of, about; they are forgotten when there are more.
+CACHE_BYTES = 96 << 20
 _BITS = 24
 _LOW, _NONE = (1 << _BITS) - 1, 1 << 62
 
 
+@functools.lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that may be composed with one before them: second parts of decompositions, and Hangul's vowels and ends."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    jamo = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | {chr(c) for c in jamo}
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _class(c: str) -> str:
+    """L, N, S or Z: letter, digit, other sign or space, as the pattern sees it once it is small. Empty for characters that
+    depend on what is beside them or change into others."""
+    small = "σ" if c == "Σ" else c.lower()
+    if unicodedata.combining(c) or c in _seconds() or len(small) > 1 or not unicodedata.is_normalized("NFC", c):
+        return ""
+    return next((kind for kind, of in _KINDS if of.match(small)), "Z")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself, or else the next from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -164,6 +184,7 @@ class Vocabulary:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.cache: dict[str, list[int]] = {}
         self.parts: dict[str, list[int]] = {}
+        self.room = CACHE_BYTES
         self.decoder = (spec["decoder"] or {}).get("type")
         # Without a decoder tokens are written as they are, with spaces between.
         back = {c: b for b, c in enumerate(byte_letters())}
@@ -171,6 +192,18 @@ class Vocabulary:
         self.between = b"" if self.decoder else b" "
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def keep(self, cache: dict[str, list[int]], word: str, ids: list[int]) -> None:
+        """Remembers a word's tokens; the two caches share one bound."""
+        if len(word) >= 64:
+            return
+        # The word and the list as Python objects, and their place in the table.
+        self.room -= 250 + 2 * len(word) + 8 * len(ids)
+        if self.room < 0:
+            self.cache.clear()
+            self.parts.clear()
+            self.room = CACHE_BYTES
+        cache[word] = ids
+
 
 @functools.lru_cache(maxsize=2)
 def vocabulary_of(content: str) -> Vocabulary:
@@ -192,45 +225,57 @@ class Encoder:
         self.held += text
         if len(self.held) < self.guard:
             return []
-        # Words, compositions and special tokens don't cross a space; where there is none for long, an ASCII letter
-        # that isn't composed with what is before it is as good, and the word stays open.
-        cut = max(self.held.rfind(" "), self.held.rfind("\n"))
+        # Words, compositions and special tokens don't cross a space; where there is none for long, another border that
+        # can't move is as good, or a place within a word, which then stays open.
+        cut, goes_on = max(self.held.rfind(" "), self.held.rfind("\n")), ""
         if cut <= 0 and len(self.held) > PIECE:
-            cut = self._late_cut()
-            if cut:
-                ready, self.held = self.held[:cut], self.held[cut:]
-                return self._run(ready, True)
+            cut, goes_on = self._late_cut()
         if cut <= 0:
             return []
         ready, self.held = self.held[:cut], self.held[cut:]
-        return self._run(ready, False)
+        return self._run(ready, goes_on)
 
     def end(self) -> list[int]:
         ready, self.held = self.held, ""
-        return self._run(ready, False)
-
-    def _late_cut(self) -> int:
-        """A place at which the text may be cut within a word: between ASCII letters, no special token near."""
-        n = len(self.held) - self.guard
-        for i in range(n, max(1, n - PIECE // 2), -1):
-            a, b = self.held[i - 1], self.held[i]
-            if a.isascii() and b.isascii() and a.isalpha() and b.isalpha():
-                near = self.held[max(0, i - self.guard) : i + self.guard]
-                if not (self.v.cut and self.v.cut.search(near)) and "'" not in near:
-                    return i
-        return 0
-
-    def _run(self, text: str, goes_on: bool) -> list[int]:
+        return self._run(ready, "")
+
+    def _late_cut(self) -> tuple[int, str]:
+        """(place, kind) at which the text may be cut: between characters that stay apart whatever comes, no special token
+        near, or behind a special token. kind: "L" within letters, "S" within other signs, "" between words.
+
+        0 if there is no such place in the latest half a piece, as within a letter that has thousands of marks.
+        """
+        held, n, special = self.held, len(self.held) - self.guard, self.v.cut
+        if special:
+            ends = [m.end() for m in special.finditer(held) if m.start() <= n]
+            if ends and ends[-1] > n - PIECE // 2:
+                return ends[-1], ""
+        for i in range(n, max(2, n - PIECE // 2), -1):
+            before, a, b = (_class(c) for c in held[i - 2 : i + 1])
+            if not a or not b:
+                continue
+            if a == b == "L":
+                # A contraction may end here.
+                if "'" in held[i - 3 : i]:
+                    continue
+            elif a == "S" and b != "N" and held[i - 1] == "'" and before != "S":
+                continue
+            near = held[max(0, i - self.guard) : i + self.guard]
+            if not (special and special.search(near)):
+                return i, a if a == b and a in "LS" else ""
+        return 0, ""
+
+    def _run(self, text: str, goes_on: str) -> list[int]:
         if not self.v.cut or "<|" not in text:
             return self._plain(text, goes_on)
         out, at = [], 0
         for m in self.v.cut.finditer(text):
-            out += self._plain(text[at : m.start()], False)
+            out += self._plain(text[at : m.start()], "")
             out.append(self.v.special[m[0]])
             at = m.end()
         return out + self._plain(text[at:], goes_on)
 
-    def _plain(self, text: str, goes_on: bool) -> list[int]:
+    def _plain(self, text: str, goes_on: str) -> list[int]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Small letters one by one: no rule for a sigma at a word's end.
@@ -243,10 +288,7 @@ class Encoder:
             ids = cache.get(w)
             if ids is None:
                 ids = self._words(w)
-                if len(w) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = ids
+                self.v.keep(cache, w, ids)
             out += ids
         return out
 
@@ -256,17 +298,14 @@ class Encoder:
             ids = self.parts.get(w)
             if ids is None:
                 ids = self.m.word(w)
-                if len(w) < 64:
-                    if len(self.parts) >= CACHE:
-                        self.parts.clear()
-                    self.parts[w] = ids
+                self.v.keep(self.parts, w, ids)
             out += ids
         return out
 
-    def _open_words(self, text: str, goes_on: bool) -> list[int]:
+    def _open_words(self, text: str, goes_on: str) -> list[int]:
         out: list[int] = []
         if self.open:
-            run = regex.match(r"[\p{L}]*", text)[0] if self.kind == "L" else ""
+            run = _RUNS[self.kind].match(text)[0]
             self.open += [self.m.first[x] for x in run.encode()]
             text = text[len(run) :]
             if text or not goes_on:
@@ -274,11 +313,13 @@ class Encoder:
             else:
                 return self._stable()
         words = list(WORDS.finditer(text))
-        last = words.pop() if goes_on and words and words[-1].end() == len(text) and _FIRST.match(words[-1][0]) else None
+        # A contraction before a cut within letters is a word by itself, so the last word must be of the cut's kind.
+        own = goes_on and words and words[-1].end() == len(text) and _RUNS[goes_on].fullmatch(words[-1][0])
+        last = words.pop() if own else None
         for w in words:
             out += self.m.word(w[0])
         if last:
-            self.open, self.kind = [self.m.first[x] for x in last[0].encode()], "L"
+            self.open, self.kind = [self.m.first[x] for x in last[0].encode()], goes_on
             out += self._stable()
         return out
 
@@ -386,6 +427,52 @@ def decode(coded: DataFrame, path: str, ids: str = "token_ids", text: str = "tex
     return coded.mapInArrow(run, with_fields(coded, **{text: StringType()}))
 
 
+#: Rows and characters after which a batch of `round_trip` is given out.
+_ROWS, _CHARS = 64, 1 << 20
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", decoded: str = "decoded") -> DataFrame:
+    """docs with token_ids, n_tokens, their decoded text, and same_count: whether that encodes to as many tokens again.
+
+    One pass and one vocabulary for a Python worker: a row is encoded, decoded and encoded again before the next is read.
+    """
+    content = _content(docs.sparkSession, path)
+    docs = docs.drop(*({"token_ids", "n_tokens", decoded, "same_count"} - {text}))
+    place, names = docs.columns.index(text), docs.columns
+    ids_type = pa.list_(pa.int32())
+
+    def one(v: Vocabulary, own: str | None) -> tuple[np.ndarray, int, str, bool]:
+        again, d, runs, back = Encoder(v), Decoder(v), [], []
+        n = same = 0
+        for run in tokens(v, own):
+            runs.append(np.array(run, np.int32))
+            n += len(run)
+            back.append(d.feed(run))
+            same += len(again.feed(back[-1]))
+        back.append(d.end())
+        same += len(again.feed(back[-1])) + len(again.end())
+        return np.concatenate(runs), n, "".join(back), same == n
+
+    def given(batch: pa.RecordBatch, a: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids, n, back, same = zip(*rows, strict=True)
+        added = [pa.array(ids, ids_type), pa.array(n, pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.slice(a, len(rows)).columns, *added], [*names, "token_ids", "n_tokens", decoded, "same_count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary_of(content.value)
+        for batch in batches:
+            rows, chars, a = [], 0, 0
+            for i, t in enumerate(batch.column(place)):
+                rows.append(one(v, t.as_py()))
+                chars += len(rows[-1][2])
+                if len(rows) >= _ROWS or chars >= _CHARS or i + 1 == len(batch):
+                    yield given(batch, a, rows)
+                    rows, chars, a = [], 0, i + 1
+
+    kinds = {"token_ids": ArrayType(IntegerType()), "n_tokens": LongType(), decoded: StringType(), "same_count": BooleanType()}
+    return docs.mapInArrow(run, with_fields(docs, **kinds))
+
+
 def transcode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: tokens are decoded and hashed as they come.
 
