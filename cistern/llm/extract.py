@@ -8,6 +8,9 @@ does, so an advert's paragraph can't be kept without the advert, nor a paragraph
 The trees are fitted in numpy on TRAIN_PAGES pages of known structure, written by a seeded generator of site layouts (no
 labelled pages are given). They are fitted on the driver and sent to tasks; their size is fixed.
 
+An element that holds no text of the page (RAW) is left out with its content; where it has no end tag, only its tag is, but
+for scripts, styles and the like, which run to the page's end. A quote that isn't closed ends with its tag.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a
 line feed. Null and empty pages, and pages without main text, give an empty text. Very long pages are whole; a page's tree
 must fit in memory, and depth is bounded only by the page. Pages are handled one by one, so ties and repeated rows don't
@@ -37,6 +40,8 @@ BLOCKS = (
 ).split()
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 RAW = set("script style textarea title noscript iframe template svg select".split())
+#: Of those, the ones that run to the end of the page where they aren't closed, and the ones that may hold their like.
+TO_THE_END, NESTED = set("script style textarea title".split()), {"svg", "template"}
 DROPPED = set("script style noscript iframe template svg textarea select head title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = set("div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset address details".split())
@@ -54,7 +59,14 @@ HINTS = {
     "share": "share social follow print".split(),
     "form": "form search login".split(),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A value in quotes may hold anything if a space or the tag's end follows; other quotes are plain characters of the tag, which
+# ends at the next >.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"(?=\s|/?>)|=\s*'[^']*'(?=\s|/?>)|[^>=]+|=)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
+)
 ATTRIBUTES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"\w+")
@@ -78,12 +90,39 @@ def _hints(attributes: str) -> tuple[int, ...]:
     return tuple(int(any(t in tokens for t in words)) for words in HINTS.values())
 
 
+@functools.lru_cache(maxsize=64)
+def _tags(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
+def _behind(page: str, at: int, tag: str, attributes: str, unclosed: set[str]) -> int:
+    """Where the page goes on behind an element whose content isn't read; right behind its tag if it isn't closed.
+
+    unclosed: tags of which the page has no end from here on, to be looked for once.
+    """
+    if attributes.rstrip().endswith("/") and tag not in TO_THE_END:
+        return at
+    inner = 0
+    for m in _tags(tag).finditer(page, at) if tag not in unclosed else ():
+        if m[1]:
+            if not inner:
+                return m.end()
+            inner -= 1
+        elif tag in NESTED:
+            inner += not m[0].endswith("/>")
+        elif tag not in TO_THE_END:
+            return at  # opened again: it was never closed
+    if not inner:
+        unclosed.add(tag)
+    return len(page) if tag in TO_THE_END else at
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page, each before its children; the first is the page itself."""
     root = Node("html", _hints(""), None)
     nodes, node, at, place, link = [root], root, 0, 0, 0
     run: list[str] = []
-    linked = 0
+    linked, unclosed = 0, set()
 
     def flush() -> None:
         nonlocal place, linked
@@ -108,17 +147,16 @@ def parse(page: str) -> list[Node]:
                 linked += len(text)
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        at, tag, attributes = m.end(), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
             continue
-        if not m[1]:
+        if not (m[1] or m[4]):
             if tag == "br" or tag == "hr":
                 run.append(" ")
             if tag == "a":
                 link += 1
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _behind(page, at, tag, attributes, unclosed)
                 continue
             if tag not in _BLOCKS:
                 continue
@@ -129,7 +167,7 @@ def parse(page: str) -> list[Node]:
                 node = _up(node, {"p"}, {"div", "td", "article", "section", "li", "body", "blockquote"})
             if tag in CLOSES:
                 node = _up(node, CLOSES[tag], {"ul", "ol", "dl", "table", "div", "article", "section"})
-            child = Node(tag, _hints(m[3]) if m[3] else _NO_HINTS, node)
+            child = Node(tag, _hints(attributes) if attributes else _NO_HINTS, node)
             node.children.append(child)
             nodes.append(child)
             node, link = child, 0
@@ -307,8 +345,11 @@ def text_of(nodes: list[Node], kept: np.ndarray) -> str:
 _SYLLABLES = "ba co de fi gu la me no pi ra so tu ve xi ya zo ter lin mar on est".split()
 
 
-def layout(draw: random.Random) -> str:
-    """A page in which main text consists of words that begin with "k"; all other words begin with other letters."""
+def layout(draw: random.Random, names: dict[str, list[str]] = HINTS) -> str:
+    """A page in which main text consists of words that begin with "k"; all other words begin with other letters.
+
+    names: what elements of each kind may be called.
+    """
 
     def word(main: bool) -> str:
         return ("k" if main else "") + "".join(draw.choice(_SYLLABLES) for _ in range(draw.randint(1, 4)))
@@ -320,7 +361,7 @@ def layout(draw: random.Random) -> str:
         return " ".join(sentence(main) for _ in range(draw.randint(1, most)))
 
     def named(tag: str, kind: str, inner: str, always: bool = False) -> str:
-        own = draw.choice(HINTS[kind]) if kind in HINTS else kind
+        own = draw.choice(names[kind]) if kind in names else kind
         extra = draw.choice(["", "-wrap", " block", "_1", " widget"])
         attribute = f' {draw.choice(["class", "id", "class"])}="{own}{extra}"' if always or draw.random() < 0.6 else ""
         end = f"</{tag}>" if draw.random() < 0.98 or tag != "p" else ""

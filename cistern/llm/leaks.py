@@ -16,9 +16,11 @@ the text's windows (one for the shortest items) lie within it and each is compar
 propose (text, item, place); the proposal is then verified on the whole item: the least number of words to insert, delete or replace in order to turn the item
 into some passage of the text around that place is at most MAX_EDITS times the item's words.
 
-The items are a stated query set: their windows' hashes are broadcast, after a check that they are at most MAX_WINDOWS;
-larger sets are handled in as many passes over the texts as they need. Null, empty and blank texts and items (items of
-less than MIN_WORDS words too) match nothing. Very long texts are whole. Equal items are all reported; the passage of
+Items of less than MIN_WORDS words are too short for edits: they are found where their whole word sequence stands in a text,
+by a hash of so many words and a comparison. In scripts without spaces each character is a word.
+
+The items are a stated query set: their windows' hashes are broadcast, at most MAX_WINDOWS at a time (about 512 bytes each);
+larger sets are handled in as many passes over the texts as they need. Null, empty and blank texts and items match nothing. Very long texts are whole. Equal items are all reported; the passage of
 least distance, then the first, is reported for each text and item, so repeated rows give repeated results only where
 they have ids of their own. An empty table gives an empty result.
 """
@@ -41,7 +43,7 @@ MIN_WORDS = 8
 SIZES = (4, 6, 8, 12)
 WALKS, SAMPLES, PICKED = 4, 8, 6
 MAX_EDITS = 0.2
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 250_000
 SEED = 20_011
 
 
@@ -105,22 +107,38 @@ def edit_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[j]), int(start[j]), j
 
 
+def words_of(hasher: WordHasher, text: str | None) -> np.ndarray:
+    return hasher.words(np.frombuffer(pc.utf8_lower(text or "").as_py().encode(), np.uint8), np.zeros(1, np.int64))[0]
+
+
+def _whole(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n])
+    return out
+
+
 class Items:
     """The items of one pass: their words, and their windows' hashes in order."""
 
     def __init__(self, rows: list[tuple]):
-        hasher = WordHasher(SPACE)
-        self.rows = []
-        for item_id, text in rows:
-            data = np.frombuffer(pc.utf8_lower(text or "").as_py().encode(), np.uint8)
-            words = hasher.words(data, np.zeros(1, np.int64))[0]
-            if len(words) >= MIN_WORDS:
-                self.rows.append((item_id, words))
+        hasher = WordHasher(SPACE, characters=True)
+        self.rows = [(item_id, words) for item_id, text in rows if len(words := words_of(hasher, text))]
+        # Short items by their number of words: sorted hashes of the whole item, and which item.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, MIN_WORDS):
+            own = [i for i, (_, w) in enumerate(self.rows) if len(w) == size]
+            if own:
+                h = np.concatenate([_whole(self.rows[i][1], size) for i in own])
+                order = np.argsort(h, kind="stable")
+                self.short[size] = h[order], np.array(own)[order]
         self.tables: dict[int, list[tuple]] = {}
-        for size in sorted({window_size(len(w)) for _, w in self.rows}):
-            own = [(i, w) for i, (_, w) in enumerate(self.rows) if window_size(len(w)) == size]
-            item = np.concatenate([np.full(len(w) - size + 1, i) for i, w in own])
-            offset = np.concatenate([np.arange(len(w) - size + 1) for _, w in own])
+        for size in sorted({window_size(len(w)) for _, w in self.rows if len(w) >= MIN_WORDS}):
+            own = [(i, w) for i, (_, w) in enumerate(self.rows) if len(w) >= MIN_WORDS and window_size(len(w)) == size]
+            item = np.concatenate([np.full(len(w) - size + 1, i, np.int32) for i, w in own])
+            offset = np.concatenate([np.arange(len(w) - size + 1, dtype=np.int32) for _, w in own])
             hashes = [np.concatenate(x) for x in zip(*(sketches(w, np.arange(len(w) - size + 1), size) for _, w in own), strict=True)]
             self.tables[size] = []
             for h in hashes:
@@ -150,6 +168,24 @@ class Items:
                         near.setdefault((int(text[w]), int(item[k])), set()).add(int(within[w] - offset[k]))
         return near
 
+    def exact(self, words: np.ndarray, cut: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, first word in the text) of the first place of each short item."""
+        found: dict[tuple[int, int], int] = {}
+        for size, (known, item) in self.short.items():
+            if len(words) < size:
+                continue
+            h = _whole(words, size)
+            place = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+            text = np.searchsorted(cut, place, "right") - 1
+            for p, t in zip(place.tolist(), text.tolist(), strict=True):
+                if p + size > cut[t + 1]:
+                    continue
+                a, b = np.searchsorted(known, h[p]), np.searchsorted(known, h[p], "right")
+                for i in item[a:b].tolist():
+                    if (t, i) not in found and (self.rows[i][1] == words[p : p + size]).all():
+                        found[t, i] = p - int(cut[t])
+        return [(t, i, p) for (t, i), p in found.items()]
+
     def verified(self, item: int, words: np.ndarray, places: set[int]) -> tuple[int, int, int] | None:
         """(distance, first word, word behind) of the nearest passage around the places, if it is near enough."""
         own = self.rows[item][1]
@@ -177,10 +213,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     # The query set comes in passes of bounded size.
-    passes, now, size = [], [], 0
+    passes, now, size, hasher = [], [], 0, WordHasher(SPACE, characters=True)
     for r in items.orderBy("item_id", "text").toLocalIterator():
         now.append((r["item_id"], r["text"]))
-        size += len((r["text"] or "").split())
+        size += len(words_of(hasher, r["text"]))
         if size >= MAX_WINDOWS:
             passes.append(now)
             now, size = [], 0
@@ -199,16 +235,18 @@ def _search(sent, schema: str):
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hasher = sent.value, WordHasher(SPACE)
+        own, hasher = sent.value, WordHasher(SPACE, characters=True)
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, at in text_blocks(pc.utf8_lower(batch.column(1))):
                 h, begin, end = hasher.words(data, at[:-1])
                 cut = np.searchsorted(begin, at)
                 out = []
-                for (k, i), places in sorted(own.proposals(h, cut).items()):
-                    lo, hi = cut[k], cut[k + 1]
-                    if m := own.verified(i, h[lo:hi], places):
+                near = [((k, i), own.verified(i, h[cut[k] : cut[k + 1]], places)) for (k, i), places in own.proposals(h, cut).items()]
+                near += [((k, i), (0, s, s + len(own.rows[i][1]))) for k, i, s in own.exact(h, cut)]
+                for (k, i), m in sorted(near, key=lambda x: x[0]):
+                    lo = cut[k]
+                    if m:
                         d, s, e = m
                         out.append((a + k, own.rows[i][0], d, len(own.rows[i][1]), s, e, int(begin[lo + s] - at[k]), int(end[lo + e - 1] - at[k])))
                 if out:

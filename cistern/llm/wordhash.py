@@ -38,9 +38,29 @@ def lowered(space: bytes = b" \t\n\x0b\x0c\r") -> tuple[np.ndarray, np.ndarray]:
     return separates, values
 
 
+#: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese. First and last code points of three bytes.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+
+
+def unspaced_breaks(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 before and behind each character of a script without spaces."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    lead, second, third = (data[at + k].astype(np.int64) for k in range(3))
+    code = (lead & 15) << 12 | (second & 63) << 6 | third & 63
+    own = np.zeros(len(at), bool)
+    for a, b in UNSPACED:
+        own |= (lead < 0xF0) & (code >= a) & (code <= b)
+    wide = at[(lead == 0xF0) & (second >= 0xA0)]  # planes 2 and 3, four bytes
+    own = at[own]
+    return np.concatenate([own, own + 3, wide, wide + 4])
+
+
 class WordHasher:
-    def __init__(self, space: bytes = b" \t\n\x0b\x0c\r"):
+    def __init__(self, space: bytes = b" \t\n\x0b\x0c\r", characters: bool = False):
+        """characters: in scripts without spaces each character is a word."""
         self.separates, self.values = lowered(space)
+        self.characters = characters
         self._grow(PIECE + 1)
 
     def _grow(self, n: int) -> None:
@@ -74,6 +94,8 @@ class WordHasher:
         breaks[0] = breaks[-1] = True
         own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
         breaks[own] = True
+        if self.characters:
+            breaks[unspaced_breaks(part)] = True
         first = inside.copy()
         first[1:] &= ~inside[:-1] | breaks[1:-1]
         last = inside.copy()
