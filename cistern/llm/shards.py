@@ -32,8 +32,10 @@ SHARDS = 24
 TOLERANCE = 0.002
 #: Probes for each splitter or range that is searched on, a round.
 PROBES = 48
-#: Rows of a piece: so many, or that share of all rows.
-PIECE_ROWS, PIECES = 8_192, 20_000
+#: Bytes of a piece, about: so many, or that share of all bytes (the driver holds the pieces' bounds).
+PIECE_BYTES, PIECES = 16 << 20, 200_000
+#: Bytes of a task of the exchange.
+TASK_BYTES = 64 << 20
 EXTRA = 8
 
 _OFFSET = 1 << 63
@@ -103,15 +105,15 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
     low_d, high_d = whole[4], whole[5] + 1
     known = {first: (0, 0), last: (total, rows)}
     targets = [total * i // shards for i in range(1, shards)]
-    most_rows = max(PIECE_ROWS, rows // PIECES)
+    most = max(PIECE_BYTES, total // PIECES)
     chosen: dict[int, int] = {}
 
-    def spread(a: int, b: int) -> list[int]:
-        """New probes in (a, b). Ids lie between the least and the greatest, so the room between hashes is skipped."""
+    def spread(a: int, b: int, n: int = PROBES) -> list[int]:
+        """n new probes in (a, b). Ids lie between the least and the greatest, so the room between hashes is skipped."""
         width = high_d - low_d + 1
         flat = lambda k: (k >> 64) * width + min(max((k & ((1 << 64) - 1)) - _OFFSET - low_d, 0), width - 1)
         x, y = flat(a), flat(b)
-        cuts = {x + (y - x) * i // (PROBES + 1) for i in range(1, PROBES + 1)} - {x, y}
+        cuts = {x + (y - x) * i // (n + 1) for i in range(1, n + 1)} - {x, y}
         return [k for k in (_key(c // width, c % width + low_d) for c in cuts) if a < k < b]
 
     dead: set[tuple[int, int]] = set()
@@ -131,8 +133,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
             else:
                 chosen[i] = near
         for a, b in zip(order, order[1:], strict=False):
-            if known[b][1] - known[a][1] > most_rows and (a, b) not in dead:
-                new = spread(a, b)
+            held = known[b][0] - known[a][0]
+            if held > most and known[b][1] - known[a][1] > 1 and (a, b) not in dead:
+                new = spread(a, b, min(PROBES, 2 * held // most + 1))
                 probes.update(new)
                 if not new:
                     dead.add((a, b))
@@ -140,15 +143,15 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
             break
         fresh = sorted(probes)
         known |= dict(zip(fresh, _below(keys, fresh), strict=True))
-    # Of all probes, pieces keep the splitters and as few others as the limit of rows needs.
+    # Of all probes, pieces keep the splitters and as few others as the limit of bytes needs.
     cuts = sorted(set(chosen.values()) | {first})
     order, pieces, base = sorted(known), [first], 0
     must = set(cuts)
     for k, after in zip(order[1:-1], order[2:], strict=True):
-        if k in must or known[after][1] - base > most_rows:
-            if known[k][1] > base or k in must:
+        if k in must or known[after][0] - base > most:
+            if known[k][0] > base or k in must:
                 pieces.append(k)
-                base = known[k][1]
+                base = known[k][0]
     bounds = sorted(chosen.values())
     return pieces, [known[k][1] for k in pieces], [bisect_right(bounds, k) for k in pieces]
 
@@ -159,6 +162,7 @@ def with_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", t
     id_key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     keys = stage(hashed.select(_hash(F.col(text)).alias("h"), id_key.alias("d"), size_of(F.col(text)).alias("size")), "keys")
     pieces, below, shard = splitters(keys, shards)
+    total = keys.agg(F.sum("size")).first()[0] or 0
     sent = docs.sparkSession.sparkContext.broadcast(Bounds(pieces))
     starts = [below[bisect_left(shard, s)] for s in shard]
 
@@ -173,7 +177,7 @@ def with_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", t
     known = docs.sparkSession.createDataFrame(
         [(i, s, b - a) for i, (s, b, a) in enumerate(zip(shard, below, starts, strict=True))], "_p long, shard int, _base long"
     )
-    parts = max(shards, min(len(pieces), 4 * docs.sparkSession.sparkContext.defaultParallelism) if len(pieces) < 400 else len(pieces) // 16)
+    parts = max(shards, total // TASK_BYTES)
     placed = rows.repartition(parts, "_piece")
     place = F.row_number().over(Window.partitionBy("_piece").orderBy("_h", "_d"))
     placed = placed.withColumn("_n", place).join(F.broadcast(known), F.col("_piece") == F.col("_p"))
