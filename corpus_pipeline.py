@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return the columns of
 documents; the last one adds tokens and what they decode to.
+
+Nulls in any column, empty and very long texts pass through a stage as its operator says: a null or empty text has the score
+of no words, fails the quality rules for want of words, is nobody's copy and leaks nothing; a row with a null id is judged
+by its own text alone and stays where ids decide. Repeated rows of one id are one document and stay or go together; rows of
+one id with different texts are judged each by its text. An empty table gives an empty one. Columns beyond those of
+documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +25,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The model is fitted on the labelled documents."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, result="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
+    scored = toxicity.score(docs.select(*COLUMNS), model, result="_score")
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the languages' histograms are those of these documents."""
-    return quality.quality_rules(docs).where("kept").select(*COLUMNS)
+    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    gone = near.near_copies(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The document of smallest id of each group of near copies.
+
+    Of several texts under one id only those go that are copies of a document of a smaller id.
+    """
+    gone = near.near_copies(docs).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    named = docs.withColumn("text_hash", near.text_hash(F.col("text")))
+    return named.join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +51,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its tokens, their decoded text, and whether that encodes to as many tokens again."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), WORD_BPE), WORD_BPE, text="decoded")
-    kept = coded.withColumnsRenamed({"token_ids": "_ids", "n_tokens": "_n"})
-    again = bpe.encode(kept, WORD_BPE, text="decoded")
-    same = (F.col("_n") == F.col("n_tokens")).alias("same_count")
-    return again.select(*COLUMNS, F.col("_ids").alias("token_ids"), F.col("_n").alias("n_tokens"), "decoded", same)
+    return bpe.round_trip(docs.select(*COLUMNS), WORD_BPE).select(*COLUMNS, "token_ids", "n_tokens", "decoded", "same_count")
 
 
 STAGES = [
