@@ -6,7 +6,7 @@ own. ROWS bins make a band. Texts with equal sets are one representative, so tha
 bucket two centres have an edge to every other member: a bucket of m makes less than 2 * m edges, never m * m. Edges that
 the texts' sketches don't rule out are confirmed on full sets.
 
-A sketch has a bit for each place that a shingle falls on, at least two places for each shingle of the set, whatever its
+A sketch has a bit for each place that a shingle falls on, at least eight places for each shingle of the set, whatever its
 size. Each bit that only one of two texts has is a shingle at least that the other lacks, so sketches rule out no linked pair.
 
 Two texts at a similarity of 0.75 share no bucket with a probability of about 5e-6, and ten of the 32 on average. Stars
@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 PERCENT = 75
 #: Bits of a sketch: a power of two, at least so many, and so many for each shingle.
-SKETCH, SKETCH_BITS = 512, 2
+SKETCH, SKETCH_BITS = 2048, 8
 BLOCK = 512
 
 _C = np.uint64(0xD6E8FEB86659FD93)
