@@ -328,7 +328,10 @@ def _kept_of(keys: np.ndarray, windows: np.ndarray):
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept) of every row; kept: the words that stay, joined by one space."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Names and types are touched only where they differ: a column under an alias would be another exchange of the texts.
+    docs = docs.select(doc_id, text).withColumnsRenamed({c: n for c, n in ((doc_id, "doc_id"), (text, "text")) if c != n})
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = docs.where("doc_id is not null").withColumn("did", F.xxhash64(F.coalesce("text", F.lit(""))))
     # Equal texts by a digest of 128 bits.
     equal = named.where("text is not null").select("doc_id", "did", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size"))
