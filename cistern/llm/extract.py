@@ -95,26 +95,31 @@ def _tags(tag: str) -> re.Pattern:
     return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
 
 
-def _behind(page: str, at: int, tag: str, attributes: str, unclosed: set[str]) -> int:
-    """Where the page goes on behind an element whose content isn't read; right behind its tag if it isn't closed.
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of the tag begins that has an end, and where it ends; one pass over the page."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _tags(tag).finditer(page):
+        if m[1]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif tag in NESTED:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif tag in TO_THE_END:
+            open_ = open_ or [m.start()]
+        else:
+            open_ = [m.start()]  # opened again: the one before was never closed
+    return out
 
-    unclosed: tags of which the page has no end from here on, to be looked for once.
-    """
+
+def _behind(page: str, start: int, at: int, tag: str, attributes: str, ends: dict[str, dict[int, int]]) -> int:
+    """Where the page goes on behind an element whose content isn't read; right behind its tag if it isn't closed."""
     if attributes.rstrip().endswith("/") and tag not in TO_THE_END:
         return at
-    inner = 0
-    for m in _tags(tag).finditer(page, at) if tag not in unclosed else ():
-        if m[1]:
-            if not inner:
-                return m.end()
-            inner -= 1
-        elif tag in NESTED:
-            inner += not m[0].endswith("/>")
-        elif tag not in TO_THE_END:
-            return at  # opened again: it was never closed
-    if not inner:
-        unclosed.add(tag)
-    return len(page) if tag in TO_THE_END else at
+    if tag not in ends:
+        ends[tag] = _ends(page, tag)
+    return ends[tag].get(start, len(page) if tag in TO_THE_END else at)
 
 
 def parse(page: str) -> list[Node]:
@@ -122,7 +127,8 @@ def parse(page: str) -> list[Node]:
     root = Node("html", _hints(""), None)
     nodes, node, at, place, link = [root], root, 0, 0, 0
     run: list[str] = []
-    linked, unclosed = 0, set()
+    linked = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal place, linked
@@ -156,7 +162,7 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 link += 1
             if tag in RAW:
-                at = _behind(page, at, tag, attributes, unclosed)
+                at = _behind(page, m.start(), at, tag, attributes, ends)
                 continue
             if tag not in _BLOCKS:
                 continue

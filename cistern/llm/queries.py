@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,8 @@ from cistern.llm import (
     bpe, counts, extract, leaks, manifest, near, quality, shards, substring, tokenids, toxicity, warc, whitening,
 )
 
-TOKENIZERS = "/opt/tokenizers"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
