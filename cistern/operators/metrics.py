@@ -179,10 +179,13 @@ def range_sample(
     )
 
 
-def presence(samples: DataFrame, key: str, lookback: float, width: float) -> DataFrame:
+def presence(
+    samples: DataFrame, key: str, lookback: float, width: float, keep: Sequence[str] = ()
+) -> DataFrame:
     """Times in which each series has a value, its spans joined where one follows the other.
 
-    Spans are joined within a slice of time, so a long-lived series gives one row per slice.
+    Spans are joined within a slice of time, so a long-lived series gives one row per slice. keep:
+    further columns, the same for all rows of a series.
     """
     held = spans(samples, lookback).withColumn("_slice", slice_of(F.col("ts"), width))
     before = (
@@ -191,14 +194,73 @@ def presence(samples: DataFrame, key: str, lookback: float, width: float) -> Dat
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     breaks = F.coalesce(F.sum(F.col("closed").cast("int")).over(before), F.lit(0))
-    runs = held.select("series", key, "ts", "until", "closed", "_slice", breaks.alias("_run"))
+    runs = held.select(
+        "series", key, *keep, "ts", "until", "closed", "_slice", breaks.alias("_run")
+    )
     return runs.groupBy("series", key, "_slice", "_run").agg(
         F.min("ts").alias("ts"),
         F.max("until").alias("until"),
         F.bool_or("closed").alias("closed"),
+        *[F.first(c).alias(c) for c in keep],
     ).drop("_slice", "_run")
 
 
+def one_series(
+    samples: DataFrame, asked: DataFrame, parts: int = 10, lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> DataFrame:
+    """Labels of the one series that each window's question finds.
+
+    samples carry `key`; asked: window_id, metric, key, start_ts, end_ts, several questions a
+    window. A series is found if it has a value at start, start + step, ... up to end. Adds labels
+    and problem: NULL, or that there is no such series or more than one.
+
+    Series become intervals of time in which they are valid, and intervals meet windows by metric,
+    key and slice of time, so a name that is used again later is another series to later windows.
+    """
+    both = F.concat_ws("\u001f", "metric", "key")
+    held = presence(
+        samples.join(asked.select("metric").distinct(), "metric", "left_semi").withColumn(
+            "_key", both
+        ),
+        "_key", lookback, width, ["labels"],
+    )
+    windows = asked.withColumn("_key", both)
+    found = _meet(held, windows, "_key", parts, width).groupBy("window_id", "metric").agg(
+        F.min("series").alias("_lo"), F.max("series").alias("_hi"),
+        F.min_by("labels", "series").alias("_labels"),
+    )
+    problem = F.when(F.col("_lo").isNull(), "no series").when(
+        F.col("_lo") != F.col("_hi"), "more than one series"
+    )
+    return asked.join(found, ["window_id", "metric"], "left").select(
+        *asked.columns, F.when(problem.isNull(), F.col("_labels")).alias("labels"),
+        problem.alias("problem"),
+    )
+
+
+def questions(windows: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+    """Each window with each metric: what `one_series` is asked."""
+    return windows.select(
+        "window_id", F.explode(F.array(*map(F.lit, metrics))).alias("metric"),
+        F.col(key).alias("key"), "start_ts", "end_ts",
+    )
+
+
+def answers(found: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+    """A row for each window: the labels found for each metric under its name, and the problem.
+
+    The problem is that of the first metric, in the order given, that has one.
+    """
+    cells, problem = [], None
+    for metric, name in metrics.items():
+        own = F.col("metric") == metric
+        cells.append(F.first(F.when(own, F.col("labels")), True).alias(name))
+        said = F.max(F.when(own, F.concat(F.lit(f"{metric}: "), F.col("problem"))))
+        problem = said if problem is None else F.coalesce(problem, said)
+    return found.groupBy("window_id").agg(*cells, problem.alias("problem"))
+
+
 def pod_for_job(samples: DataFrame, jobs: DataFrame) -> DataFrame:
     """Pod of each job: the one annotation series of its job id in its window, else NULL.
 
@@ -218,29 +280,81 @@ def pod_for_job(samples: DataFrame, jobs: DataFrame) -> DataFrame:
     return jobs.join(one, "job_id", "left")
 
 
-def pod_requests_limits(samples: DataFrame) -> DataFrame:
-    """First value of each resource request and limit per pod, NULL where there is none."""
+def pod_requests_limits(
+    samples: DataFrame, windows: DataFrame | None = None, lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> DataFrame:
+    """First value of each resource request and limit per pod, NULL where there is none.
+
+    windows (window_id, pod, start_ts, end_ts): a row for each window, with the first values at its
+    grid points; of several series of a resource the first by name counts.
+    """
     kinds = {"request": "kube_pod_container_resource_requests",
              "limit": "kube_pod_container_resource_limits"}
     build = select_series(samples, matchers=[("container", "=", "build")]).where(
         F.col("metric").isin(*kinds.values())
     )
     resource = label("resource")
-    cells = []
+    cells, first = [], ["ts", "value"]
+    if windows is not None:
+        held = spans(build.withColumn("pod", label("pod")), lookback)
+        met, first = _meet(held, windows, "pod", 10, width), ["series", "k_from"]
     for res in ("cpu", "memory"):
         for kind, metric in kinds.items():
             hit = (F.col("metric") == metric) & (resource == res)
             cells.append(
-                F.min_by("value", F.when(hit, F.struct("ts", "value"))).alias(f"{res}_{kind}")
+                F.min_by("value", F.when(hit, F.struct(*first))).alias(f"{res}_{kind}")
             )
-    return build.groupBy(label("pod").alias("pod")).agg(*cells)
+    if windows is None:
+        return build.groupBy(label("pod").alias("pod")).agg(*cells)
+    found = met.groupBy("window_id").agg(*cells)
+    return windows.select("window_id", "pod").join(found, "window_id", "left")
+
+
+POD_QUESTIONS = {"kube_pod_annotations": "note", "kube_pod_labels": "tag"}
 
 
-def pod_labels(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def label_columns(note: str = "note", tag: str = "tag") -> tuple[dict[str, Column], Column]:
+    """Package and stack details from a pod's annotations and labels, and the first that is missing."""
+    required = {
+        **{c: F.try_element_at(note, F.lit(k)) for c, k in fixed.POD_ANNOTATIONS.items()},
+        **{c: F.try_element_at(tag, F.lit(k)) for c, k in fixed.POD_LABELS.items()},
+    }
+    keys = {**fixed.POD_ANNOTATIONS, **fixed.POD_LABELS}
+    missing = None
+    for c, v in required.items():
+        gone = v.isNull()
+        missing = F.when(gone, keys[c]) if missing is None else missing.when(gone, keys[c])
+    optional = {
+        c: F.coalesce(F.try_element_at(note, F.lit(k)), F.lit(""))
+        for c, k in fixed.POD_OPTIONAL_ANNOTATIONS.items()
+    }
+    jobs = F.try_element_at(note, F.lit(fixed.POD_BUILD_JOBS)).try_cast("int")
+    return {**required, **optional, "build_jobs": jobs}, missing
+
+
+def pod_labels(
+    samples: DataFrame, windows: DataFrame | None = None, lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> tuple[DataFrame, DataFrame]:
     """Package and stack details per pod from its annotations and labels, and the rejects.
 
-    A pod needs exactly one series of each kind and every required label.
+    A pod needs exactly one series of each kind and every required label. windows (window_id, pod,
+    start_ts, end_ts): a row or a reject for each window, by the series valid in it.
     """
+    if windows is not None:
+        keyed = samples.withColumn("key", label("pod"))
+        found = one_series(
+            keyed, questions(windows, "pod", list(POD_QUESTIONS)), 10, lookback, width
+        )
+        rows = answers(found, POD_QUESTIONS)
+        cells, missing = label_columns()
+        named = F.concat(F.lit("missing label "), missing)
+        out = windows.select("window_id", "pod").join(rows, "window_id").select(
+            "window_id", "pod", *[v.alias(c) for c, v in cells.items()],
+            F.coalesce("problem", named).alias("_problem"),
+        )
+        return settled(out, "window_id", "pod_labels")
     notes = select_series(samples, "kube_pod_annotations")
     tags = select_series(samples, "kube_pod_labels")
 
@@ -253,43 +367,93 @@ def pod_labels(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
 
     both = one(notes, "note").join(one(tags, "tag"), "pod", "full")
-    required = {
-        **{c: F.try_element_at("note", F.lit(k)) for c, k in fixed.POD_ANNOTATIONS.items()},
-        **{c: F.try_element_at("tag", F.lit(k)) for c, k in fixed.POD_LABELS.items()},
-    }
-    keys = {**fixed.POD_ANNOTATIONS, **fixed.POD_LABELS}
-    missing = None
-    for c, v in required.items():
-        gone = v.isNull()
-        missing = F.when(gone, keys[c]) if missing is None else missing.when(gone, keys[c])
+    cells, missing = label_columns()
     unique = is_true(
         (F.col("note_lo") == F.col("note_hi")) & (F.col("tag_lo") == F.col("tag_hi"))
     )
-    optional = {
-        c: F.coalesce(F.try_element_at("note", F.lit(k)), F.lit(""))
-        for c, k in fixed.POD_OPTIONAL_ANNOTATIONS.items()
-    }
-    jobs = F.try_element_at("note", F.lit(fixed.POD_BUILD_JOBS)).try_cast("int")
     out = both.select(
         "pod",
-        *[v.alias(c) for c, v in {**required, **optional}.items()],
-        jobs.alias("build_jobs"),
+        *[v.alias(c) for c, v in cells.items()],
         F.when(~unique, "not exactly one series")
         .otherwise(F.concat(F.lit("missing label "), missing))
         .alias("_problem"),
     )
+    return settled(out, "pod", "pod_labels")
+
+
+def settled(out: DataFrame, key: str, operator: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a `_problem`, and the others as rejects."""
     rejects = out.where("_problem IS NOT NULL").select(
-        F.col("pod").alias("key"), F.lit("pod_labels").alias("operator"),
+        F.col(key).cast("string").alias("key"), F.lit(operator).alias("operator"),
         F.col("_problem").alias("reason"),
     )
     return out.where("_problem IS NULL").drop("_problem"), rejects
 
 
-def pod_node(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node of each pod with its uuid, size, capacity type, instance type and zone."""
-    placed = select_series(
+NODE_QUESTIONS = {"kube_node_info": "info", "kube_node_labels": "size"}
+
+
+def placements(samples: DataFrame) -> DataFrame:
+    return select_series(
         samples, "kube_pod_info", [("node", "=~", ".+"), ("pod_ip", "=~", ".+")]
     )
+
+
+def node_series(samples: DataFrame) -> DataFrame:
+    """Series that tell a node's identity and size, keyed by the node."""
+    ready = [(k, "=~", v) for k, v in fixed.NODE_READY_LABELS.items()]
+    rows = select_series(samples, "kube_node_info").unionByName(
+        select_series(samples, "kube_node_labels", ready)
+    )
+    return rows.withColumn("key", label("node"))
+
+
+def node_columns(info: str = "info", size: str = "size") -> dict[str, Column]:
+    names = fixed.NODE_LABELS
+    of = lambda k: F.try_element_at(size, F.lit(names[k]))
+    return {
+        "system_uuid": F.try_element_at(info, F.lit("system_uuid")),
+        "cpu": of("cpu").try_cast("int"),
+        "memory": of("memory").try_cast("bigint") * 1_000_000,
+        "capacity_type": of("capacity_type"),
+        "instance_type": of("instance_type"),
+        "zone": of("zone"),
+    }
+
+
+def nodes_in_windows(
+    samples: DataFrame, windows: DataFrame, lookback: float = LOOKBACK, width: float = SLICE
+) -> DataFrame:
+    """Each window with its pod's node and the node's details, or `_problem`."""
+    asked = questions(windows, "pod", ["kube_pod_info"])
+    placed = placements(samples).withColumn("key", label("pod"))
+    where = one_series(placed, asked, 10, lookback, width).select(
+        "window_id", F.col("key").alias("pod"), label("node").alias("node"), "start_ts", "end_ts",
+        F.concat(F.lit("kube_pod_info: "), F.col("problem")).alias("_lost"),
+    )
+    known = where.where("_lost IS NULL")
+    found = one_series(
+        node_series(samples), questions(known, "node", list(NODE_QUESTIONS)), 10, lookback, width
+    )
+    return where.join(answers(found, NODE_QUESTIONS), "window_id", "left").select(
+        "window_id", "pod", "node", "start_ts", "end_ts",
+        *[v.alias(c) for c, v in node_columns().items()],
+        F.coalesce("_lost", "problem").alias("_problem"),
+    )
+
+
+def pod_node(
+    samples: DataFrame, windows: DataFrame | None = None, lookback: float = LOOKBACK,
+    width: float = SLICE,
+) -> tuple[DataFrame, DataFrame]:
+    """Node of each pod with its uuid, size, capacity type, instance type and zone.
+
+    windows (window_id, pod, start_ts, end_ts): a row or a reject for each window. The node is that
+    of the one placement valid in the window, its details those of the one series of each kind.
+    """
+    if windows is not None:
+        return settled(nodes_in_windows(samples, windows, lookback, width), "window_id", "pod_node")
+    placed = placements(samples)
     placed, r1 = single_series(placed.withColumn("pod", label("pod")), "pod")
     pods = placed.groupBy("pod").agg(F.min(label("node")).alias("node"))
     infos, r2 = single_series(
@@ -321,8 +485,17 @@ def pod_node(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 PRICE_KEY = ("capacity_type", "instance_type", "zone")
 
 
+def price_rejects(priced: DataFrame) -> DataFrame:
+    """A reject for each window that `spot_price` found no price for."""
+    return priced.where("spot_price IS NULL").select(
+        F.col("window_id").cast("string").alias("key"), F.lit("spot_price").alias("operator"),
+        F.concat(F.lit("no price of "), F.concat_ws(", ", *PRICE_KEY)).alias("reason"),
+    )
+
+
 def spot_price(samples: DataFrame, windows: DataFrame, width: float = 3600.0) -> DataFrame:
-    """Mean price of each window's kind of node; NULL where the window has no price.
+    """Mean price of each window's kind of node; NULL where the window has no price, which
+    `price_rejects` reports.
 
     windows: window_id, capacity_type, instance_type, zone, start_ts, end_ts
 
@@ -494,6 +667,33 @@ def pod_usage(cpu_points: DataFrame, memory_points: DataFrame, pod: str = "pod")
     return cpu.join(memory, "window_id")
 
 
+def own_usage(
+    cpu: DataFrame, memory: DataFrame, windows: DataFrame, parts: int = 100,
+    lookback: float = LOOKBACK, width: float = SLICE,
+) -> DataFrame:
+    """Last cpu counter value, largest and mean memory per window, as `pod_usage` gives them.
+
+    windows: window_id, pod, node, start_ts, end_ts. Only the series of each window's own pod meet
+    it, and spans count with the number of grid points that they cover, so no grid point is a row.
+    A window without its pod's counter on its node, or without exactly one memory series, gives no
+    row.
+    """
+    here = cpu.withColumn("_at", F.concat_ws("\u001f", label("pod"), label("node")))
+    asked = windows.withColumn("_at", F.concat_ws("\u001f", "pod", "node"))
+    last = _meet(spans(here, lookback), asked, "_at", parts, width).groupBy("window_id").agg(
+        F.max_by("value", F.struct("k_to", "series")).alias("cpu_usage_seconds")
+    )
+    whole, points = F.floor("value").cast("bigint"), F.col("k_to") - F.col("k_from") + 1
+    own = spans(memory.withColumn("pod", label("pod")), lookback)
+    held = _meet(own, windows.select("window_id", "pod", "start_ts", "end_ts"), "pod", parts, width)
+    used = held.groupBy("window_id").agg(
+        F.max(whole).alias("max_memory"),
+        (F.sum(whole * points) / F.sum(points)).alias("avg_memory"),
+        F.min("series").alias("_lo"), F.max("series").alias("_hi"),
+    )
+    return last.join(used.where("_lo = _hi").drop("_lo", "_hi"), "window_id")
+
+
 def sample_pairs(samples: DataFrame, window: float) -> DataFrame:
     """Consecutive samples of a series at most `window` apart: (prev_ts, prev_value, increase).
 
@@ -723,22 +923,31 @@ REF = "label_metrics_gitlab_ci_commit_ref_name"
 
 
 def pipeline_overview(samples: DataFrame, step: float, lookback: float = LOOKBACK) -> DataFrame:
-    """The overview panels in one long table (panel, ts, dimension, value)."""
-    build = [("namespace", "=", "pipeline")]
-    nodes = by_labels(
-        instant(
-            select_series(samples, "kube_node_labels", [(fixed.PIPELINE_NODE_LABEL, "=", "true")]),
-            step, lookback,
-        ),
-        ["node", "label_node_kubernetes_io_instance_type",
-         "label_beta_kubernetes_io_instance_type"],
-    )
-    pods = by_labels(
-        instant(select_series(samples, "kube_pod_info", build), step, lookback), ["pod", "node"]
-    )
-    tags = by_labels(
-        instant(select_series(samples, "kube_pod_labels", build), step, lookback), ["pod", REF]
-    )
+    """The overview panels in one long table (panel, ts, dimension, value).
+
+    Samples are read and laid on the grid once: the points of all three metrics, with the labels
+    that the panels show, are a written table that every panel reads.
+    """
+    from ..sources.scratch import stage
+
+    shown = ["node", "pod", "label_node_kubernetes_io_instance_type",
+             "label_beta_kubernetes_io_instance_type", REF]
+    build = F.coalesce(label("namespace"), F.lit("")) == "pipeline"
+    ours = F.coalesce(label(fixed.PIPELINE_NODE_LABEL), F.lit("")) == "true"
+    wanted = samples.where(
+        ((F.col("metric") == "kube_node_labels") & ours)
+        | (F.col("metric").isin("kube_pod_info", "kube_pod_labels") & build)
+    )
+    grid = by_labels(instant(wanted, step, lookback), shown).drop("labels", "series")
+    grid = stage(grid, "grid")
+
+    def of(metric: str, *names: str) -> DataFrame:
+        rows = grid.where(F.col("metric") == metric)
+        return rows.select("metric", "ts", "value", *names)
+
+    nodes = of("kube_node_labels", "node", *shown[2:4])
+    pods = of("kube_pod_info", "pod", "node")
+    tags = of("kube_pod_labels", "pod", REF)
     no_dim = F.lit("")
 
     def panel(name: str, df: DataFrame, dim: Column, value: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from .registry import CHECKS, QUERIES, Query
 def _load() -> None:
     from . import (  # noqa: F401
         q_buildcache,
+        q_details,
         q_dims,
         q_facts,
         q_logs,

@@ -174,11 +174,12 @@ def pod_for_job(spark, sf):
       round(arg_min(value, ts) filter (kind = 'click'), 4) as cpu_limit,
       round(arg_min(value, ts) filter (kind = 'error'), 4) as memory_request,
       round(arg_min(value, ts) filter (kind = 'signup'), 4) as memory_limit
-    from b_samples where kind <> 'purchase' group by pod""",
+    from b_samples group by pod""",
     "samples",
 )
 def pod_requests_limits(spark, sf):
-    rows = samples(spark, sf).where("kind <> 'purchase'")
+    # A purchase is a limit of a resource that isn't asked for.
+    rows = samples(spark, sf)
     kind = F.col("kind")
     rows = rows.withColumn(
         "metric",
@@ -189,7 +190,8 @@ def pod_requests_limits(spark, sf):
         "labels",
         _labels(
             pod="pod", container=F.lit("build"),
-            resource=F.when(kind.isin("view", "click"), "cpu").otherwise("memory"),
+            resource=F.when(kind.isin("view", "click"), "cpu").when(kind == "purchase", "disk")
+            .otherwise("memory"),
         ),
     )
     out = metrics.pod_requests_limits(rows)
@@ -281,8 +283,9 @@ def node_samples(spark, sf):
     WINDOWS_SQL
     + """, p as (select ts, value, 'm' || (cast(substr(node, 2) as int) % 3) as it from b_samples),
     w as (select *, 'm' || (cast(substr(node, 2) as int) % 3) as it from wn)
-    select window_id, cast(floor(avg(value) * 10000 + 0.137) as bigint) as price_e4 from w left join p
-      on p.it = w.it and p.ts between start_ts and end_ts group by window_id""",
+    select window_id, cast(floor(avg(value) * 10000 + 0.137) as bigint) as price_e4,
+      case when count(value) = 0 then 'no price of spot, ' || any_value(w.it) || ', z' end as reason
+      from w left join p on p.it = w.it and p.ts between start_ts and end_ts group by window_id""",
     "samples",
 )
 def spot_price(spark, sf):
@@ -298,7 +301,15 @@ def spot_price(spark, sf):
     )
     out = metrics.spot_price(prices, asked, width=HOUR)
     price = F.floor(F.col("spot_price") * 10000 + 0.137).cast("bigint")
-    return out.select("window_id", price.alias("price_e4"))
+    none = F.lit(None).cast("string")
+    return out.where("spot_price IS NOT NULL").select(
+        "window_id", price.alias("price_e4"), none.alias("reason")
+    ).unionByName(
+        metrics.price_rejects(out).select(
+            F.col("key").cast("bigint").alias("window_id"),
+            F.lit(None).cast("bigint").alias("price_e4"), "reason",
+        )
+    )
 
 
 OCC_SQL = RANGE_SQL + """, pt2 as (select window_id, ts, count(*) as n, max(step) as step from rg group by all),
@@ -339,11 +350,10 @@ def node_occupancy(spark, sf):
     "samples",
 )
 def pod_usage(spark, sf):
-    points = ranged(spark, sf)
     own = F.concat(F.lit("p"), (F.col("window_id") % 150).cast("string"))
-    points = points.withColumn("pod", own)
-    memory = points.where(metrics.label("pod") == F.col("pod"))
-    out = metrics.pod_usage(points, memory)
+    asked = windows(spark, sf).withColumn("pod", own)
+    rows = samples(spark, sf)
+    out = metrics.own_usage(rows, rows, asked, parts=10, lookback=DAY / 2, width=DAY / 2)
     return out.select(
         "window_id", F.round("cpu_usage_seconds", 4).alias("cpu_usage_seconds"), "max_memory",
         F.round("avg_memory", 4).alias("avg_memory"),
