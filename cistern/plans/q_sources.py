@@ -4,16 +4,28 @@ from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..operators import facts, logs, warehouse
+from ..functions.columns import as_column
+from ..operators import dims, facts, logs, warehouse
 from ..sources import readers, writers
 from ..sources.scratch import scratch_path, stage
 from .bindings import BINDINGS as BOUND
 from .bindings import bind, table
-from .common import BINDINGS, DUCK_TS, ENRICHED_SQL, enriched, reason_sql, runner_rows, ts_text
+from .common import (
+    BINDINGS,
+    DUCK_TS,
+    ENRICHED_SQL,
+    JOB_URL_PREFIX,
+    enriched,
+    reason_sql,
+    runner_rows,
+    ts_text,
+)
 from .q_buildcache import REFS_SQL, cache_entries
 from .q_buildcache import NOW_SQL, keep_hashes
+from .q_dims import timing_rows
 from .q_logs import FLAGS_SQL, classified
 from .registry import query
 
@@ -358,32 +370,80 @@ def read_clearsigned_json(spark, sf):
 
 
 def _warehouse(spark, sf):
+    """All dimensions and facts of the given jobs and install timings."""
     jobs = stage(enriched(spark, sf), "jobs")
-    return warehouse.build_warehouse(jobs, runner_rows(spark, sf))
+    tables, fact = warehouse.build_warehouse(
+        jobs, runner_rows(spark, sf), job_url_prefix=JOB_URL_PREFIX
+    )
+    own = jobs.select(
+        "job_id", "status", "job_type", F.col("package_hash").alias("spec_hash"),
+        dims.date_key("started_at").alias("start_date_key"),
+        dims.time_key("started_at").alias("start_time_key"),
+    )
+    chosen = stage(facts.select_timings(timing_rows(spark, sf), own), "timings")
+    tables["dim_timer_phase"] = dims.build_dim_timer_phase(chosen)
+    names, specs = tables["dim_package"], tables["dim_package_spec"]
+    return tables, {
+        "fact_job": fact,
+        "fact_timer": facts.build_fact_timer(chosen, names, specs),
+        "fact_timer_phase": facts.build_fact_timer_phase(chosen, names, specs),
+    }
 
 
-@query(
-    "write_warehouse",
-    ENRICHED_SQL
-    + """select 'fact_job' as "table", count(*) as n from enriched
-    union all select 'dim_date', count(distinct cast(started_at as date)) from enriched
+# The rows of each table, from the jobs and the install timings that belong to successful builds.
+WAREHOUSE_SQL = ENRICHED_SQL + """, bj as (select job_id, i_package_hash as own, started_at,
+    strftime(started_at, '%Y%m%d') as date_key from enriched where job_type = 'build' and status = 'success'),
+  ch as (select distinct t.job_id, bj.started_at, date_key, cache, t.name, t.hash, phase, seconds
+    from b_install_times t join bj on bj.job_id = t.job_id where cache or t.hash = own),
+  ft as (select * from ch where name in (select i_package_name from enriched)
+    and hash in (select i_package_hash from enriched)),
+  ftp as (select job_id, started_at, date_key, cache, name, hash, phase, min(seconds) as seconds from ft group by all),
+  ftt as (select distinct job_id, started_at, date_key, cache, name, hash from ft)"""
+DIMS_SQL = """select 'dim_date' as "table", count(distinct cast(started_at as date)) as n from enriched
     union all select 'dim_time', count(distinct strftime(started_at, '%H%M%S')) from enriched
     union all select 'dim_package', 1 + count(distinct i_package_name) from enriched
-    union all select 'dim_package_spec', 1 + count(distinct i_package_hash) from enriched""",
+    union all select 'dim_package_spec', 1 + count(distinct i_package_hash) from enriched
+    union all select 'dim_job_result', 1 + count(distinct (status, error_taxonomy, unnecessary, job_type,
+      gitlab_failure_reason, job_exit_code)) from enriched
+    union all select 'dim_job_retry', 1 + count(distinct (is_retry, is_manual_retry, attempt_number,
+      final_attempt)) from enriched
+    union all select 'dim_gitlab_job', 1 + count(distinct (gitlab_runner_version, ref, tag, pipeline_id,
+      parent_pipeline_id)) from enriched
+    union all select 'dim_stack_job', count(*) from (select coalesce(i_stack, ''), coalesce(i_job_size, ''),
+      case when i_stack is null then '' else job_type end from enriched union select '', '', '')
+    union all select 'dim_node', 1 + count(distinct i_system_uuid) from enriched
+    union all select 'dim_runner', 1 + count(*) from b_ci_runners where id <> 0
+      and id in (select runner_id from enriched)
+    union all select 'dim_timer_data', 2
+    union all select 'dim_timer_phase', count(distinct phase) from ch"""
+
+
+def _counts(tables):
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "write_warehouse",
+    WAREHOUSE_SQL
+    + DIMS_SQL
+    + """ union all select 'fact_job', count(*) from enriched
+    union all select 'fact_timer', count(*) from ftt
+    union all select 'fact_timer_phase', count(*) from ftp""",
     *BINDINGS,
+    "install_times",
+    "ci_runners",
 )
 def write_warehouse(spark, sf):
     path = scratch_path(spark, "warehouse")
-    tables, fact = _warehouse(spark, sf)
+    tables, rows = _warehouse(spark, sf)
     # Written twice: the second run finds every row and adds none.
     for _ in range(2):
-        writers.write_warehouse(tables, {"fact_job": fact}, path)
-    out = None
-    for name in ("fact_job", "dim_date", "dim_time", "dim_package", "dim_package_spec"):
-        row = writers.read_table(spark, path, name).agg(F.count(F.lit(1)).alias("n"))
-        row = row.select(F.lit(name).alias("table"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+        writers.write_warehouse(tables, rows, path)
+    return _counts({n: writers.read_table(spark, path, n) for n in (*tables, *rows)})
 
 
 @query(
@@ -403,72 +463,106 @@ def write_job_logs(spark, sf):
     return spark.read.parquet(path).select("job_id", F.md5("trace").alias("digest"), "log_index")
 
 
-LIMITS = {"fact_job": 10}
+LIMITS = {"fact_job": 10, "fact_timer": 14, "fact_timer_phase": 7}
+
+
+def _recent_sql(name: str) -> str:
+    return f"""cast(started_at as date) >= cast({AS_OF_SQL} - interval '{LIMITS[name]}' day as date)
+      and date_trunc('second', started_at) < {AS_OF_SQL} - interval '1' hour"""
 
 
 @query(
     "export_snapshot",
-    ENRICHED_SQL
-    + f"""select 'fact_job' as "table", count(*) as n from enriched where cast(started_at as date)
-      >= cast({AS_OF_SQL} - interval '10' day as date)
-      and date_trunc('second', started_at) < {AS_OF_SQL} - interval '1' hour
-    union all select 'dim_date', count(distinct cast(started_at as date)) from enriched
-    union all select 'dim_time', count(distinct strftime(started_at, '%H%M%S')) from enriched
-    union all select 'dim_job_result', 1 + count(distinct (status, error_taxonomy, unnecessary, job_type,
-      gitlab_failure_reason, job_exit_code)) from enriched""",
+    WAREHOUSE_SQL
+    + DIMS_SQL
+    + f""" union all select 'fact_job', count(*) from enriched where {_recent_sql('fact_job')}
+    union all select 'fact_timer', count(*) from ftt where {_recent_sql('fact_timer')}
+    union all select 'fact_timer_phase', count(*) from ftp where {_recent_sql('fact_timer_phase')}""",
     *BINDINGS,
+    "install_times",
+    "ci_runners",
 )
 def export_snapshot(spark, sf):
-    path, names = _export(spark, sf)
-    out = None
-    for name in names:
-        row = spark.read.option("header", True).csv(f"{path}/{name}").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        row = row.select(F.lit(name).alias("table"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    path, schemas = _export(spark, sf)
+    return _counts({n: spark.read.option("header", True).csv(f"{path}/{n}") for n in schemas})
 
 
 def _export(spark, sf):
-    tables, fact = _warehouse(spark, sf)
-    names = ("dim_date", "dim_time", "dim_job_result")
+    """Where the snapshot of the whole warehouse is, and the schemas of its tables."""
+    tables, rows = _warehouse(spark, sf)
+    stored = scratch_path(spark, "warehouse")
+    writers.write_warehouse(tables, rows, stored)
+    tables = {n: writers.read_table(spark, stored, n).select(*df.columns) for n, df in tables.items()}
+    rows = {n: writers.read_table(spark, stored, n).select(*df.columns) for n, df in rows.items()}
+    # Days are folder names in the store, which read as numbers.
+    for n, day in writers.FACT_PARTITION.items():
+        rows[n] = rows[n].withColumn(day, F.col(day).cast("string"))
+    rows["fact_job"] = facts.generated_timestamps(rows["fact_job"])
     path = scratch_path(spark, "snapshot")
-    writers.export_snapshot(
-        {n: tables[n] for n in names}, {"fact_job": facts.generated_timestamps(fact)}, path, AS_OF,
-        LIMITS,
-    )
-    return path, ("fact_job", *names)
+    writers.export_snapshot(tables, rows, path, AS_OF, LIMITS)
+    left_out = ("started_at", "finished_at", "infrastructure_error")
+    return path, {
+        n: T.StructType([f for f in df.schema.fields if f.name not in left_out])
+        for n, df in {**tables, **rows}.items()
+    }
 
 
 @query(
     "restore_snapshot",
-    ENRICHED_SQL
-    + f"""select job_id, strftime(started_at, '%Y%m%d') as start_date_key,
-      strftime(started_at, '%H%M%S') as start_time_key, coalesce(i_pod_name, '') as pod_name,
+    WAREHOUSE_SQL
+    + f"""select 'job' as kind, job_id, strftime(started_at, '%Y%m%d') as date_key,
+      strftime(started_at, '%H%M%S') as time_key, coalesce(i_pod_name, '') as name, cast(null as varchar) as phase,
       i_node_cpu as node_cpu, i_build_jobs as build_jobs, error_taxonomy, job_exit_code
-      from enriched where cast(started_at as date) >= cast({AS_OF_SQL} - interval '10' day as date)
-      and date_trunc('second', started_at) < {AS_OF_SQL} - interval '1' hour""",
+      from enriched where {_recent_sql('fact_job')}
+    union all select 'timer', job_id, date_key, strftime(started_at, '%H%M%S'), name, null, null, null, null, null
+      from ftt where {_recent_sql('fact_timer')}
+    union all select 'phase', job_id, date_key, strftime(started_at, '%H%M%S'), name, phase, null, null, null, null
+      from ftp where {_recent_sql('fact_timer_phase')}
+    union all select 'table', n, null, null, "table", null, null, null, null, null from ({DIMS_SQL})""",
     *BINDINGS,
+    "install_times",
+    "ci_runners",
 )
 def restore_snapshot(spark, sf):
-    path, _ = _export(spark, sf)
-    tables = writers.restore_snapshot(
-        spark,
-        path,
-        {
-            "fact_job": "job_id BIGINT, start_date_key STRING, start_time_key STRING, "
-            "pod_name STRING, node_cpu INT, build_jobs INT, job_result_id STRING",
-            "dim_job_result": "job_result_id STRING, error_taxonomy STRING, job_exit_code INT",
-        },
-    )
+    path, schemas = _export(spark, sf)
     restored = scratch_path(spark, "restored")
-    writers.write_restored(tables, restored)
-    fact = spark.read.schema(tables["fact_job"].schema).parquet(f"{restored}/fact_job")
-    result = spark.read.parquet(f"{restored}/dim_job_result")
-    return fact.join(result, "job_result_id").select(
-        "job_id", "start_date_key", "start_time_key", "pod_name", "node_cpu", "build_jobs",
-        "error_taxonomy", "job_exit_code",
+    writers.write_restored(writers.restore_snapshot(spark, path, schemas), restored)
+    read = lambda n: writers.read_table(spark, restored, n)
+    none = {"phase": "string", "node_cpu": "int", "build_jobs": "int", "error_taxonomy": "string",
+            "job_exit_code": "int"}
+
+    def rows(kind, df, **cells):
+        wanted = {"job_id": "job_id", "date_key": "date_key", "time_key": "time_key", **cells}
+        return df.select(
+            F.lit(kind).alias("kind"),
+            *[as_column(v).alias(c) for c, v in wanted.items()],
+            *[F.lit(None).cast(t).alias(c) for c, t in none.items() if c not in cells],
+        )
+
+    # Facts are read through the dimensions that they name, so a key that was lost would lose rows.
+    job = read("fact_job").join(read("dim_job_result"), "job_result_id").join(
+        read("dim_job_retry"), "job_retry_id"
+    )
+    text = lambda c: F.col(c).cast("string")
+    out = rows(
+        "job", job, date_key=text("start_date_key"), time_key=text("start_time_key"),
+        name=F.col("pod_name"), **{c: F.col(c) for c in none if c != "phase"},
+    )
+    packages = read("dim_package").withColumnRenamed("name", "package")
+    specs = read("dim_package_spec").select(F.col("hash").alias("spec_hash"))
+    phases = read("dim_timer_phase").select(F.col("path").alias("phase"))
+    timer, phase = (
+        read(n).join(packages, "package", "left_semi").join(specs, "spec_hash", "left_semi")
+        for n in ("fact_timer", "fact_timer_phase")
+    )
+    timed = {"date_key": text("date_key"), "time_key": text("time_key"), "name": F.col("package")}
+    out = out.unionByName(rows("timer", timer, **timed))
+    phase = phase.join(phases, "phase", "left_semi")
+    out = out.unionByName(rows("phase", phase, **timed, phase=F.col("phase")))
+    counted = _counts({n: read(n) for n in schemas if n.startswith("dim_")})
+    empty = F.lit(None).cast("string")
+    return out.unionByName(
+        rows("table", counted, job_id=F.col("n"), date_key=empty, time_key=empty, name=F.col("table"))
     )
 
 

@@ -1,18 +1,30 @@
-"""Writers. Each replaces or appends whole partitions, so a run that is repeated changes nothing."""
+"""Writers. Each replaces or appends whole partitions, so a run that is repeated changes nothing.
+
+Warehouse tables are versioned as a whole (`versions`): a run becomes visible when all its tables are
+written.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions.columns import new_members
 from ..operators import dims as dim_builders
 from ..operators.facts import PHASE_KEY, TIMER_KEY
 from ..operators.pipelines import _lit_ts
+from . import versions
+
+#: Folders of a table from which on they are written anew as one.
+COMPACT = 16
+#: Runs that may commit first before a write gives up.
+TRIES = 5
 
 FACT_PARTITION = {
     "fact_job": "start_date_key",
@@ -40,9 +52,41 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+class Version(NamedTuple):
+    """Folders and columns of each table."""
+
+    number: int
+    tables: dict[str, list[str]]
+    kinds: dict[str, StructType]
+
+
+def _latest(spark: SparkSession, path: str) -> Version:
+    number, tables = versions.latest(spark, path)
+    return Version(number, tables, versions.schemas(spark, path, number))
+
+
+def _stored(
+    spark: SparkSession, path: str, name: str, version: Version | None = None
+) -> DataFrame | None:
+    """A table of the newest version, or of the one given; a plain folder where there are no versions."""
+    if version is None:
+        version = _latest(spark, path)
+        if not version.number:
+            return _folder(spark, f"{path}/{name}")
+    folders = version.tables.get(name)
+    if not folders:
+        return None
+    # Days are folder names, which read as numbers unless the columns are told.
+    out = None
+    for folder in folders:
+        df = spark.read.schema(version.kinds[name]).parquet(f"{path}/{folder}")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _folder(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{path}/{name}")
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -51,31 +95,73 @@ def _stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 def write_warehouse(
     dims: dict[str, DataFrame], facts: dict[str, DataFrame], path: str
-) -> None:
-    """Append the members and facts that are not stored yet, dimensions first.
+) -> int:
+    """Append the members and facts that are not stored yet, as one new version; gives its number.
 
     Keys are computed from the data, so appending what is missing is all an upsert takes, except
     for package specs, whose empty fields may be filled: those are stored as versions and read
-    through `latest_specs`. Facts are written in one folder per day.
+    through `latest_specs`. Facts are written in one folder per day, and only stored days that the
+    run touches are looked up.
+
+    New rows go to folders of their own; the manifest that names them is committed last. A run that
+    is killed before leaves the old version in place. If another run commits meanwhile, what is
+    missing is worked out again against its version. A table in many folders is written anew as one.
     """
-    for name, df in dims.items():
-        spark = df.sparkSession
-        key = dim_builders.KEYS[name]
-        if name == "dim_package_spec":
-            fresh = _new_specs(df, _stored(spark, path, name))
-        else:
-            old = read_table(spark, path, name)
-            fresh = new_members(df, old, key) if old is not None else df
-        fresh.write.mode("append").parquet(f"{path}/{name}")
-    for name, df in facts.items():
-        old = read_table(df.sparkSession, path, name)
-        keys = FACT_KEYS[name]
-        fresh = df if old is None else df.join(old.select(*keys), keys, "left_anti")
+    given = {**dims, **facts}
+    spark = next(iter(given.values())).sparkSession
+    for _ in range(TRIES):
+        before = _latest(spark, path)
+        if not before.number:  # tables that were there before versions are part of the first
+            there = versions.plain_tables(spark, path, (*dim_builders.KEYS, *FACT_KEYS))
+            kinds = {n: _folder(spark, f"{path}/{n}").schema for n in there}
+            before = Version(0, there, kinds)
+        tables, kinds = {n: list(f) for n, f in before.tables.items()}, dict(before.kinds)
+        for name, df in given.items():
+            fresh, folder = _fresh(spark, path, name, df, before), versions.new_folder(name)
+            _write(fresh, name, f"{path}/{folder}")
+            tables.setdefault(name, []).append(folder)
+            old = kinds.get(name, StructType())
+            kinds[name] = StructType([*old, *(f for f in fresh.schema if f.name not in old.names)])
+            if len(tables[name]) >= COMPACT:
+                whole = _stored(spark, path, name, Version(0, tables, kinds))
+                folder = versions.new_folder(name)
+                _write(whole, name, f"{path}/{folder}")
+                tables[name] = [folder]
+        try:
+            versions.commit(spark, path, before.number + 1, tables, kinds)
+            return before.number + 1
+        except versions.Taken:
+            for name in given:
+                for folder in set(tables[name]) - set(before.tables.get(name, ())):
+                    remove(spark, f"{path}/{folder}")
+    raise versions.Taken(f"{TRIES} versions of {path}")
+
+
+def _fresh(
+    spark: SparkSession, path: str, name: str, df: DataFrame, version: Version
+) -> DataFrame:
+    """Rows of df that the version lacks."""
+    old = _stored(spark, path, name, version)
+    if name == "dim_package_spec":
+        return _new_specs(df, old)
+    if old is None:
+        return df
+    if name in FACT_KEYS:
+        keys, day = FACT_KEYS[name], FACT_PARTITION[name]
+        # As many days as the run has: a list for the scan, so that other days aren't read.
+        days = [r[0] for r in df.select(day).distinct().collect()]
+        seen = old.where(F.col(day).isin(days)) if days else old.limit(0)
+        return df.join(seen.select(*keys), keys, "left_anti")
+    return new_members(df, old, dim_builders.KEYS[name])
+
+
+def _write(df: DataFrame, name: str, folder: str) -> None:
+    if name in FACT_PARTITION:
         day = FACT_PARTITION[name]
         # Rebalancing gathers the rows of a day but splits a day that is larger than the others.
-        fresh.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(
-            f"{path}/{name}"
-        )
+        df.hint("rebalance", day).write.partitionBy(day).parquet(folder)
+    else:
+        df.write.parquet(folder)
 
 
 def _new_specs(df: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -188,13 +274,19 @@ def restore_snapshot(
     return out
 
 
-def write_restored(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace the stored tables by the restored ones."""
+def write_restored(tables: dict[str, DataFrame], path: str) -> int:
+    """Replace the stored tables by the restored ones, as one new version."""
+    spark = next(iter(tables.values())).sparkSession
+    number, _ = versions.latest(spark, path)
+    folders = {}
+    if "dim_package_spec" in tables and "stored_version" not in tables["dim_package_spec"].columns:
+        first = tables["dim_package_spec"].withColumn("stored_version", F.lit(1))
+        tables = {**tables, "dim_package_spec": first}
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        if name in FACT_PARTITION:
-            writer = writer.partitionBy(FACT_PARTITION[name])
-        writer.parquet(f"{path}/{name}")
+        folders[name] = [versions.new_folder(name)]
+        _write(df, name, f"{path}/{folders[name][0]}")
+    versions.commit(spark, path, number + 1, folders, {n: df.schema for n, df in tables.items()})
+    return number + 1
 
 
 def write_keeplists(df: DataFrame, path: str) -> None:
