@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from ..operators import warehouse
 from ..sources import writers
 from ..sources.scratch import scratch_path, stage
-from ..streaming import streams
+from ..streaming import alerts, streams
 from .bindings import bind
 from .common import (
     BINDINGS,
     DUCK_TS,
     ENRICHED_SQL,
+    JOB_URL_PREFIX,
     info_rows,
     retry_rows,
     runner_rows,
@@ -34,11 +35,12 @@ def _run_jobs(spark, sf) -> str:
 
     def enrich(jobs):
         info = info_rows(spark, sf)
-        return warehouse.enrich_jobs(jobs, traces, retry, codes, info, few_jobs=True)[0]
+        return warehouse.enrich_jobs(jobs, traces, retry, codes, info)[0]
 
     source = streams.event_stream(spark, write_events(spark, sf))
     run = streams.stream_jobs(
-        source, out, scratch_path(spark, "ckpt"), enrich, runner_rows(spark, sf)
+        source, out, scratch_path(spark, "ckpt"), enrich, runner_rows(spark, sf),
+        job_url_prefix=JOB_URL_PREFIX,
     )
     run.awaitTermination()
     return out
@@ -143,17 +145,26 @@ def stream_access_logs(spark, sf):
 def stream_alerts(spark, sf):
     rows = samples(spark, sf).select("pod", "ts", "value")
     path = scratch_path(spark, "evaluations")
-    # Four writes in time order; their files are read in that order, some per micro-batch.
+    # Written by slices of two days, several files at a time and in no order within a write; a last
+    # evaluation of no pod, far behind the others, lets the watermark pass them all.
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    part = F.floor((F.col("ts") - low) / (high - low + 1) * 4)
-    for i in range(4):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    slice_ = F.floor(F.col("ts") / 172800)
+    half = (low + high) / 2
+    for part in (F.col("ts") < half, F.col("ts") >= half):
+        rows.where(part).repartition(slice_).write.mode("append").parquet(path)
+    span = int(high - low) + 1
+    end = spark.range(1).select(
+        F.lit(None).cast("string").alias("pod"), F.lit(high + 2.0 * span).alias("ts"),
+        F.lit(0.0).alias("value"),
+    )
+    end.write.mode("append").parquet(path)
     source = (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
     )
-    out, state = scratch_path(spark, "alerts"), scratch_path(spark, "alert-state")
-    run = streams.stream_alerts(
-        source, ["pod"], F.col("value") > 20, 86400.0, out, state, scratch_path(spark, "ckpt")
+    out = scratch_path(spark, "alerts")
+    run = alerts.stream_alerts(
+        source, ["pod"], F.col("value") > 20, 86400.0, f"{span} seconds", out,
+        scratch_path(spark, "ckpt"),
     )
     run.awaitTermination()
     return spark.read.parquet(out).select(

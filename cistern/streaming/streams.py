@@ -31,7 +31,7 @@ Enrich = Callable[[DataFrame], "DataFrame | tuple[DataFrame, DataFrame]"]
 
 def stream_jobs(
     events: DataFrame, out: str, checkpoint: str, enrich: Enrich, runners: DataFrame,
-    trigger: Trigger = ONCE, rejects: str | None = None,
+    trigger: Trigger = ONCE, rejects: str | None = None, *, job_url_prefix: str,
 ) -> StreamingQuery:
     """Finished build events to warehouse tables.
 
@@ -48,7 +48,9 @@ def stream_jobs(
             rejected.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         jobs = jobs.persist()
         try:
-            tables, fact = warehouse.build_warehouse(jobs, runners)
+            tables, fact = warehouse.build_warehouse(
+                jobs, runners, job_url_prefix=job_url_prefix
+            )
             writers.write_warehouse(tables, {"fact_job": fact}, out)
         finally:
             jobs.unpersist()
