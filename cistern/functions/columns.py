@@ -125,18 +125,24 @@ def matches_one_of(text: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-def one_per(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The smallest row of each key, by its other columns in order: the same one whatever the partitioning."""
+def one_per(rows: DataFrame, key: Sequence[str], few: bool = False) -> DataFrame:
+    """The smallest row of each key, by its other columns in order: the same one whatever the partitioning.
+
+    few: distinct rows are few among all, as candidates for a dimension are. Equal rows are then counted
+    away first, by hash and where they are, so that only what is left is sorted to find the least.
+    """
     rest = [c for c in rows.columns if c not in key]
     if not rest:
         return rows.distinct()
+    if few:
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
     least = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_least"))
     return least.select(*[c if c in key else F.col(f"_least.{c}").alias(c) for c in rows.columns])
 
 
 def new_members(candidates: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
     """One candidate row per key, minus the keys that exist."""
-    distinct = one_per(candidates, [key])
+    distinct = one_per(candidates, [key], few=True)
     if existing is None:
         return distinct
     return distinct.join(existing.select(key), key, "left_anti")

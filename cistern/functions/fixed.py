@@ -4,7 +4,7 @@ import json
 import re
 from pathlib import Path
 
-#: Names and addresses of the site whose data are read: change the file for another site.
+#: Names that the site's data carry: change the file for another site.
 SITE = json.loads((Path(__file__).resolve().parents[1] / "settings.json").read_text(encoding="utf-8"))
 
 # Job names that are their own job type.
@@ -49,7 +49,7 @@ SECTION_TIMERS = (
 )
 
 # Taxonomy classes that are the user's own error.
-USER_ERRORS = tuple(SITE["user_errors"])
+USER_ERRORS = ("spack_error", "build_error", "concretization_error", "module_not_found")
 
 # Failure reasons that stand in when no pattern matched.
 SELF_NAMED_REASONS = ("stuck_or_timeout_failure", "scheduler_failure")
@@ -184,15 +184,11 @@ SNAPSHOT_DAYS = {"fact_job": 1000, "fact_timer": 30, "fact_timer_phase": 7}
 SNAPSHOT_NULL = "<null>"
 
 # Backlog texts of pull requests.
-BASE_DOC_URL = SITE["base_doc_url"]
 STALE_REASON = "stale"
 DRAFT_REASON = "draft"
 LABEL_REASON = "missing_label"
 BASE_REASON = "base"
 
-# Address that job pages live under.
-JOB_URL_PREFIX = SITE["job_url_prefix"]
-
 # Log line formats; groups are listed in order.
 LOG_FORMATS = {
     "apache": (

@@ -95,30 +95,91 @@ def blob_path(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where("blob_path IS NOT NULL"), rejects
 
 
+def manifest_paths(prefix: Column, data: Column) -> tuple[Column, Column]:
+    """Metadata and archive paths that a manifest's blobs name; no archive without metadata."""
+    def path(media: str) -> Column:
+        blob = F.get(F.filter(data, lambda b: b["mediaType"] == media), F.lit(0))
+        return blob_key(prefix, blob["checksumAlgorithm"], blob["checksum"])
+
+    meta = path(fixed.SPEC_MEDIA_TYPE)
+    return meta, F.when(meta.isNotNull(), path(fixed.TARBALL_MEDIA_TYPE))
+
+
 def manifest_blobs(stacks: DataFrame, manifests: DataFrame, ref: str) -> DataFrame:
     """Stack entries with the metadata and archive paths their manifests name.
 
     manifests: stack, hash, data (array of blobs). The first blob of each media type counts; an
     entry whose manifest lacks one, or a part of it, keeps NULL paths from there on.
     """
-    def first(media: str) -> Column:
-        return F.get(F.filter("data", lambda b: b["mediaType"] == media), F.lit(0))
-
     prefix = F.concat(F.lit(f"{ref}/"), F.col("stack"))
-    blobs = manifests.select(
-        "stack", "hash", first(fixed.SPEC_MEDIA_TYPE).alias("_spec"),
-        first(fixed.TARBALL_MEDIA_TYPE).alias("_tar"),
+    meta, archive = manifest_paths(prefix, F.col("data"))
+    both = manifests.select("stack", "hash", meta.alias("meta"), archive.alias("archive"))
+    return stacks.drop("meta", "archive").join(both, ["stack", "hash"], "left")
+
+
+def missing_by_hash(objects: DataFrame, ref: str) -> DataFrame:
+    """The complete entries (stack, meta, archive, manifest) of each hash that the top level lacks.
+
+    objects: key and data (array of blobs) of manifests, each listed with its content. One pass and
+    one shuffle, by hash, gives what `split_stacks`, `manifest_blobs` and `missing_at_top` give by
+    joins; `entries_of`, `summary_of` and `plan_of` read off the rest. A hash gathers at most one
+    entry per stack and document, however many objects name it.
+    """
+    ending = F.col("key").endswith(fixed.V3_SUFFIXES[0])
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace("key", fixed.V3_KEY, f"$1{mark}$3{mark}$4"), mark)
+    named = objects.where(ending).select("key", "data", F.explode(F.array(parts)).alias("_p"))
+    named = named.where(F.size("_p") == 3).select(
+        F.get("_p", F.lit(0)).alias("prefix"), F.get("_p", F.lit(1)).alias("hash"), "key", "data"
     )
-    paths = blobs.select(
-        "stack",
-        "hash",
-        blob_key(prefix, F.col("_spec.checksumAlgorithm"), F.col("_spec.checksum")).alias("meta"),
-        blob_key(prefix, F.col("_tar.checksumAlgorithm"), F.col("_tar.checksum")).alias("_tar"),
+    stack = F.regexp_extract("prefix", rf"\Q{ref}\E/(.+)", 1)
+    known = named.withColumn("stack", F.when(F.col("prefix") != ref, stack)).where(
+        F.col("stack").isNull() | (F.col("stack") != "")
     )
-    both = paths.select(
-        "stack", "hash", "meta", F.when(F.col("meta").isNotNull(), F.col("_tar")).alias("archive")
+    meta, archive = manifest_paths(F.col("prefix"), F.col("data"))
+    entry = F.struct("stack", meta.alias("meta"), archive.alias("archive"), "key")
+    per_hash = known.groupBy("hash").agg(
+        F.bool_or(F.col("stack").isNull()).alias("_top"),
+        F.collect_set(F.when(F.col("stack").isNotNull(), entry)).alias("_all"),
     )
-    return stacks.drop("meta", "archive").join(both, ["stack", "hash"], "left")
+
+    def last_key(e: Column) -> Column:
+        own = F.filter("_all", lambda o: o["stack"] == e["stack"])
+        return F.array_max(F.transform(own, lambda o: o["key"]))
+
+    whole = F.filter("_all", lambda e: e["meta"].isNotNull() & e["archive"].isNotNull())
+    entries = F.array_distinct(
+        F.transform(
+            whole,
+            lambda e: F.struct(
+                e["stack"].alias("stack"), e["meta"].alias("meta"), e["archive"].alias("archive"),
+                last_key(e).alias("manifest"),
+            ),
+        )
+    )
+    return per_hash.where(~F.col("_top")).select("hash", entries.alias("entries")).where(
+        F.size("entries") > 0
+    )
+
+
+def entries_of(missing: DataFrame) -> DataFrame:
+    """A row for each entry of `missing_by_hash`."""
+    return missing.select("hash", F.inline("entries"))
+
+
+def summary_of(missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`missing_summary` of `missing_by_hash`, without another shuffle of the hashes."""
+    stacks = F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["stack"])))
+    return (
+        missing.select("hash", F.concat_ws(",", stacks).alias("viable_stacks")),
+        missing.agg(F.count(F.lit(1)).alias("total_missing")),
+    )
+
+
+def plan_of(missing: DataFrame, ref: str, version: int = 3) -> DataFrame:
+    """`publish_plan` of `missing_by_hash`, without another shuffle."""
+    one = missing.select("hash", F.array_min("entries").alias("s"))
+    return _copies(one, ref, version)
 
 
 def missing_at_top(stacks: DataFrame, top: DataFrame) -> DataFrame:
@@ -147,6 +208,11 @@ def publish_plan(missing: DataFrame, ref: str, version: int = 3) -> DataFrame:
     """
     fields = [c for c in ("stack", "meta", "archive", "manifest") if c in missing.columns]
     one = missing.groupBy("hash").agg(F.min_by(F.struct(*fields), "stack").alias("s"))
+    return _copies(one, ref, version)
+
+
+def _copies(one: DataFrame, ref: str, version: int) -> DataFrame:
+    """A row for each copy of an entry (hash, s), in the order in which they are made."""
     kinds = ["archive", "meta"] + (["manifest"] if version == 3 else [])
     copies = one.select(
         "hash",
@@ -371,17 +437,23 @@ def stale_pr_mirrors(
 def reclaimable_size(objects: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Bytes below each doomed prefix, and their sum under the prefix NULL.
 
-    An object lies below every prefix that ends at one of the slashes of its key, so its own
-    prefixes are looked up by equality instead of comparing each key with each prefix.
+    Objects are added up by their folder, the key up to its last slash, where they are read: one
+    row for each folder of a task is shuffled. A folder lies below every prefix that ends at one of
+    its slashes, so a folder's own prefixes are looked up by equality.
     """
-    parts = F.split("key", "/")
-    depth = F.size(parts)
+    last = F.length("key") - F.instr(F.reverse(F.col("key")), F.lit("/")) + 1
+    folder = F.when(F.col("key").contains("/"), F.substring("key", F.lit(1), last))
+    folders = objects.select(folder.alias("folder"), "size").where("folder IS NOT NULL")
+    folders = folders.groupBy("folder").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+    )
+    parts = F.split("folder", "/")
     own = F.transform(
-        F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))),
+        F.sequence(F.lit(1), F.size(parts) - 1),
         lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
     )
-    sized = objects.withColumn("prefix", F.explode(own)).groupBy("prefix").agg(
-        F.sum("size").cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("objects")
+    sized = folders.withColumn("prefix", F.explode(own)).groupBy("prefix").agg(
+        F.sum("size").cast("bigint").alias("bytes"), F.sum("n").cast("bigint").alias("objects")
     )
     doomed = prefixes.select("prefix").distinct()
     each = doomed.join(sized, "prefix", "left").select(

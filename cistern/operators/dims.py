@@ -453,6 +453,24 @@ POD_FIELDS = (
     "node_memory",
 )
 
+# Characters that the stored text fields hold at most.
+MAX_LENGTHS = {
+    "dim_date": {"date_key": 8, "date_description": 32, "day_name": 16, "month_name": 16},
+    "dim_time": {"time_key": 6, "am_or_pm": 2},
+    "dim_stack_job": {"stack": 128, "job_size": 128},
+    "dim_gitlab_job": {"gitlab_runner_version": 16, "ref": 256},
+    "dim_job_result": {"status": 32, "error_taxonomy": 64, "gitlab_failure_reason": 256},
+    "dim_node": {"name": 64, "capacity_type": 12, "instance_type": 32},
+    "dim_runner": {"name": 64, "platform": 64, "host": 32, "arch": 32},
+    "dim_package_spec": {
+        "hash": 32, "name": 128, "version": 32, "compiler_name": 32, "compiler_version": 32,
+        "arch": 64,
+    },
+    "dim_package": {"name": 128},
+    "dim_timer_phase": {"path": 64},
+    "fact_job": {"name": 128},
+}
+
 UNIQUE = {
     "dim_stack_job": ["stack", "job_size", "job_type"],
     "dim_gitlab_job": ["gitlab_job_id"],
@@ -470,7 +488,7 @@ UNIQUE = {
 
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """All CHECK and UNIQUE rules as one report of (table, rule, key)."""
+    """All CHECK, UNIQUE and length rules as one report of (table, rule, key)."""
     length = F.length
     complete = (
         (length("name") > 0) & (length("hash") == 32) & (length("version") > 0)
@@ -516,6 +534,10 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     report = None
     for name, df in tables.items():
         parts = [_violations(df, name, *rule) for rule in checks.get(name, [])]
+        key = F.col(KEYS.get(name, "job_id"))
+        for c, most in MAX_LENGTHS.get(name, {}).items():
+            if c in df.columns:
+                parts.append(_violations(df, name, f"max-length-{c}", key, length(c) > most))
         if name in UNIQUE:
             parts.append(_duplicates(df, name, "unique", UNIQUE[name]))
         for part in parts:

@@ -85,6 +85,32 @@ def parse_job_name(df: DataFrame, name: str = "build_name") -> DataFrame:
 PACKAGE_FIELDS = ("name", "hash", "version", "compiler_name", "compiler_version", "arch", "variants")
 
 
+def info_route(
+    has_metrics: Column, missing_label: Column, has_artifacts: Column, missing_variable: Column
+) -> tuple[Column, Column]:
+    """Source of a job's details, and the reason if none can describe it.
+
+    Columns is_build, status, package_version and package_hash (of the name) are read.
+    """
+    named = F.col("package_version").isNotNull() & F.col("package_hash").isNotNull()
+    source = (
+        F.when(has_metrics & F.col("is_build") & missing_label.isNotNull(), "reject")
+        .when(has_metrics, "metrics")
+        .when(~F.col("is_build"), "none")
+        .when(has_artifacts & missing_variable.isNotNull(), "reject")
+        .when(has_artifacts, "artifacts")
+        .when((F.col("status") == "failed") & named, "name")
+        .otherwise("reject")
+    )
+    reason = (
+        F.when(has_metrics, F.concat(F.lit("missing label "), missing_label))
+        .when(has_artifacts, F.concat(F.lit("missing variable "), missing_variable))
+        .when(F.col("status") == "failed", F.lit("job name does not name a package"))
+        .otherwise(F.lit("no artifacts"))
+    )
+    return source, reason
+
+
 def job_info_cascade(
     jobs: DataFrame, metrics: DataFrame, artifacts: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -117,21 +143,8 @@ def job_info_cascade(
     joined = parse_job_name(jobs.join(m, "job_id", "left").join(a, "job_id", "left"), "name")
     has_metrics = F.coalesce("has_metrics", F.lit(False))
     has_artifacts = F.coalesce("has_artifacts", F.lit(False))
-    named = F.col("package_version").isNotNull() & F.col("package_hash").isNotNull()
-    source = (
-        F.when(has_metrics & F.col("is_build") & F.col("missing_label").isNotNull(), "reject")
-        .when(has_metrics, "metrics")
-        .when(~F.col("is_build"), "none")
-        .when(has_artifacts & F.col("missing_variable").isNotNull(), "reject")
-        .when(has_artifacts, "artifacts")
-        .when((F.col("status") == "failed") & named, "name")
-        .otherwise("reject")
-    )
-    reason = (
-        F.when(has_metrics, F.concat(F.lit("missing label "), F.col("missing_label")))
-        .when(has_artifacts, F.concat(F.lit("missing variable "), F.col("missing_variable")))
-        .when(F.col("status") == "failed", F.lit("job name does not name a package"))
-        .otherwise(F.lit("no artifacts"))
+    source, reason = info_route(
+        has_metrics, F.col("missing_label"), has_artifacts, F.col("missing_variable")
     )
     from_name = F.struct(
         F.col("package_name").alias("name"),
@@ -192,8 +205,10 @@ FACT_MEASURES = (
 )
 
 
-def build_fact_job(jobs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One row per job; jobs that already have a row keep it.
+def build_fact_job(
+    jobs: DataFrame, existing: DataFrame | None = None, *, job_url_prefix: str
+) -> DataFrame:
+    """One row per job; jobs that already have a row keep it. job_url_prefix: where job pages live.
 
     Foreign keys are computed from the job's own columns, so no dimension is joined here. Measures
     a source does not provide are NULL, section timers 0.
@@ -217,7 +232,7 @@ def build_fact_job(jobs: DataFrame, existing: DataFrame | None = None) -> DataFr
         dims.job_retry_key().alias("job_retry_id"),
         F.coalesce("name", empty).alias("name"),
         F.coalesce("pod_name", empty).alias("pod_name"),
-        F.concat(F.lit(fixed.JOB_URL_PREFIX), F.col("job_id").cast("string")).alias("job_url"),
+        F.concat(F.lit(job_url_prefix), F.col("job_id").cast("string")).alias("job_url"),
         "duration_seconds",
         *measures,
         *[F.col(t) if t in have else F.lit(0).cast("bigint").alias(t) for t in timers],

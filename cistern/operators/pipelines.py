@@ -209,9 +209,12 @@ def retryable_triggers(bridges: DataFrame, jobs: DataFrame) -> DataFrame:
     """Trigger jobs whose empty child pipeline failed because generation failed at first.
 
     bridges: id, name, parent_pipeline_id, failure_reason, child_id, child_status
-    jobs: pipeline_id, name, status, retried attempts included
+    jobs: pipeline_id, name, status, retried attempts included. A bridge without a child has nothing
+    to retry.
     """
-    broken = bridges.where("child_status = 'failed' AND failure_reason = 'unknown_failure'")
+    broken = bridges.where(
+        "child_id IS NOT NULL AND child_status = 'failed' AND failure_reason = 'unknown_failure'"
+    )
     busy = jobs.select(F.col("pipeline_id").alias("child_id")).distinct()
     empty = broken.join(busy, "child_id", "left_anti")
     named = empty.withColumn("generate_name", F.replace("name", F.lit("-build"), F.lit("-generate")))
@@ -400,15 +403,20 @@ def is_ancestor(pairs: DataFrame, reach: DataFrame) -> DataFrame:
     )
 
 
-def backlog_status(prs: DataFrame, unmergeable: DataFrame, main_branch: str) -> DataFrame:
-    """Statuses to post for deferred pull requests and for heads that cannot be merged."""
+def backlog_status(
+    prs: DataFrame, unmergeable: DataFrame, main_branch: str, *, base_doc_url: str
+) -> DataFrame:
+    """Statuses to post for deferred pull requests and for heads that cannot be merged.
+
+    base_doc_url: the page that explains why a pull request waits for its base to be tested.
+    """
     reason = F.col("backlogged")
     silent = (fixed.STALE_REASON, fixed.LABEL_REASON)
     waiting = prs.where(reason.isNotNull() & ~reason.isin(*silent)).select(
         F.col("head_sha").alias("sha"),
         F.col("pr_string").alias("branch"),
         F.lit("pending").alias("state"),
-        F.when(reason == fixed.BASE_REASON, fixed.BASE_DOC_URL).otherwise("").alias("target_url"),
+        F.when(reason == fixed.BASE_REASON, base_doc_url).otherwise("").alias("target_url"),
         F.when(
             reason == fixed.BASE_REASON,
             f"This branch's merge-base with {main_branch} is newer than the latest commit "

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from . import dims, facts, logs, pipelines
 
+#: Ids of jobs that are sent to every task, at most.
+SENT_JOBS = 100_000
+
 NO_INFO = {
     "stack": "string",
     "job_size": "string",
@@ -85,7 +88,6 @@ def enrich_jobs(
     retry: DataFrame,
     exit_codes: DataFrame,
     info: DataFrame | None = None,
-    few_jobs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per started job with every column the dimensions and the fact need, and rejects.
 
@@ -93,16 +95,16 @@ def enrich_jobs(
     retry_reasons, attempt_number; exit_codes: build_id, job_exit_code; info: job_id and any
     columns of NO_INFO.
 
-    Only the short columns of trace_features are joined: the text itself is never shuffled.
-    few_jobs tells that the jobs are a small part of the traces, as in a micro-batch: then only
-    their traces are searched.
+    Only the short columns of trace_features are joined: the text itself is never shuffled. Where the
+    jobs are at most SENT_JOBS, as in a micro-batch, their ids are sent along and only their traces
+    are searched; the rows are the same.
     """
     started = facts.filter_started(jobs)
     rejects = dims.job_type_rejects(started)
     known = dims.determine_job_type(started).where("job_type IS NOT NULL")
-    if few_jobs:
-        asked = started.select(F.col("build_id").alias("job_id"))
-        traces = traces.join(asked, "job_id", "left_semi")
+    asked = started.select(F.col("build_id").alias("job_id"))
+    if asked.limit(SENT_JOBS + 1).count() <= SENT_JOBS:
+        traces = traces.join(F.broadcast(asked), "job_id", "left_semi")
     features = trace_features(traces).withColumnRenamed("job_id", "build_id")
     df = (
         known.join(features, "build_id", "left")
@@ -178,9 +180,12 @@ def build_dimensions(jobs: DataFrame, runners: DataFrame) -> dict[str, DataFrame
 
 
 def build_warehouse(
-    jobs: DataFrame, runners: DataFrame, existing_fact: DataFrame | None = None
+    jobs: DataFrame, runners: DataFrame, existing_fact: DataFrame | None = None, *,
+    job_url_prefix: str,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Dimensions and the job fact of enriched jobs."""
     tables = build_dimensions(jobs, runners)
     keyed = dims.with_runner_key(jobs, tables["dim_runner"])
-    return tables, facts.build_fact_job(keyed, existing_fact)
+    return tables, facts.build_fact_job(
+        keyed, existing_fact, job_url_prefix=job_url_prefix
+    )

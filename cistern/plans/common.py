@@ -10,6 +10,11 @@ from ..operators import facts, pipelines, warehouse
 from .bindings import bind
 
 
+#: Addresses that the site is to name.
+JOB_URL_PREFIX = "https://ci.example/jobs/"
+BASE_DOC_URL = "https://ci.example/deferred"
+
+
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

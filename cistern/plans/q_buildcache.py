@@ -57,17 +57,15 @@ def split_stacks(spark, sf):
 
 @query(
     "blob_path",
-    """select key, 'develop/' || stack || '/blobs/sha256/' || substr(spec_sum, 1, 2) || '/' || spec_sum
-        as blob_path, cast(null as varchar) as reason from b_manifest_keys
-      where spec_sum is not null and stack is not null
-    union all select 'none', null, 'missing checksum' from b_manifest_keys
-      where spec_sum is null and stack is not null""",
+    """select key, 'develop' || coalesce('/' || stack, '') || '/blobs/sha256/' || substr(spec_sum, 1, 2) || '/'
+        || spec_sum as blob_path, cast(null as varchar) as reason from b_manifest_keys
+      where spec_sum is not null
+    union all select 'none', null, 'missing checksum' from b_manifest_keys where spec_sum is null""",
     "manifest_keys",
 )
 def blob_path(spark, sf):
-    rows = bind(spark, sf, "manifest_keys").where("stack IS NOT NULL")
-    rows = rows.select(
-        "key", F.concat(F.lit("develop/"), F.col("stack")).alias("prefix"),
+    rows = bind(spark, sf, "manifest_keys").select(
+        "key", F.concat_ws("/", F.lit("develop"), "stack").alias("prefix"),
         F.lit("sha256").alias("algorithm"), F.col("spec_sum").alias("checksum"),
     )
     good, rejects = buildcache.blob_path(rows)
@@ -77,11 +75,8 @@ def blob_path(spark, sf):
     )
 
 
-def _manifests(spark, sf):
-    """Catalog entries and one manifest document per stack and hash."""
-    rows = bind(spark, sf, "manifest_keys")
-    stacks, top = buildcache.split_stacks(buildcache.catalog_v3(rows), "develop")
-
+def _blobs():
+    """Content of each manifest: the first of two metadata blobs counts."""
     def blob(media, checksum):
         return F.struct(
             F.lit(10).cast("bigint").alias("contentLength"), F.lit(media).alias("mediaType"),
@@ -89,10 +84,17 @@ def _manifests(spark, sf):
             F.col(checksum).alias("checksum"),
         )
 
-    data = F.array(
+    return F.array(
         blob("other", "hash"), blob(fixed.TARBALL_MEDIA_TYPE, "tar_sum"),
         blob(fixed.SPEC_MEDIA_TYPE, "spec_sum"), blob(fixed.SPEC_MEDIA_TYPE, "hash"),
     )
+
+
+def _manifests(spark, sf):
+    """Catalog entries and one manifest document per stack and hash."""
+    rows = bind(spark, sf, "manifest_keys")
+    stacks, top = buildcache.split_stacks(buildcache.catalog_v3(rows), "develop")
+    data = _blobs()
     sums = rows.where("stack IS NOT NULL").select("stack", "hash", "spec_sum", "tar_sum")
     documents = sums.distinct().select("stack", "hash", data.alias("data"))
     return buildcache.manifest_blobs(stacks, documents, "develop"), top
@@ -119,12 +121,13 @@ def manifest_blobs(spark, sf):
 
 
 def _missing(spark, sf):
-    return buildcache.missing_at_top(*_manifests(spark, sf))
+    objects = bind(spark, sf, "manifest_keys").select("key", _blobs().alias("data"))
+    return buildcache.missing_by_hash(objects, "develop")
 
 
 @query("missing_at_top", MANIFEST_SQL + "select stack, hash, archive from ms", "manifest_keys")
 def missing_at_top(spark, sf):
-    return _missing(spark, sf).select("stack", "hash", "archive")
+    return buildcache.entries_of(_missing(spark, sf)).select("stack", "hash", "archive")
 
 
 @query(
@@ -136,7 +139,7 @@ def missing_at_top(spark, sf):
     "manifest_keys",
 )
 def missing_summary(spark, sf):
-    per_hash, total = buildcache.missing_summary(_missing(spark, sf))
+    per_hash, total = buildcache.summary_of(_missing(spark, sf))
     none = F.lit(None).cast("string")
     return per_hash.select(
         "hash", "viable_stacks", F.lit(None).cast("bigint").alias("total_missing")
@@ -156,7 +159,7 @@ def missing_summary(spark, sf):
     "manifest_keys",
 )
 def publish_plan(spark, sf):
-    return buildcache.publish_plan(_missing(spark, sf), "develop")
+    return buildcache.plan_of(_missing(spark, sf), "develop")
 
 
 def _spec_documents(spark, sf):
@@ -173,40 +176,45 @@ def _spec_documents(spark, sf):
     )
 
 
-MIGRATE_SQL = V2_SQL + f""", done as (select distinct hash from b_manifest_keys where stack = 'stack1'),
+MIGRATE_SQL = V2_SQL + f""", done as (select distinct 'develop' || coalesce('/' || stack, '') as prefix, hash from b_manifest_keys),
   sz as (select prefix, hash, max(size) filter (key like '%{fixed.V2_SUFFIXES[1]}') as n from (
     select *, regexp_extract(key, '^(.+)/build_cache/', 1) as prefix,
       regexp_extract(key, '-([^-.]+)[.]', 1) as hash from b_object_keys) group by all),
   sd as (select md5(concat('h', o_orderkey)) as hash, o_orderkey % 11 <> 0 as has_alg,
     md5(concat('a', o_orderkey)) as checksum, 'pkg' || (o_orderkey % 9) as name,
     o_orderkey % 13 = 0 as odd, md5(concat('b', o_orderkey)) as meta_checksum from orders),
-  pl as (select v2.hash, meta, archive, sd.*, case when meta is null then 'no metadata'
-    when archive is null then 'no archive' when v2.hash in (select hash from done) then 'previously migrated'
+  pl as (select v2.prefix, v2.hash, meta, archive, sd.*, case when meta is null then 'no metadata'
+    when archive is null then 'no archive' when (v2.prefix, v2.hash) in (select (prefix, hash) from done) then 'previously migrated'
     when sd.hash is null then 'metadata not readable' when not has_alg then 'no checksum'
     when odd then 'hash mismatch' end as skip
-    from v2 left join sd on sd.hash = v2.hash where prefix = 'develop/stack2')"""
+    from v2 left join sd on sd.hash = v2.hash)"""
 
 
 @query(
     "migration_plan",
     MIGRATE_SQL
-    + """select hash, skip as skip_reason,
-      case when skip is null then 'develop/stack2/blobs/sha256/' || substr(checksum, 1, 2) || '/' || checksum end as archive_path,
-      case when skip is null then 'develop/stack2/blobs/sha256/' || substr(meta_checksum, 1, 2) || '/' || meta_checksum end as meta_path,
-      case when skip is null then 'develop/stack2/v3/manifests/spec/' || name || '/' || name || '-1.2-' || hash || '.spec.manifest.json' end as manifest_path,
+    + """select prefix, hash, skip as skip_reason,
+      case when skip is null then prefix || '/blobs/sha256/' || substr(checksum, 1, 2) || '/' || checksum end as archive_path,
+      case when skip is null then prefix || '/blobs/sha256/' || substr(meta_checksum, 1, 2) || '/' || meta_checksum end as meta_path,
+      case when skip is null then prefix || '/v3/manifests/spec/' || name || '/' || name || '-1.2-' || hash || '.spec.manifest.json' end as manifest_path,
       case when skip is null then checksum end as manifest_checksum from pl""",
     "object_keys",
     "manifest_keys",
 )
 def migration_plan(spark, sf):
     catalog = buildcache.catalog_v2(bind(spark, sf, "object_keys"))
-    listing = bind(spark, sf, "manifest_keys").where("stack = 'stack1'")
-    plan = buildcache.migration_plan(
-        catalog.where("prefix = 'develop/stack2'"), listing, _spec_documents(spark, sf),
-        "develop/stack2",
-    )
+    listing = bind(spark, sf, "manifest_keys")
+    specs, plan = _spec_documents(spark, sf), None
+    # Every mirror moves below its own prefix, with the listing of that prefix.
+    for stack in (None, "stack1", "stack2", "stack3"):
+        prefix = f"develop/{stack}" if stack else "develop"
+        own = buildcache.migration_plan(
+            catalog.where(F.col("prefix") == prefix),
+            listing.where(F.col("stack").eqNullSafe(F.lit(stack).cast("string"))), specs, prefix,
+        ).withColumn("prefix", F.lit(prefix))
+        plan = own if plan is None else plan.unionByName(own)
     return plan.select(
-        "hash", "skip_reason", "archive_path", "meta_path", "manifest_path",
+        "prefix", "hash", "skip_reason", "archive_path", "meta_path", "manifest_path",
         F.get_json_object("manifest", "$.data[0].checksum").alias("manifest_checksum"),
     )
 

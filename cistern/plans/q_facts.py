@@ -10,6 +10,7 @@ from .common import (
     BINDINGS,
     DUCK_TS,
     ENRICHED_SQL,
+    JOB_URL_PREFIX,
     enriched,
     key_sql,
     runner_rows,
@@ -206,7 +207,9 @@ def job_cost(spark, sf):
 def build_fact_job(spark, sf):
     jobs = enriched(spark, sf)
     runners = dims.build_dim_runner(jobs, runner_rows(spark, sf))
-    fact = facts.build_fact_job(dims.with_runner_key(jobs, runners))
+    fact = facts.build_fact_job(
+        dims.with_runner_key(jobs, runners), job_url_prefix=JOB_URL_PREFIX
+    )
     return fact.select(
         "job_id", "start_date_key", "start_time_key", "node_id", "runner_id", "package",
         "spec_hash", "stack_job_id", "gitlab_job_id", "job_result_id", "job_retry_id", "name",
@@ -315,7 +318,9 @@ def build_fact_timer_phase(spark, sf):
 )
 def star_join(spark, sf):
     jobs = stage(enriched(spark, sf), "jobs")
-    tables, fact = warehouse.build_warehouse(jobs, runner_rows(spark, sf))
+    tables, fact = warehouse.build_warehouse(
+        jobs, runner_rows(spark, sf), job_url_prefix=JOB_URL_PREFIX
+    )
     used = {n: tables[n] for n in ("dim_date", "dim_job_result")}
     joined = facts.star_join(fact, used)
     return joined.groupBy(

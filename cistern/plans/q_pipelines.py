@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import pipelines
 from .bindings import bind, table
-from .common import case_sql, quote, reason_sql
+from .common import BASE_DOC_URL, case_sql, quote, reason_sql
 from .registry import query
 
 NOW = datetime(1999, 1, 1)
@@ -244,8 +244,9 @@ def stale_branches(spark, sf):
     "generate_jobs",
 )
 def retryable_triggers(spark, sf):
-    bridges = bind(spark, sf, "bridges").where("child_id IS NOT NULL")
-    out = pipelines.retryable_triggers(bridges, bind(spark, sf, "generate_jobs"))
+    out = pipelines.retryable_triggers(
+        bind(spark, sf, "bridges"), bind(spark, sf, "generate_jobs")
+    )
     return out.select("id", "child_id")
 
 
@@ -318,7 +319,7 @@ def classify_prs(spark, sf):
 
 
 STATUS_SQL = f""", st as (select head_sha as sha, pr_string as branch, 'pending' as state,
-    case backlogged when 'base' then {quote(fixed.BASE_DOC_URL)} else '' end as target_url,
+    case backlogged when 'base' then {quote(BASE_DOC_URL)} else '' end as target_url,
     case backlogged when 'base' then 'This branch''s merge-base with develop is newer than the latest commit tested by GitLab'
       when 'draft' then 'GitLab CI is disabled for draft PRs' else backlogged end as description
     from h where not main_conflict and not side_conflict and backlogged is not null
@@ -328,7 +329,9 @@ STATUS_SQL = f""", st as (select head_sha as sha, pr_string as branch, 'pending'
 
 
 def _statuses(spark, sf):
-    return pipelines.backlog_status(*_classified(spark, sf), "develop")
+    return pipelines.backlog_status(
+        *_classified(spark, sf), "develop", base_doc_url=BASE_DOC_URL
+    )
 
 
 @query("backlog_status", PRS_SQL + STATUS_SQL + "select * from st", *PR_BINDINGS)

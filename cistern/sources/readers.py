@@ -187,11 +187,27 @@ def read_install_times(spark: SparkSession, path: str, job_id: str = FILE_STEM)
     return named.where("hash IS NOT NULL")
 
 
-def read_spec_nodes(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
-    """One row per node of each `<job_id>.json` spec document."""
+def read_spec_nodes(
+    spark: SparkSession, path: str, job_id: str = FILE_STEM, repro: str | None = None
+) -> DataFrame:
+    """One row per node of each `<job_id>.json` spec document.
+
+    repro: the jobs' reproduction files; only the documents that they name, below their own folder,
+    are then read as specs. job_id is found in the document's path.
+    """
     docs = spark.read.schema(schemas.SPEC_DOCUMENT).option("multiLine", True).json(path)
+    if repro is not None:
+        named = spark.read.schema("job_spec_json STRING").option("multiLine", True).json(repro)
+        folder = F.regexp_extract(F.input_file_name(), "^(.*/)[^/]*$", 1)
+        named = named.select(F.concat(folder, F.col("job_spec_json")).alias("_file")).distinct()
+        docs = docs.withColumn("_file", F.input_file_name()).join(named, "_file", "left_semi")
+        return _spec_nodes(docs, F.regexp_extract("_file", job_id, 1))
+    return _spec_nodes(docs, from_path(job_id))
+
+
+def _spec_nodes(docs: DataFrame, job_id: Column) -> DataFrame:
     nodes = docs.select(
-        from_path(job_id).try_cast("bigint").alias("job_id"), F.explode("spec.nodes").alias("n")
+        job_id.try_cast("bigint").alias("job_id"), F.explode("spec.nodes").alias("n")
     ).where("n IS NOT NULL")
     empty = F.lit("")
     return nodes.select(
