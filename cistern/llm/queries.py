@@ -114,5 +114,6 @@ CHECKS: dict[str, str] = {
             CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
         FROM d
     """,
+    "op11_substrings": substring.check_sql(),
     "op12_manifest": manifest.check_sql(),
 }

@@ -374,3 +374,17 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def removed_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def check_sql() -> str:
+    """The same rows in SQL: every window as text, with the smallest id that has it."""
+    return f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        win AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(words[i : i + {LENGTH - 1}], ' ') AS k
+            FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - {LENGTH - 2})) AS i FROM w WHERE len(words) >= {LENGTH})),
+        low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT r, i + d AS p FROM (SELECT r, i FROM win JOIN low USING (k) WHERE m < doc_id) CROSS JOIN range({LENGTH}) t(d)),
+        each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)"""

@@ -73,6 +73,15 @@ def test_repeats_of_a_table(spark):
     assert got == sorted(((d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_repeats(rows)), key=str)
 
 
+def test_repeats_in_sql():
+    rows = repeating_rows(random.Random(11))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = [(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute_repeats(rows)]
+    assert sorted(con.execute(CHECKS["op11_substrings"]).fetchall(), key=str) == sorted(want, key=str)
+
+
 def test_repeats_of_no_rows(spark):
     assert substring.removed_rows(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
     nulls = spark.createDataFrame([(None, None)], "doc_id BIGINT, text STRING")
