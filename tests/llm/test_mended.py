@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("cistern.llm")
 
-from cistern.llm import bpe, extract, leaks, near, shards  # noqa: E402
+from cistern.llm import bpe, extract, leaks, near, shards, toxicity  # noqa: E402
 from cistern.llm.queries import WORD_BPE  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,30 @@ def test_copies_go_by_their_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     left = sorted(((r["doc_id"], r["text"][0]) for r in corpus_pipeline.without_copies(spark, docs, SF).collect()), key=str)
     assert left == [(1, "a"), (2, "b"), (4, "c"), (4, "c"), (None, "a")]
+
+
+# --- 6
+
+def plain_score(text, of, bias):
+    """The mean of the numbers of a text's n-grams, one by one."""
+    marked = [1] + [1 if ord(c) < 128 and not (c.isascii() and c.isalnum()) else ord(c) for c in (text or "").lower()] + [1]
+    total, count = 0.0, 0
+    for size in toxicity.SIZES:
+        for at in range(len(marked) - size + 1):
+            gram = marked[at : at + size]
+            if at < len(marked) - 1 and 1 not in gram[1:-1]:
+                h = 0
+                for c in gram:
+                    h = (h * int(toxicity._A) + c) % 2**64
+                own = near.mix(np.array([(h + size) % 2**64], np.uint64))[0]
+                total += float(of[int(own) % toxicity.BUCKETS])
+                count += 1
+    return 1 / (1 + np.exp(-(total / (count + toxicity.PRIOR) + bias)))
+
+
+def test_scores_against_one_by_one():
+    draw = np.random.default_rng(6)
+    of = draw.normal(0, 40, toxicity.BUCKETS).astype(np.float32)
+    texts = ["", None, " ", "a", "ab", "You ARE so-so!", "ünïcode wörds 日本語", "a b c d", "x" * 400, "tabs\tand\nlines", *("".join(draw.choice(list("ab é.!")) for _ in range(60)) for _ in range(30))]
+    got = toxicity.scores(texts, of, -0.3)
+    assert np.allclose(got, [plain_score(t, of, -0.3) for t in texts], rtol=1e-4, atol=1e-6)
