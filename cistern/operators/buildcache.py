@@ -95,16 +95,32 @@ def blob_path(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where("blob_path IS NOT NULL"), rejects
 
 
+def _first_blob(data: Column, media: str) -> Column:
+    return F.get(F.filter(data, lambda b: b["mediaType"] == media), F.lit(0))
+
+
 def manifest_paths(prefix: Column, data: Column) -> tuple[Column, Column]:
     """Metadata and archive paths that a manifest's blobs name; no archive without metadata."""
     def path(media: str) -> Column:
-        blob = F.get(F.filter(data, lambda b: b["mediaType"] == media), F.lit(0))
+        blob = _first_blob(data, media)
         return blob_key(prefix, blob["checksumAlgorithm"], blob["checksum"])
 
     meta = path(fixed.SPEC_MEDIA_TYPE)
     return meta, F.when(meta.isNotNull(), path(fixed.TARBALL_MEDIA_TYPE))
 
 
+def _manifest_sums(data: Column) -> dict[str, Column]:
+    """What `manifest_paths` makes its paths of."""
+    blobs = {
+        "meta": _first_blob(data, fixed.SPEC_MEDIA_TYPE),
+        "archive": _first_blob(data, fixed.TARBALL_MEDIA_TYPE),
+    }
+    out = {}
+    for kind, blob in blobs.items():
+        out |= {f"{kind}_algorithm": blob["checksumAlgorithm"], f"{kind}_sum": blob["checksum"]}
+    return out
+
+
 def manifest_blobs(stacks: DataFrame, manifests: DataFrame, ref: str) -> DataFrame:
     """Stack entries with the metadata and archive paths their manifests name.
 
@@ -124,42 +140,64 @@ def missing_by_hash(objects: DataFrame, ref: str) -> DataFrame:
     one shuffle, by hash, gives what `split_stacks`, `manifest_blobs` and `missing_at_top` give by
     joins; `entries_of`, `summary_of` and `plan_of` read off the rest. A hash gathers at most one
     entry per stack and document, however many objects name it.
+
+    Rows are shuffled as they are read, without the parts of paths that stack and hash give: a
+    listing names a key once, so gathering a hash's rows before the shuffle would only sort them.
     """
     ending = F.col("key").endswith(fixed.V3_SUFFIXES[0])
     mark = "\u0001"
-    parts = F.split(F.regexp_replace("key", fixed.V3_KEY, f"$1{mark}$3{mark}$4"), mark)
-    named = objects.where(ending).select("key", "data", F.explode(F.array(parts)).alias("_p"))
+    parts = F.split(F.regexp_replace("key", fixed.V3_KEY, f"$1{mark}$3{mark}$2"), mark)
+    named = objects.where(ending).select("data", F.explode(F.array(parts)).alias("_p"))
     named = named.where(F.size("_p") == 3).select(
-        F.get("_p", F.lit(0)).alias("prefix"), F.get("_p", F.lit(1)).alias("hash"), "key", "data"
+        F.get("_p", F.lit(0)).alias("prefix"), F.get("_p", F.lit(1)).alias("hash"),
+        F.get("_p", F.lit(2)).alias("_middle"), "data",
     )
     stack = F.regexp_extract("prefix", rf"\Q{ref}\E/(.+)", 1)
     known = named.withColumn("stack", F.when(F.col("prefix") != ref, stack)).where(
         F.col("stack").isNull() | (F.col("stack") != "")
     )
-    meta, archive = manifest_paths(F.col("prefix"), F.col("data"))
-    entry = F.struct("stack", meta.alias("meta"), archive.alias("archive"), "key")
-    per_hash = known.groupBy("hash").agg(
+    below = F.concat(F.lit(f"{ref}/"), F.col("stack"))
+    # The prefix may hold more than the ref and the stack: it is kept only where it does.
+    other = F.when(F.col("prefix") != below, F.col("prefix"))
+    blobs = _manifest_sums(F.col("data"))
+    in_stack = F.col("stack").isNotNull()
+    rows = known.select(
+        "hash", "stack", F.when(in_stack, other).alias("other"),
+        *[F.when(in_stack, v).alias(c) for c, v in blobs.items()],
+        F.when(in_stack, F.col("_middle")).alias("middle"),
+    )
+    entry = F.struct(*[c for c in rows.columns if c != "hash"])
+    per_hash = rows.repartition("hash").groupBy("hash").agg(
         F.bool_or(F.col("stack").isNull()).alias("_top"),
         F.collect_set(F.when(F.col("stack").isNotNull(), entry)).alias("_all"),
-    )
+    ).where(~F.col("_top"))
+
+    def prefix(e: Column) -> Column:
+        return F.coalesce(e["other"], F.concat(F.lit(f"{ref}/"), e["stack"]))
+
+    def key(e: Column) -> Column:
+        return F.concat(prefix(e), e["middle"], F.col("hash"), F.lit(fixed.V3_SUFFIXES[0]))
 
     def last_key(e: Column) -> Column:
         own = F.filter("_all", lambda o: o["stack"] == e["stack"])
-        return F.array_max(F.transform(own, lambda o: o["key"]))
+        return F.array_max(F.transform(own, key))
+
+    def path(e: Column, kind: str) -> Column:
+        return blob_key(prefix(e), e[f"{kind}_algorithm"], e[f"{kind}_sum"])
 
-    whole = F.filter("_all", lambda e: e["meta"].isNotNull() & e["archive"].isNotNull())
+    whole = F.filter(
+        "_all", lambda e: path(e, "meta").isNotNull() & path(e, "archive").isNotNull()
+    )
     entries = F.array_distinct(
         F.transform(
             whole,
             lambda e: F.struct(
-                e["stack"].alias("stack"), e["meta"].alias("meta"), e["archive"].alias("archive"),
-                last_key(e).alias("manifest"),
+                e["stack"].alias("stack"), path(e, "meta").alias("meta"),
+                path(e, "archive").alias("archive"), last_key(e).alias("manifest"),
             ),
         )
     )
-    return per_hash.where(~F.col("_top")).select("hash", entries.alias("entries")).where(
-        F.size("entries") > 0
-    )
+    return per_hash.select("hash", entries.alias("entries")).where(F.size("entries") > 0)
 
 
 def entries_of(missing: DataFrame) -> DataFrame:
