@@ -287,7 +287,7 @@ def _blob(size: Column, media: str, compression: str, algorithm: Column, checksu
 
 
 def migration_plan(
-    catalog: DataFrame, listing: DataFrame, specs: DataFrame, target_prefix: str,
+    catalog: DataFrame, listing: DataFrame, specs: DataFrame, target_prefix: str | None,
     force: bool = False,
 ) -> DataFrame:
     """What moving each old entry of a mirror to the new layout takes, or why it is skipped.
@@ -295,9 +295,12 @@ def migration_plan(
     catalog: catalog_v2 rows of the mirror
     specs: hash, hash_algorithm, checksum, name, version, spec_hash, meta_size, meta_checksum;
     the last two describe the compressed metadata that the caller has prepared
+    target_prefix: None for the entries of several mirrors, each of which moves below its own prefix
+    and is migrated where the listing has it there
     """
-    migrated = catalog_v3(listing).select("hash").distinct().withColumn("_done", F.lit(True))
-    df = catalog.join(migrated, "hash", "left").join(
+    own = ["hash"] if target_prefix is not None else [*CATALOG]
+    migrated = _parsed(listing, fixed.V3_KEY, fixed.V3_SUFFIXES).select(*own).distinct()
+    df = catalog.join(migrated.withColumn("_done", F.lit(True)), own, "left").join(
         specs.withColumn("_spec", F.lit(True)), "hash", "left"
     )
     has_sum = (F.coalesce("checksum", F.lit("")) != "") & (
@@ -313,7 +316,7 @@ def migration_plan(
         .when(~has_sum, "no checksum")
         .when(~is_true(F.col("spec_hash") == F.col("hash")), "hash mismatch")
     )
-    target = F.lit(target_prefix)
+    target = F.col("prefix") if target_prefix is None else F.lit(target_prefix)
     sha = F.lit("sha256")
     manifest = F.struct(
         F.lit(3).alias("version"),

@@ -204,15 +204,12 @@ MIGRATE_SQL = V2_SQL + f""", done as (select distinct 'develop' || coalesce('/'
 def migration_plan(spark, sf):
     catalog = buildcache.catalog_v2(bind(spark, sf, "object_keys"))
     listing = bind(spark, sf, "manifest_keys")
-    specs, plan = _spec_documents(spark, sf), None
+    specs = _spec_documents(spark, sf)
     # Every mirror moves below its own prefix, with the listing of that prefix.
-    for stack in (None, "stack1", "stack2", "stack3"):
-        prefix = f"develop/{stack}" if stack else "develop"
-        own = buildcache.migration_plan(
-            catalog.where(F.col("prefix") == prefix),
-            listing.where(F.col("stack").eqNullSafe(F.lit(stack).cast("string"))), specs, prefix,
-        ).withColumn("prefix", F.lit(prefix))
-        plan = own if plan is None else plan.unionByName(own)
+    mirrors = ["develop", *[f"develop/{s}" for s in ("stack1", "stack2", "stack3")]]
+    plan = buildcache.migration_plan(
+        catalog.where(F.col("prefix").isin(*mirrors)), listing, specs, None
+    )
     return plan.select(
         "prefix", "hash", "skip_reason", "archive_path", "meta_path", "manifest_path",
         F.get_json_object("manifest", "$.data[0].checksum").alias("manifest_checksum"),

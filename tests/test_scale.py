@@ -46,3 +46,21 @@ def test_missing_by_hash_shuffles_rows_as_read(spark):
     text = plan(missing)
     assert text.count("Exchange") == 1
     assert "Aggregate" not in text.split("Exchange")[1]
+
+
+def test_migration_plan_reads_several_mirrors_at_once(spark):
+    old = "/build_cache/linux-h1"
+    keys = [f"{p}{old}{s}" for p in ("develop", "develop/s1") for s in fixed.V2_SUFFIXES]
+    catalog = buildcache.catalog_v2(spark.createDataFrame([(k, 5) for k in keys], "key STRING, size BIGINT"))
+    done = [("develop/s1/v3/manifests/spec/p/p-1-h1.spec.manifest.json", 1)]
+    listing = spark.createDataFrame(done, "key STRING, size BIGINT")
+    specs = spark.createDataFrame(
+        [("h1", "sha256", "aa1", "p", "1", "h1", 3, "bb1")],
+        "hash STRING, hash_algorithm STRING, checksum STRING, name STRING, version STRING, "
+        "spec_hash STRING, meta_size BIGINT, meta_checksum STRING",
+    )
+    got = buildcache.migration_plan(catalog, listing, specs, None)
+    assert {(r.prefix, r.skip_reason, r.archive_path) for r in got.collect()} == {
+        ("develop", None, "develop/blobs/sha256/aa/aa1"),
+        ("develop/s1", "previously migrated", None),
+    }
