@@ -1,5 +1,7 @@
 """Sources and sinks: the given tables written in a source's format and read back."""
 
+import functools
+import os
 from contextlib import contextmanager
 from datetime import datetime
 
@@ -10,6 +12,7 @@ from ..functions import fixed
 from ..functions.columns import as_column
 from ..operators import dims, facts, logs, warehouse
 from ..sources import readers, writers
+from ..sources.documents import write_files
 from ..sources.scratch import scratch_path, stage
 from .bindings import BINDINGS as BOUND
 from .bindings import bind, table
@@ -36,11 +39,23 @@ AS_OF_SQL = "timestamp '2024-01-25 00:00:00'"
 def write_documents(rows, by: str, path: str) -> str:
     """One text file per value of `by`, its lines in the order of `ord`.
 
-    rows: by, ord, value. A document is one file by its format, so its lines meet in one task.
+    rows: by, ord, value. A document is one file by its format, so its lines meet in one task. Tasks
+    are as many as the session's shuffles have, since each sorts its rows. In a folder that is mounted
+    everywhere they write the files themselves: Spark's writer makes a folder and two files of each
+    document and moves them twice, which is most of the time where documents are small.
     """
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    spread = rows.repartition(tasks, by).sortWithinPartitions(by, "ord")
-    spread.select(by, "value").write.partitionBy(by).text(path)
+    spark = rows.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    spread = rows.repartition(tasks, by).sortWithinPartitions(by, "ord").select(by, "value")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        spread.write.partitionBy(by).text(path)
+        return path
+    folder = where.toUri().getPath()
+    os.makedirs(folder)
+    spread.foreachPartition(functools.partial(write_files, folder, by))
     return path
 
 
@@ -152,7 +167,7 @@ def read_job_traces(spark, sf):
     )
     path = write_documents(rows, "job", scratch_path(spark, "traces"))
     with few_listing_tasks(spark):
-        traces = readers.read_job_traces(spark, f"{path}/*/*", r"job=([0-9]+)/")
+        traces = readers.read_job_traces(spark, path, r"job=([0-9]+)/")
     return traces.select("job_id", F.md5("trace").alias("digest"))
 
 
@@ -252,7 +267,7 @@ def read_install_times(spark, sf):
     lines = rows.select("job", F.concat(F.lit(","), entry).alias("value"))
     path = write_documents(framed(lines, "job", "[{}", "]"), "job", scratch_path(spark, "times"))
     with few_listing_tasks(spark):
-        out = readers.read_install_times(spark, f"{path}/*/*", r"job=([0-9]+)/")
+        out = readers.read_install_times(spark, path, r"job=([0-9]+)/")
     return out.select(
         "job_id", "name", "cache", F.round("total", 2).alias("total"),
         F.round(F.get("phases", F.lit(0))["seconds"], 2).alias("seconds"),

@@ -53,8 +53,11 @@ def read_ci_tables(
 
 
 def read_job_traces(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
-    """One row per `<job_id>.log`, the whole text in it; job_id is the pattern of its path."""
-    text = spark.read.text(path, wholetext=True)
+    """One row per `<job_id>.log`, the whole text in it; job_id is the pattern of its path.
+
+    path: a folder, whose folders are listed by tasks, or a pattern, which the driver expands.
+    """
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return text.select(
         from_path(job_id).try_cast("bigint").alias("job_id"), F.col("value").alias("trace")
     )
@@ -181,8 +184,13 @@ def job_variables(df: DataFrame) -> DataFrame:
 
 
 def read_install_times(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
-    """Timings of each `<job_id>.json` array; entries without a hash name no spec."""
-    rows = spark.read.schema(schemas.INSTALL_TIMES).option("multiLine", True).json(path)
+    """Timings of each `<job_id>.json` array; entries without a hash name no spec.
+
+    path: a folder, whose folders are listed by tasks, or a pattern, which the driver expands.
+    """
+    rows = spark.read.schema(schemas.INSTALL_TIMES).option("multiLine", True).json(
+        path, recursiveFileLookup=True
+    )
     named = rows.select(from_path(job_id).try_cast("bigint").alias("job_id"), "*")
     return named.where("hash IS NOT NULL")
 

@@ -1,5 +1,6 @@
 """Plans and layouts that keep memory, shuffles and passes in step with the input."""
 
+import uuid
 from contextlib import redirect_stdout
 from io import StringIO
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cistern.functions import fixed
 from cistern.operators import buildcache
+from cistern.plans import q_sources
+from cistern.sources import readers
 
 
 def plan(df) -> str:
@@ -64,3 +67,26 @@ def test_migration_plan_reads_several_mirrors_at_once(spark):
         ("develop", None, "develop/blobs/sha256/aa/aa1"),
         ("develop/s1", "previously migrated", None),
     }
+
+
+def test_documents_are_written_by_as_many_tasks_as_shuffles_have(spark, tmp_path):
+    rows = spark.range(600).selectExpr(
+        "case when id < 597 then cast(id % 199 as string) when id = 597 then 'a/b' when id = 598 then '' "
+        "end as doc", "-id as ord", "if(id = 3, null, cast(id as string)) as value",
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tasks = spark.sparkContext.defaultParallelism + 5
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        put = q_sources.write_files
+        q_sources.write_files = lambda folder, by, part: open(
+            f"{folder}/.task-{uuid.uuid4().hex}", "w").close() or put(folder, by, part)
+        path = q_sources.write_documents(rows, "doc", f"{tmp_path}/docs")
+    finally:
+        q_sources.write_files = put
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    seen = [p for p in (tmp_path / "docs").iterdir() if p.name.startswith(".task-")]
+    assert len(seen) == tasks
+    text = {r.job_id: r.trace for r in readers.read_job_traces(spark, path, r"doc=([0-9]+)/").collect()}
+    assert len(text) == 200 and text[3] == "401\n202\n\n" and text[1] == "399\n200\n1\n"
+    assert (tmp_path / "docs" / "doc=a%2Fb" / "part-0.txt").read_text() == "597\n"
