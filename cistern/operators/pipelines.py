@@ -264,65 +264,78 @@ def classify_prs(
         F.regexp_extract("title", fixed.MERGE_TITLE, 1).alias("_a"),
         F.regexp_extract("title", fixed.MERGE_TITLE, 2).alias("_b"),
     )
-    df = df.join(pushed, "pr_string", "left")
+    # Rows carry on what the rules need of a column, not the column: every join sorts them.
+    already = is_true(F.col("_a") == F.col("head_sha")) | is_true(F.col("_b") == F.col("head_sha"))
+    differ = F.col("head_sha") != F.col("repo_head_sha")
+    short = [F.substring(c, 1, 7) for c in ("repo_head_sha", "head_sha")]
+    mismatch = F.concat(
+        F.lit("GitHub HEAD shas out of sync (repo="), short[0], F.lit(", API="), short[1], F.lit(")")
+    )
+    df = df.join(pushed, "pr_string", "left").select(
+        "number", "pr_string", "draft", "updated_at", "base_ref", "base_sha", "head_sha",
+        "merge_base_sha", "merge_conflict", already.alias("_already"),
+        F.when(is_true(differ), mismatch).alias("_mismatch"), is_true(differ).alias("_differ"),
+        F.col("merge_commit_sha").isNull().alias("_unmerged"),
+    )
     reason = F.lit(None).cast("string")
     if prereq_checks:
-        # Only the first run listed of each check counts.
+        # Only the first run listed of each check counts. Numbers and booleans throughout: their
+        # aggregates need no sort.
+        rank = lookup({c: i for i, c in enumerate(prereq_checks)}, F.col("name"))
+        bad = is_true(F.col("conclusion") != "success") | F.col("conclusion").isNull()
         wanted = (
             checks.where(F.col("name").isin(*prereq_checks))
-            .groupBy("head_sha", "name")
-            .agg(F.min_by("conclusion", "pos").alias("conclusion"), F.min("pos").alias("pos"))
+            .groupBy("head_sha", rank.alias("_rank"))
+            .agg(F.min_by(bad, "pos").alias("_bad"), F.min("pos").alias("pos"))
         )
-        rank = lookup({c: i for i, c in enumerate(prereq_checks)}, F.col("name"))
-        bad = is_true(F.col("conclusion") != "success") | F.col("conclusion").isNull()
+        late = F.coalesce("_bad", F.lit(True))
         seen = wanted.groupBy("head_sha").agg(
-            F.min_by("name", F.when(bad, F.col("pos"))).alias("_failing"),
-            F.collect_set(rank).alias("_seen"),
+            F.min_by("_rank", F.when(late, F.col("pos"))).alias("_failing"),
+            *[F.bool_or(F.col("_rank") == i).alias(f"_seen{i}") for i in range(len(prereq_checks))],
         )
         df = df.join(seen, "head_sha", "left")
         # The first wanted check that did not report at all.
         absent = None
         for i, c in enumerate(prereq_checks):
-            gone = ~is_true(F.array_contains("_seen", i))
+            gone = ~is_true(F.col(f"_seen{i}"))
             absent = F.when(gone, c) if absent is None else absent.when(gone, c)
-        late = F.coalesce(F.col("_failing"), absent)
+        failing = lookup(dict(enumerate(prereq_checks)), F.col("_failing"))
+        late = F.coalesce(failing, absent)
         reason = F.when(
             late.isNotNull(), F.concat(F.lit("waiting for "), late, F.lit(" check to succeed"))
         )
-    urgent = labels.where("label = 'pipelines:urgent'").select("number").distinct()
-    df = df.join(urgent.withColumn("_urgent", F.lit(True)), "number", "left")
+    # One aggregate and one join for both labels; neither `_urgent` nor `_tagged` is ever false.
+    asked = {"_urgent": "pipelines:urgent"}
+    if required_label is not None:
+        asked["_tagged"] = required_label
+    has = {c: F.when(F.col("label") == v, True) for c, v in asked.items()}
+    marked = labels.where(F.col("label").isin(*asked.values())).groupBy("number").agg(
+        *[F.bool_or(v).alias(c) for c, v in has.items()]
+    )
+    df = df.join(marked, "number", "left")
     if required_label is not None:
-        tagged = labels.where(F.col("label") == required_label).select("number").distinct()
-        df = df.join(tagged.withColumn("_tagged", F.lit(True)), "number", "left")
         reason = F.coalesce(reason, F.when(F.col("_tagged").isNull(), F.lit(fixed.LABEL_REASON)))
     on_main = F.lit(False)
     if main_branch is not None:
         on_main = (F.col("base_ref") == main_branch) & F.col("_urgent").isNull()
     known = reach.select(F.col("commit").alias("merge_base_sha")).distinct()
     df = df.join(known.withColumn("_reached", F.lit(True)), "merge_base_sha", "left")
-    differ = F.col("head_sha") != F.col("repo_head_sha")
-    short = [F.substring(c, 1, 7) for c in ("repo_head_sha", "head_sha")]
-    mismatch = F.concat(
-        F.lit("GitHub HEAD shas out of sync (repo="), short[0], F.lit(", API="), short[1],
-        F.lit(")"),
-    )
     early = (
         F.when(F.col("draft") & F.lit(not sync_drafts), fixed.DRAFT_REASON)
         .when(F.col("updated_at") < _lit_ts(now - timedelta(hours=48)), fixed.STALE_REASON)
     )
-    already = is_true(F.col("_a") == F.col("head_sha")) | is_true(F.col("_b") == F.col("head_sha"))
-    df = df.select("*", early.alias("_early"), already.alias("_already"), reason.alias("_gate"))
+    df = df.select("*", early.alias("_early"), reason.alias("_gate"))
     open_case = F.col("_early").isNull() & ~F.col("_already") & F.col("_gate").isNull()
     no_base = F.col("merge_base_sha").isNull()
     on_main_case = open_case & on_main
-    in_sync = ~is_true(differ)
+    in_sync = ~F.col("_differ")
     main_conflict = on_main_case & (
         no_base | (in_sync & is_true(F.col("_reached")) & is_true(F.col("merge_conflict")))
     )
-    side_conflict = open_case & ~on_main & F.col("merge_commit_sha").isNull()
+    side_conflict = open_case & ~on_main & F.col("_unmerged")
     last = F.when(
         on_main_case,
-        F.when(is_true(differ), mismatch).when(F.col("_reached").isNull(), fixed.BASE_REASON),
+        F.when(F.col("_differ"), F.col("_mismatch")).when(F.col("_reached").isNull(), fixed.BASE_REASON),
     )
     decided = df.select(
         "*",

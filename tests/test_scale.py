@@ -2,12 +2,13 @@
 
 import uuid
 from contextlib import redirect_stdout
+from datetime import datetime
 from io import StringIO
 
 from pyspark.sql import functions as F
 
 from cistern.functions import fixed
-from cistern.operators import buildcache
+from cistern.operators import buildcache, pipelines
 from cistern.plans import q_sources
 from cistern.sources import readers
 
@@ -90,3 +91,30 @@ def test_documents_are_written_by_as_many_tasks_as_shuffles_have(spark, tmp_path
     text = {r.job_id: r.trace for r in readers.read_job_traces(spark, path, r"doc=([0-9]+)/").collect()}
     assert len(text) == 200 and text[3] == "401\n202\n\n" and text[1] == "399\n200\n1\n"
     assert (tmp_path / "docs" / "doc=a%2Fb" / "part-0.txt").read_text() == "597\n"
+
+
+def test_classify_prs_gathers_checks_without_sorts(spark):
+    day = datetime(2024, 1, 2)
+    cols = ("number BIGINT, draft BOOLEAN, updated_at TIMESTAMP_NTZ, head_ref STRING, head_sha STRING, "
+            "base_ref STRING, base_sha STRING, merge_base_sha STRING, repo_head_sha STRING, "
+            "merge_conflict BOOLEAN, merge_commit_sha STRING")
+    prs = spark.createDataFrame(
+        [(n, False, day, "f", f"head{n}", "main", "b", "m", "other" if n == 4 else f"head{n}", False, "c")
+         for n in range(1, 6)], cols)
+    checks = spark.createDataFrame(
+        [(f"head{n}", c, "failure" if (n, c) == (1, "style") else "success", 1)
+         for n in range(1, 6) for c in ("style", "build") if (n, c) != (2, "build")],
+        "head_sha STRING, name STRING, conclusion STRING, pos BIGINT")
+    labels = spark.createDataFrame([(n, "ci") for n in (1, 2, 4, 5)], "number BIGINT, label STRING")
+    heads = spark.createDataFrame([("pr9_f", "t")], "pr_string STRING, title STRING")
+    reach = spark.createDataFrame([("m",)], "commit STRING")
+    out, bad = pipelines.classify_prs(
+        prs, checks, labels, heads, reach, day, ["style", "build"], "ci", "main")
+    assert {r.number: r.backlogged for r in out.collect()} == {
+        1: "waiting for style check to succeed", 2: "waiting for build check to succeed",
+        3: fixed.LABEL_REASON, 4: "GitHub HEAD shas out of sync (repo=other, API=head4)", 5: None,
+    }
+    assert bad.count() == 0
+    # The checks are gathered without sorts.
+    text = plan(out)
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
