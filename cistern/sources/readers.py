@@ -11,6 +11,8 @@ from .. import schemas
 from ..functions import fixed
 
 
+#: Rows that a task which parses files holds before it hands them on.
+PARSED_ROWS = 5_000
 FILE_STEM = r"([^/]+)\.[^./]+$"
 
 
@@ -113,7 +115,9 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 def read_pipeline_vars(spark: SparkSession, path: str) -> DataFrame:
     """Jobs of each generated pipeline file with their own and the pipeline's variables.
 
-    YAML is parsed where the file is read, one file at a time.
+    YAML is parsed where the file is read, one file and one entry of it at a time: once for the
+    pipeline's variables, which may come last, and once for the jobs. A file that isn't a plain
+    mapping, or can't be parsed, is loaded as a whole.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -121,29 +125,79 @@ def read_pipeline_vars(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
         import yaml
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        names = ["path", "job_name", "variables", "pipeline_variables", "problem"]
+        base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+        class Entries(yaml.composer.Composer, base):
+            def __init__(self, content):
+                base.__init__(self, content)
+                self.anchors = {}
 
         def texts(values):
             return {str(k): None if v is None else str(v) for k, v in (values or {}).items()}
 
+        def entries(content):
+            """Keys and values of the document; ValueError where it has to be loaded as a whole."""
+            loader = Entries(content)
+            try:
+                loader.get_event()
+                loader.get_event()
+                if not loader.check_event(yaml.MappingStartEvent):
+                    raise ValueError("no mapping")
+                if loader.get_event().anchor is not None:
+                    raise ValueError("anchor")
+                while not loader.check_event(yaml.MappingEndEvent):
+                    key = loader.compose_node(None, None)
+                    if not isinstance(key, yaml.ScalarNode) or key.tag.endswith(":merge"):
+                        raise ValueError("no plain key")
+                    value = loader.compose_node(None, None)
+                    yield loader.construct_document(key), loader.construct_document(value)
+                loader.get_event()
+                loader.get_event()
+                if not loader.check_event(yaml.StreamEndEvent):
+                    raise ValueError("more documents")
+            finally:
+                loader.dispose()
+
+        def jobs_of(content):
+            shared, seen = None, set()
+            try:
+                for k, v in entries(content):
+                    if k in seen:
+                        raise ValueError("repeated key")
+                    seen.add(k)
+                    if k == "variables":
+                        shared = texts(v)
+                    elif isinstance(v, dict):
+                        texts(v.get("variables"))
+            except (yaml.YAMLError, AttributeError, ValueError, TypeError):
+                doc = yaml.load(content, Loader=base) or {}
+                shared = texts(doc.get("variables"))
+                own = list(doc.items())
+                for k, v in own:
+                    if isinstance(v, dict) and k != "variables":
+                        texts(v.get("variables"))
+            else:
+                del seen
+                own = entries(content)
+            shared = shared or {}
+            for k, v in own:
+                if isinstance(v, dict) and k != "variables":
+                    yield k, texts(v.get("variables")), shared
+
         for batch in batches:
             rows = []
             for path_, content in zip(batch["path"], batch["content"]):
+                done = len(rows)
                 try:
-                    doc = yaml.load(content, Loader=loader) or {}
-                    shared = texts(doc.get("variables"))
-                    jobs = {
-                        k: texts(v.get("variables"))
-                        for k, v in doc.items()
-                        if isinstance(v, dict) and k != "variables"
-                    }
+                    for k, v, shared in jobs_of(content):
+                        rows.append((path_, k, v, shared, None))
+                        if len(rows) == PARSED_ROWS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, done = [], 0
                 except (yaml.YAMLError, AttributeError) as error:
-                    rows.append((path_, None, None, None, str(error)))
-                    continue
-                rows.extend((path_, k, v, shared, None) for k, v in jobs.items())
-            yield pd.DataFrame(
-                rows, columns=["path", "job_name", "variables", "pipeline_variables", "problem"]
-            )
+                    rows[done:] = [(path_, None, None, None, str(error))]
+            yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(parse, schemas.PIPELINE_VARS)
 

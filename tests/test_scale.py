@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 from datetime import datetime
 from io import StringIO
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cistern.functions import fixed
@@ -118,3 +119,24 @@ def test_classify_prs_gathers_checks_without_sorts(spark):
     # The checks are gathered without sorts.
     text = plan(out)
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_pipeline_vars_are_given_on_while_a_file_is_read():
+    class Files:  # what the reader asks of a session, to get at its function over batches
+        read = property(lambda self: self)
+        format = load = select = lambda self, *_: self
+        mapInPandas = lambda self, parse, schema: parse
+
+    parse = readers.read_pipeline_vars(Files(), "")
+    jobs = "".join(f'"j{i}":\n  variables: {{A: "{i}"}}\n' for i in range(12_000))
+    texts = [jobs + "variables: {S: last}\n", "j: {variables: {A: 1}}\nk: [1\n", "j: {}\nj: {variables: {A: 2}}\n"]
+    batch = pd.DataFrame({"path": list("abc"), "content": [t.encode() for t in texts]})
+    parts = list(parse([batch]))
+    assert max(map(len, parts)) <= readers.PARSED_ROWS
+    rows = pd.concat(parts)
+    a = rows[rows.path == "a"]
+    assert len(a) == 12_000 and all(v == {"S": "last"} for v in a.pipeline_variables)
+    assert a.variables.iloc[-1] == {"A": "11999"}
+    b = rows[rows.path == "b"]
+    assert list(b.job_name) == [None] and "did not find expected" in b.problem.iloc[0]
+    assert list(rows[rows.path == "c"].variables) == [{"A": "2"}]
