@@ -104,31 +104,70 @@ def _grams(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (mix(h + np.uint64(size)) & np.uint64(BUCKETS - 1)).astype(np.int32), ~inner[:m]
 
 
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, their shares of all n-grams) of each text."""
-    found: list[list[np.ndarray]] = [[] for _ in texts]
+def bags(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their shares of all n-grams) of each text, in order; the n-grams of one text are held at a time."""
+    given, parts = 0, []
     for rows, points, starts in _blocks(texts):
-        ends = np.append(starts[1:], len(points))
-        for bucket, valid in _grams(points):
-            for row, a, b in zip(rows, starts.tolist(), ends.tolist(), strict=True):
-                found[row].append(bucket[a:b][valid[a:b]])
-    out = []
-    for parts in found:
-        own, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
-        out.append((own, (count / (count.sum() + PRIOR)).astype(np.float32)))
-    return out
+        ends = np.append(starts[1:], len(points)).tolist()
+        grams = list(_grams(points))
+        for row, a, b in zip(rows, starts.tolist(), ends, strict=True):
+            # Pieces come in the order of their rows; a row without pieces has an empty bag.
+            while given < row:
+                yield _bag(parts)
+                given, parts = given + 1, []
+            parts += [bucket[a:b][valid[a:b]] for bucket, valid in grams]
+    while given < len(texts):
+        yield _bag(parts)
+        given, parts = given + 1, []
+
+
+def _bag(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
+    return own, (count / (count.sum() + PRIOR)).astype(np.float32)
+
+
+class Bags:
+    """Bags of a sample in long arrays, a few for many texts, without the n-grams that few texts hold."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        held, self._packs, self._at = np.zeros(BUCKETS, np.int64), [], []
+        own, size = [], 0
+        for bag in bags(texts):
+            held[bag[0]] += 1
+            own.append(bag)
+            size += len(bag[0])
+            if size >= PIECE:
+                self._pack(own)
+                own, size = [], 0
+        self._pack(own)
+        self.common = held >= MIN_TEXTS
+        for i, (buckets, shares, ends) in enumerate(self._packs):
+            keep = self.common[buckets]
+            self._packs[i] = buckets[keep], shares[keep], np.append(0, np.cumsum(keep))[ends].tolist()
+
+    def _pack(self, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if own:
+            self._at += [(len(self._packs), i) for i in range(len(own))]
+            buckets, shares = (np.concatenate([bag[k] for bag in own]) for k in (0, 1))
+            self._packs.append((buckets, shares, np.cumsum([0, *(len(bag[0]) for bag in own)])))
+
+    def __getitem__(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        pack, i = self._at[row]
+        buckets, shares, ends = self._packs[pack]
+        return buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]]
 
 
 def train(texts: list[str], labels: list[int], weights: list[float], seed: int = 7) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias): the logit of a text is their mean over its n-grams, and the bias."""
+    return train_on(Bags(texts), labels, weights, seed)
+
+
+def train_on(data: Bags, labels: list[int], weights: list[float], seed: int = 7) -> tuple[np.ndarray, float]:
     y, w = np.array(labels, np.int64), np.array(weights, np.float64)
     if len(set(labels)) < 2:
         share = (float((y * w).sum()) + 0.5) / (float(w.sum()) + 1)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
     w = w / w.mean()
-    data = bags(texts)
-    common = np.bincount(np.concatenate([b for b, _ in data]), minlength=BUCKETS) >= MIN_TEXTS
-    data = [(b[keep], s[keep]) for b, s in data if (keep := common[b]) is not None]
     draw = np.random.default_rng(seed)
     # A mean over thousands of n-grams is short: vectors are scaled so that a few of them can decide.
     vectors = draw.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -163,7 +202,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], seed: int =
             seen_b += grad_b**2
             bias -= rate * 0.1 * grad_b / np.sqrt(seen_b)
     one = (vectors @ (soft[:, 1] - soft[:, 0])) * scale
-    one[~common] = 0
+    one[~data.common] = 0
     return one.astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -198,7 +237,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
-    return train(*sample(docs, labels, label, doc_id, text))
+    texts, marks, weights = sample(docs, labels, label, doc_id, text)
+    data = Bags(texts)
+    del texts  # the driver holds the bags or the texts, not both while it trains
+    return train_on(data, marks, weights)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", result: str = "score") -> DataFrame:

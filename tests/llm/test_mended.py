@@ -1,6 +1,7 @@
 """Cases in which text, items or rows were once lost, and bounds that once did not hold."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -226,3 +227,21 @@ def test_scores_against_one_by_one():
     texts = ["", None, " ", "a", "ab", "You ARE so-so!", "ünïcode wörds 日本語", "a b c d", "x" * 400, "tabs\tand\nlines", *("".join(draw.choice(list("ab é.!")) for _ in range(60)) for _ in range(30))]
     got = toxicity.scores(texts, of, -0.3)
     assert np.allclose(got, [plain_score(t, of, -0.3) for t in texts], rtol=1e-4, atol=1e-6)
+
+
+def test_bags_hold_the_ngrams_of_one_text_at_a_time():
+    draw = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) if c < 26 else " " for c in draw.integers(0, 30, 20_000).tolist()) for _ in range(200)]
+    texts[7:10] = ["", None, " "]
+    tracemalloc.start()
+    sizes = [len(own) for own, _ in toxicity.bags(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes[7:10] == [0, 0, 0] and min(sizes[:7] + sizes[10:]) > 1_000
+    assert peak < 25e6  # all n-grams are 200 * 20,000 * 3 numbers of 4 bytes: 48 MB
+    # The sample's bags, without rare n-grams, are those of the texts one by one.
+    held = toxicity.Bags(texts)
+    for row in (0, 8, 150, 199):
+        own, share = next(iter(toxicity.bags([texts[row]])))
+        keep = held.common[own]
+        assert np.array_equal(held[row][0], own[keep]) and np.array_equal(held[row][1], share[keep])
