@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cistern.functions import fixed
-from cistern.operators import buildcache, pipelines
+from cistern.operators import buildcache, metrics, pipelines
 from cistern.plans import q_sources
 from cistern.sources import readers
 
@@ -140,3 +140,23 @@ def test_pipeline_vars_are_given_on_while_a_file_is_read():
     b = rows[rows.path == "b"]
     assert list(b.job_name) == [None] and "did not find expected" in b.problem.iloc[0]
     assert list(rows[rows.path == "c"].variables) == [{"A": "2"}]
+
+
+def test_spot_price_sorts_sums_and_joins_in_stages_of_their_own(spark):
+    kind = {"capacity_type": "spot", "instance_type": "m1", "zone": "z"}
+    samples = spark.createDataFrame(
+        [(fixed.PRICE_METRIC, kind, float(ts), v) for ts, v in ((0, 1.0), (10, 2.0), (10, 4.0), (35, 8.0), (47, 16.0))]
+        + [(fixed.PRICE_METRIC, {**kind, "zone": "y"}, 20.0, 100.0)],
+        "metric STRING, labels MAP<STRING, STRING>, ts DOUBLE, value DOUBLE")
+    asked = spark.createDataFrame(
+        [(w, "spot", "m1", z, float(a), float(b)) for w, z, a, b in (
+            (1, "z", 0, 10), (2, "z", 10, 47), (2, "z", 10, 47), (3, "z", 11, 34), (4, "y", 0, 50), (5, "x", 0, 50),
+            (None, "z", 0, 50), (6, None, 0, 50))],
+        "window_id BIGINT, capacity_type STRING, instance_type STRING, zone STRING, start_ts DOUBLE, end_ts DOUBLE")
+    out = metrics.spot_price(samples, asked, width=20.0)
+    got = sorted(((r.window_id, r.zone, r.spot_price) for r in out.collect()), key=str)
+    assert got == sorted([(1, "z", 7 / 3), (2, "z", 7.5), (2, "z", 7.5), (3, "z", None), (4, "y", 100.0), (5, "x", None),
+                          (None, "z", None), (6, None, None)], key=str)
+    # What is left to do at the end is the join: no sums or running sums share its tasks.
+    text = plan(out)
+    assert "Window" not in text and "HashAggregate" not in text and "BroadcastHashJoin" not in text
