@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cistern.functions import fixed
 from cistern.operators import buildcache, metrics, pipelines
-from cistern.plans import q_sources
+from cistern.plans import q_details, q_sources
 from cistern.sources import readers
 
 
@@ -160,3 +160,15 @@ def test_spot_price_sorts_sums_and_joins_in_stages_of_their_own(spark):
     # What is left to do at the end is the join: no sums or running sums share its tasks.
     text = plan(out)
     assert "Window" not in text and "HashAggregate" not in text and "BroadcastHashJoin" not in text
+
+
+def test_windows_ask_for_the_kinds_they_need_once(spark):
+    sf = "/root/testdata/sf0.001"
+    samples = q_details.metric_samples(spark, sf)
+    one = plan(metrics.select_series(samples, "kube_pod_info"))
+    assert "Generate" not in one and "Union" not in one
+    assert {r["metric"] for r in samples.select("metric").distinct().collect()} >= {"kube_pod_info", fixed.PRICE_METRIC}
+    windows = q_details.job_windows(spark, sf).withColumnRenamed("job_id", "window_id")
+    # Windows and rejects are read from what was found once.
+    for out in metrics.pod_node(samples, windows):
+        assert "Window" not in plan(out) and "Aggregate" not in plan(out)
