@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import ColumnOrName, as_column, one_per
+from ..sources.scratch import stage
 from . import dims
 
 TIMER_KEY = ["job_id", "date_key", "time_key", "cache", "package", "spec_hash"]
@@ -206,12 +207,14 @@ FACT_MEASURES = (
 
 
 def build_fact_job(
-    jobs: DataFrame, existing: DataFrame | None = None, *, job_url_prefix: str
+    jobs: DataFrame, existing: DataFrame | None = None, *, job_url_prefix: str, kept: bool = False
 ) -> DataFrame:
     """One row per job; jobs that already have a row keep it. job_url_prefix: where job pages live.
 
     Foreign keys are computed from the job's own columns, so no dimension is joined here. Measures
-    a source does not provide are NULL, section timers 0.
+    a source does not provide are NULL, section timers 0. kept: the jobs are staged or persisted, so
+    that it costs little to read them again: ids that come more than once are looked up first, and only
+    their rows are shuffled and sorted (`repeated_facts`).
     """
     have = set(jobs.columns)
     empty = F.lit("")
@@ -237,12 +240,32 @@ def build_fact_job(
         *measures,
         *[F.col(t) if t in have else F.lit(0).cast("bigint").alias(t) for t in timers],
     )
-    return new_facts(rows, ["job_id"], existing)
+    repeated = repeated_facts(jobs, ["job_id"]) if kept else None
+    return new_facts(rows, ["job_id"], existing, repeated)
 
 
-def new_facts(rows: DataFrame, key: list[str], existing: DataFrame | None) -> DataFrame:
-    """Duplicates of a key give the smallest of their rows, and keys already stored give none."""
-    fresh = one_per(rows, key)
+def repeated_facts(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of more than one row, staged: their size is known, so a few are sent to every task."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return stage(counted.where("_n > 1").select(*key), "repeated")
+
+
+def new_facts(
+    rows: DataFrame, key: list[str], existing: DataFrame | None, repeated: DataFrame | None = None
+) -> DataFrame:
+    """Duplicates of a key give the smallest of their rows, and keys already stored give none.
+
+    repeated: the keys that come more than once, where they are known. All other rows stay where they are.
+    """
+    if repeated is None:
+        fresh = one_per(rows, key)
+    else:
+        theirs = repeated.select(*[F.col(c).alias(f"_{c}") for c in key])
+        same = F.lit(True)
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        many = one_per(rows.join(theirs, same, "left_semi"), key)
+        fresh = rows.join(theirs, same, "left_anti").unionByName(many)
     if existing is None:
         return fresh
     return fresh.join(existing.select(*key), key, "left_anti").select(*rows.columns)

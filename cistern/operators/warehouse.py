@@ -183,9 +183,9 @@ def build_warehouse(
     jobs: DataFrame, runners: DataFrame, existing_fact: DataFrame | None = None, *,
     job_url_prefix: str,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Dimensions and the job fact of enriched jobs."""
+    """Dimensions and the job fact of enriched jobs, which are staged or persisted: each table reads them."""
     tables = build_dimensions(jobs, runners)
     keyed = dims.with_runner_key(jobs, tables["dim_runner"])
     return tables, facts.build_fact_job(
-        keyed, existing_fact, job_url_prefix=job_url_prefix
+        keyed, existing_fact, job_url_prefix=job_url_prefix, kept=True
     )

@@ -455,6 +455,9 @@ def _counts(tables):
 def write_warehouse(spark, sf):
     path = scratch_path(spark, "warehouse")
     tables, rows = _warehouse(spark, sf)
+    # Both runs are given the same rows, so those are computed once.
+    tables = {n: stage(df, n) for n, df in tables.items()}
+    rows = {n: stage(df, n) for n, df in rows.items()}
     # Written twice: the second run finds every row and adds none.
     for _ in range(2):
         writers.write_warehouse(tables, rows, path)
