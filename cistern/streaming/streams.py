@@ -41,7 +41,8 @@ def stream_jobs(
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         # Finished builds first: a build also sends events of its earlier states.
-        finished = one_per(warehouse.flatten_events(df), ["build_id"])
+        # Kept, since they are counted before they are joined.
+        finished = one_per(warehouse.flatten_events(df), ["build_id"]).persist()
         enriched = enrich(finished)
         jobs, rejected = enriched if isinstance(enriched, tuple) else (enriched, None)
         if rejected is not None and rejects:
@@ -54,6 +55,7 @@ def stream_jobs(
             writers.write_warehouse(tables, {"fact_job": fact}, out)
         finally:
             jobs.unpersist()
+            finished.unpersist()
 
     return (
         events.writeStream.foreachBatch(batch)
@@ -81,12 +83,13 @@ def stream_timings(
         if batch_id and waiting is None:
             raise RuntimeError(f"the pending timings of batch {batch_id - 1} are missing in {path}")
         rows = (df if waiting is None else df.unionByName(waiting)).persist()
+        chosen = None
         try:
-            chosen = _stored_timings(rows, nodes, warehouse_path)
-            if chosen is None:
+            found = _stored_timings(rows, nodes, warehouse_path)
+            if found is None:
                 rest = rows
             else:
-                chosen, rest = chosen
+                chosen, rest = found
                 names = writers.read_table(spark, warehouse_path, "dim_package").select("name").distinct()
                 specs = writers.read_table(spark, warehouse_path, "dim_package_spec")
                 writers.write_warehouse(
@@ -100,6 +103,8 @@ def stream_timings(
             rest.select(*df.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
             writers.remove(spark, f"{path}/batch={batch_id - 2}")
         finally:
+            if chosen is not None:
+                chosen.unpersist()
             rows.unpersist()
 
     return (
@@ -113,7 +118,7 @@ def stream_timings(
 def _stored_timings(
     rows: DataFrame, nodes: DataFrame | None, warehouse_path: str
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Timings to store and those that wait; None before there is a warehouse."""
+    """Timings to store, persisted as five tables read them, and those that wait; None before there is a warehouse."""
     spark = rows.sparkSession
     fact = writers.read_table(spark, warehouse_path, "fact_job")
     result = writers.read_table(spark, warehouse_path, "dim_job_result")
@@ -138,7 +143,7 @@ def _stored_timings(
     jobs = known.join(
         result.select("job_result_id", "status", "job_type").distinct(), "job_result_id"
     )
-    chosen = facts.select_timings(rows, jobs)
+    chosen = facts.select_timings(rows, jobs).persist()
     no_job = rows.join(jobs.select("job_id"), "job_id", "left_anti")
     no_package = chosen.join(
         packages.select(F.col("name")).distinct(), "name", "left_anti"
