@@ -43,18 +43,20 @@ def stream_jobs(
         # Finished builds first: a build also sends events of its earlier states.
         # Kept, since they are counted before they are joined.
         finished = one_per(warehouse.flatten_events(df), ["build_id"]).persist()
-        enriched = enrich(finished)
-        jobs, rejected = enriched if isinstance(enriched, tuple) else (enriched, None)
-        if rejected is not None and rejects:
-            rejected.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        jobs = jobs.persist()
         try:
-            tables, fact = warehouse.build_warehouse(
-                jobs, runners, job_url_prefix=job_url_prefix
-            )
-            writers.write_warehouse(tables, {"fact_job": fact}, out)
+            enriched = enrich(finished)
+            jobs, rejected = enriched if isinstance(enriched, tuple) else (enriched, None)
+            if rejected is not None and rejects:
+                rejected.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+            jobs = jobs.persist()
+            try:
+                tables, fact = warehouse.build_warehouse(
+                    jobs, runners, job_url_prefix=job_url_prefix
+                )
+                writers.write_warehouse(tables, {"fact_job": fact}, out)
+            finally:
+                jobs.unpersist()
         finally:
-            jobs.unpersist()
             finished.unpersist()
 
     return (
