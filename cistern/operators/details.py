@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.scratch import stage
+from ..sources.scratch import discard, stage
 from . import facts, metrics
 
 #: Columns of a record, in the names that warehouse.enrich_jobs reads.
@@ -39,7 +39,8 @@ def job_details(
     `facts.job_info_cascade` has it.
 
     Every source sends its own columns tagged by the job, and one aggregate by job puts the record
-    together; sources aren't joined to each other.
+    together; sources aren't joined to each other. The records are written once, for both results, and
+    what was written for them before is deleted then.
     """
     windows = jobs.select(F.col("job_id").alias("window_id"), "is_build", "start_ts", "end_ts")
     notes = metrics.select_series(samples, "kube_pod_annotations")
@@ -49,7 +50,7 @@ def job_details(
             windows.withColumn("job", F.col("window_id").cast("string")), "job",
             ["kube_pod_annotations"],
         ),
-        10, lookback, width,
+        10, lookback, width, ["pod"],
     )
     # What several lookups read is written once: a row for each job.
     pods = by_job.where("problem IS NULL").select(
@@ -74,6 +75,7 @@ def job_details(
         metrics.one_series(
             samples.withColumn("key", metrics.label("pod")),
             metrics.questions(asked, "pod", list(metrics.POD_QUESTIONS)), 10, lookback, width,
+            metrics.POD_NAMES,
         ),
         metrics.POD_QUESTIONS,
     )
@@ -121,6 +123,8 @@ def job_details(
     whole = tagged.groupBy("job").agg(
         *[F.max(c).alias(c) for c in values], F.min("trouble").alias("trouble")
     ).where("job_id IS NOT NULL")
+    whole = stage(whole, "details")
+    discard(pods, nodes, priced, tags)
 
     measured = [F.col(c).isNotNull() for c in ("node_name", "pod_cpu_usage_seconds", "pod_node_occupancy")]
     known = measured[0] & measured[1] & measured[2]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.columns import as_column
 from ..operators import details, metrics
-from ..sources.scratch import stage
+from ..sources.scratch import discard, stage
 from .bindings import bind
 from .registry import query
 
@@ -283,6 +283,7 @@ def job_details(spark, sf):
     )
     samples = stage(metric_samples(spark, sf), "samples")
     records, rejects = details.job_details(samples, jobs.drop("pod", "ref"), artifacts)
+    discard(samples)
 
     def whole(c, scale=10_000):
         return F.floor(F.col(c) * scale + AT).cast("bigint")
