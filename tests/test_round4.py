@@ -2,12 +2,16 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_golden import samples, windows
 from test_windows import SAMPLE, WINDOWS, job_scrapes, node_scrapes, place, scrapes
 
 from cistern.functions import fixed
 from cistern.operators import details, metrics
+from cistern.operators import runs as vectors
+from cistern.plans import q_metrics
 
 
 def plan(df):
@@ -63,3 +67,65 @@ def test_records_are_written_once_and_nothing_else_is_left(spark, tmp_path):
     assert [(r["job_id"], r["node_name"], r["pod_node_occupancy"]) for r in records.collect()] == [(1, "a", 0.5)]
     assert [(r["key"], r["reason"]) for r in rejects.collect()] == [("3", "no artifacts")]
     assert [df._scratch is not None for df in made] == [False] * (len(made) - 1) + [True]
+
+
+NODED = "metric STRING, labels MAP<STRING, STRING>, ts DOUBLE, value DOUBLE, node STRING"
+
+
+def draws(spark, seed):
+    draw = random.Random(seed)
+    at = lambda far: draw.randrange(0, far, 5) + draw.choice((0, 0, 0.1, 1 / 3))
+    rows = [("cpu", {"pod": f"p{draw.randrange(6)}"}, at(4000), draw.choice((None, 1.5, 2.0)), draw.choice(("m", "n", "n", None))) for _ in range(400)]
+    asked = [(i % 50, draw.choice(("m", "n", "o", None)), a, a + draw.choice((0, 7, 90.5, 800, 2500, -20))) for i, a in enumerate(at(5000) for _ in range(60))]
+    asked += [(None, "n", 100.0, 900.0), (None, "n", 100.0, 900.0), (99, "n", None, 9.0), (98, "n", 9.0, None)]
+    window = "window_id INT, node STRING, start_ts DOUBLE, end_ts DOUBLE"
+    asked = [(w, n, a if a is None else float(a), b if b is None else float(b)) for w, n, a, b in asked]
+    return spark.createDataFrame([(m, k, float(t), v, n) for m, k, t, v, n in rows], NODED), spark.createDataFrame(asked, window)
+
+
+@pytest.mark.parametrize("lookback, width", [(60, 500), (900, 333), (900, 100_000)])
+def test_rows_by_window_are_the_runs(spark, lookback, width):
+    given = *draws(spark, lookback + width), "node"
+    want = metrics.range_sample(*given, parts=10, lookback=lookback, width=width, runs=True)
+    read = metrics.range_sample(*given, parts=10, lookback=lookback, width=width, by_window=True)
+    each = read.select("window_id", "node", "start_ts", "step", "series", F.inline("runs").alias("place", "first", "last", "value"))
+    at = lambda k: F.col("start_ts") + F.col(k) * F.col("step")
+    each = each.select("window_id", "node", F.get("series", F.col("place")).alias("series"), "step", at("first").alias("ts"), "value",
+                       at("last").alias("last_ts"), (F.col("last") - F.col("first") + 1).alias("points"))
+    rows = lambda df: sorted((tuple(r) for r in df.select(*each.columns).collect()), key=repr)
+    assert want.count() > 100 and rows(each) == rows(want)
+    assert all(len(set(r["series"])) == len(r["series"]) == len({x["series"] for x in r["runs"]}) for r in read.collect())
+
+
+def test_totals_of_ids_that_repeat(spark):
+    given = *draws(spark, 8), "node"
+    runs = metrics.range_sample(*given, parts=10, lookback=300, width=500, runs=True)
+    want = runs.groupBy("window_id").agg(
+        F.sum("points"), F.count_distinct("series"), F.round(F.sum(F.col("value") * F.col("points")), 2),
+        F.round(F.min("ts"), 3), F.round(F.max("last_ts"), 3))
+    read = metrics.range_sample(*given, parts=10, lookback=300, width=500, by_window=True)
+    repeated = given[1].groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = q_metrics.totals(read, repeated)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert repeated.count() > 5 and rows(got) == rows(want)
+
+
+def test_runs_do_not_depend_on_batches(monkeypatch):
+    draw = random.Random(4)
+    names = ["node", "_group", "is_window", "window_id", "series", "at", "until", "closed", "value"]
+    rows = []
+    for node, group in (("a", 0), ("a", 1), ("b", 1)):
+        spans = [(float(t), float(t + draw.randrange(1, 60))) for t in draw.sample(range(600), 80)]
+        rows += [(node, group, False, None, f"s{draw.randrange(9)}", a, b, draw.random() < 0.5, a) for a, b in spans]
+        rows += [(node, group, True, i, None, float(t), float(t + 150), None, None) for i, t in enumerate(range(0, 700, 20))]
+    rows.insert(0, ("0", 0, True, 7, None, 0.0, 9.0, None, None))  # a group without spans
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([
+        ("node", pa.string()), ("_group", pa.int64()), ("is_window", pa.bool_()), ("window_id", pa.int64()), ("series", pa.string()),
+        ("at", pa.float64()), ("until", pa.float64()), ("closed", pa.bool_()), ("value", pa.float64())]))
+    read = lambda batches: [r for b in vectors.reader("node", 10)(batches) for r in b.to_pylist()]
+    want = read([whole])
+    assert len(want) > 60 and {r["node"] for r in want} == {"a", "b"}
+    for pairs, cells, size in ((1, 1 << 20, 1000), (40, 1 << 20, 7), (1 << 18, 20, 1)):
+        monkeypatch.setattr(vectors, "PAIRS", pairs)
+        monkeypatch.setattr(vectors, "CELLS", cells)
+        assert read([whole.slice(i, size) for i in range(0, len(rows), size)]) == want
