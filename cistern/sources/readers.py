@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed
+from . import documents
 
 
 #: Rows that a task which parses files holds before it hands them on.
@@ -57,12 +58,17 @@ def read_ci_tables(
 def read_job_traces(spark: SparkSession, path: str, job_id: str = FILE_STEM) -> DataFrame:
     """One row per `<job_id>.log`, the whole text in it; job_id is the pattern of its path.
 
-    path: a folder, whose folders are listed by tasks, or a pattern, which the driver expands.
+    path: a folder, which tasks list and read where it is mounted on every machine, so that the driver
+    holds no names; or a pattern or a folder of another store, whose files Spark lists in the driver.
     """
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return text.select(
-        from_path(job_id).try_cast("bigint").alias("job_id"), F.col("value").alias("trace")
-    )
+    folder = documents.plain_folder(spark, path)
+    if folder is None:
+        text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        name, trace = from_path(job_id), F.col("value")
+    else:
+        text = documents.read_files(spark, folder)
+        name, trace = F.regexp_extract("path", job_id, 1), F.col("text").cast("string")
+    return text.select(name.try_cast("bigint").alias("job_id"), trace.alias("trace"))
 
 
 def normalize_missing_logs(df: DataFrame) -> DataFrame:

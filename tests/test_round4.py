@@ -1,5 +1,7 @@
 """Details of jobs that cross few shuffles, files that only tasks list, timings that are kept once, runs that are read without pairs of rows."""
 
+import bz2
+import gzip
 import random
 
 import pyarrow as pa
@@ -12,6 +14,7 @@ from cistern.functions import fixed
 from cistern.operators import details, metrics
 from cistern.operators import runs as vectors
 from cistern.plans import q_metrics
+from cistern.sources import readers
 
 
 def plan(df):
@@ -129,3 +132,30 @@ def test_runs_do_not_depend_on_batches(monkeypatch):
         monkeypatch.setattr(vectors, "PAIRS", pairs)
         monkeypatch.setattr(vectors, "CELLS", cells)
         assert read([whole.slice(i, size) for i in range(0, len(rows), size)]) == want
+
+
+def test_traces_are_listed_and_read_by_tasks_as_spark_reads_them(spark, tmp_path):
+    top = tmp_path / "a b%c+\u00e9"
+    files = {
+        "1.log": b"one\ntwo", "job=2/part-0.txt": b"\xff\xfe bad \xc3", "job=3/_x/9.log": b"no", "job=4/_k=v/10.log": "d\u00e9j\u00e0\r\n".encode(),
+        "job=5/.hid": b"no", "_SUCCESS": b"no", "x/y/z/11.log": b"\0deep", "x/12.log": b"", "13.log._COPYING_": b"no", "13.log": b"",
+        "x/14.log.gz": gzip.compress(b"packed") + gzip.compress(b" twice"), "15.bz2": bz2.compress(b"more"), "q?[1]#/16.log": b"odd", "_metadata": b"meta",
+        "big.log": b"x" * 9_000_000,
+    }
+    for name, content in files.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    (tmp_path / "empty").mkdir()
+    for job_id in (readers.FILE_STEM, r"job=([0-9]+)/", r"b%25c(.)"):
+        text = spark.read.text(str(top), wholetext=True, recursiveFileLookup=True)
+        want = text.select(readers.from_path(job_id).try_cast("bigint").alias("job_id"), F.col("value").alias("trace"))
+        for path in (f"{top}", f"{top}/", f"file:{top}"):
+            got = readers.read_job_traces(spark, path, job_id)
+            assert got.schema == want.schema
+            rows = lambda df: sorted((r.job_id or 0, r.h, r.m, r.n) for r in df.select(
+                "job_id", F.substring(F.hex("trace"), 1, 50).alias("h"), F.md5("trace").alias("m"), F.length("trace").alias("n")).collect())
+            assert len(rows(got)) == 8 and rows(got) == rows(want)
+    # No index of files is held by the driver: the plan scans none.
+    assert got.inputFiles() == [] and "Scan text" not in plan(got)
+    assert readers.read_job_traces(spark, f"{tmp_path}/empty").count() == 0
+    assert [r.trace for r in readers.read_job_traces(spark, f"{tmp_path}/a*/j*/*.txt", r"job=([0-9]+)/").collect()]
