@@ -297,19 +297,26 @@ def generated_timestamps(
     return started.withColumn("finished_at", F.col("started_at") + length)
 
 
-def select_timings(timings: DataFrame, jobs: DataFrame) -> DataFrame:
+def select_timings(timings: DataFrame, jobs: DataFrame, unknown: bool = False) -> DataFrame:
     """Timings of successful builds that came from cache or belong to the package being built.
 
-    jobs: job_id, status, job_type, spec_hash, start_date_key, start_time_key
+    jobs: job_id, status, job_type, spec_hash, start_date_key, start_time_key. unknown: timings of jobs
+    that aren't there are given as well, by the same join; `known` tells the two kinds apart.
     """
-    builds = jobs.where("job_type = 'build' AND status = 'success'").select(
+    own = jobs.select(
         "job_id",
         F.col("spec_hash").alias("own_hash"),
         F.col("start_date_key").alias("date_key"),
         F.col("start_time_key").alias("time_key"),
+        F.expr("job_type = 'build' AND status = 'success'").alias("_counts"),
+        F.lit(True).alias("known"),
     )
-    joined = timings.join(builds, "job_id")
-    return joined.where("cache OR hash = own_hash").drop("own_hash")
+    ours = F.col("_counts") & F.expr("cache OR hash = own_hash")
+    if unknown:
+        joined = timings.join(own, "job_id", "left").withColumn("known", F.col("known").isNotNull())
+        return joined.where(~F.col("known") | ours).drop("own_hash", "_counts")
+    joined = timings.join(own.where("_counts"), "job_id")
+    return joined.where(ours).drop("own_hash", "_counts", "known")
 
 
 def build_fact_timer(

@@ -103,8 +103,9 @@ def event_rows(spark, sf):
 
 
 def write_events(spark, sf) -> str:
+    """Packed files, of so many events that they are read by many tasks."""
     path = scratch_path(spark, "events")
-    event_rows(spark, sf).write.json(path)
+    event_rows(spark, sf).write.option("maxRecordsPerFile", 200_000).json(path, compression="gzip")
     return path
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import warehouse
 from ..sources import writers
-from ..sources.scratch import scratch_path, stage
+from ..sources.scratch import DENSE, discard, scratch_path, stage
 from ..streaming import alerts, streams
 from .bindings import bind
 from .common import (
@@ -37,12 +37,14 @@ def _run_jobs(spark, sf) -> str:
         info = info_rows(spark, sf)
         return warehouse.enrich_jobs(jobs, traces, retry, codes, info)[0]
 
-    source = streams.event_stream(spark, write_events(spark, sf))
+    events = write_events(spark, sf)
     run = streams.stream_jobs(
-        source, out, scratch_path(spark, "ckpt"), enrich, runner_rows(spark, sf),
+        streams.event_stream(spark, events), out, scratch_path(spark, "ckpt"), enrich, runner_rows(spark, sf),
         job_url_prefix=JOB_URL_PREFIX,
     )
     run.awaitTermination()
+    discard(retry)
+    writers.remove(spark, events)
     return out
 
 
@@ -85,11 +87,12 @@ STREAM_TIMINGS_SQL = ENRICHED_SQL + """, bj as (select job_id, i_package_hash as
 )
 def stream_timings(spark, sf):
     out = _run_jobs(spark, sf)
-    rows = stage(timing_rows(spark, sf), "timings")
+    rows = stage(timing_rows(spark, sf), "timings", DENSE)
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
     source = spark.readStream.schema(rows.schema).parquet(path)
     run = streams.stream_timings(source, out, scratch_path(spark, "ckpt"))
     run.awaitTermination()
+    discard(rows)
     timer = writers.read_table(spark, out, "fact_timer")
     phase = writers.read_table(spark, out, "fact_timer_phase")
     day = F.col("date_key").cast("string").alias("date_key")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..functions.columns import is_true, one_per
 from ..operators import dims, facts, logs, metrics, rolling, warehouse
-from ..sources import writers
+from ..sources import scratch, writers
 
 Trigger = dict
 ONCE: Trigger = {"availableNow": True}
@@ -77,6 +77,9 @@ def stream_timings(
     node) enter as packages and specs before timings are looked up, so that dependencies which no
     job has built are known. Rows whose job, package or spec isn't stored yet wait in
     `pending_timings`, one folder for each batch, and are tried again with the next batch.
+
+    The timings of a batch are read twice, first only the ids of their jobs, and meet the jobs in one
+    join; what comes of it is written once, and all else is made from that.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
@@ -84,8 +87,8 @@ def stream_timings(
         waiting = writers.read_table(spark, path, f"batch={batch_id - 1}") if batch_id else None
         if batch_id and waiting is None:
             raise RuntimeError(f"the pending timings of batch {batch_id - 1} are missing in {path}")
-        rows = (df if waiting is None else df.unionByName(waiting)).persist()
-        chosen = None
+        rows = df if waiting is None else df.unionByName(waiting)
+        chosen = rest = None
         try:
             found = _stored_timings(rows, nodes, warehouse_path)
             if found is None:
@@ -102,12 +105,14 @@ def stream_timings(
                     },
                     warehouse_path,
                 )
-            rest.select(*df.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            rest.select(*df.columns).write.mode("overwrite").parquet(
+                f"{path}/batch={batch_id}", compression=scratch.DENSE
+            )
             writers.remove(spark, f"{path}/batch={batch_id - 2}")
         finally:
             if chosen is not None:
                 chosen.unpersist()
-            rows.unpersist()
+                scratch.discard(rest)
 
     return (
         timings.writeStream.foreachBatch(batch)
@@ -120,7 +125,10 @@ def stream_timings(
 def _stored_timings(
     rows: DataFrame, nodes: DataFrame | None, warehouse_path: str
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Timings to store, persisted as five tables read them, and those that wait; None before there is a warehouse."""
+    """Timings to store, persisted as five tables read them, and those that wait; None before there is a warehouse.
+
+    Both are read from what was written of their join with the jobs, which `scratch.discard` of the second deletes.
+    """
     spark = rows.sparkSession
     fact = writers.read_table(spark, warehouse_path, "fact_job")
     result = writers.read_table(spark, warehouse_path, "dim_job_result")
@@ -145,15 +153,18 @@ def _stored_timings(
     jobs = known.join(
         result.select("job_result_id", "status", "job_type").distinct(), "job_result_id"
     )
-    chosen = facts.select_timings(rows, jobs).persist()
-    no_job = rows.join(jobs.select("job_id"), "job_id", "left_anti")
+    judged = scratch.stage(facts.select_timings(rows, jobs, unknown=True), "timings", scratch.DENSE)
+    chosen = judged.where("known").drop("known").persist()
+    no_job = judged.where("NOT known").select(*rows.columns)
     no_package = chosen.join(
         packages.select(F.col("name")).distinct(), "name", "left_anti"
     ).select(*rows.columns)
     no_spec = chosen.join(packages.select("name").distinct(), "name", "left_semi").join(
         specs.select("hash").distinct(), "hash", "left_anti"
     ).select(*rows.columns)
-    return chosen, no_job.unionByName(no_package).unionByName(no_spec)
+    rest = no_job.unionByName(no_package).unionByName(no_spec)
+    rest._scratch = judged._scratch
+    return chosen, rest
 
 
 def stream_job_logs(

@@ -2,19 +2,22 @@
 
 import bz2
 import gzip
+import os
 import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_golden import samples, windows
+from test_streams import TIMING, stored
 from test_windows import SAMPLE, WINDOWS, job_scrapes, node_scrapes, place, scrapes
 
 from cistern.functions import fixed
-from cistern.operators import details, metrics
+from cistern.operators import details, facts, metrics
 from cistern.operators import runs as vectors
-from cistern.plans import q_metrics
-from cistern.sources import readers
+from cistern.plans import q_metrics, q_sources
+from cistern.sources import readers, scratch
+from cistern.streaming import streams
 
 
 def plan(df):
@@ -159,3 +162,44 @@ def test_traces_are_listed_and_read_by_tasks_as_spark_reads_them(spark, tmp_path
     assert got.inputFiles() == [] and "Scan text" not in plan(got)
     assert readers.read_job_traces(spark, f"{tmp_path}/empty").count() == 0
     assert [r.trace for r in readers.read_job_traces(spark, f"{tmp_path}/a*/j*/*.txt", r"job=([0-9]+)/").collect()]
+
+
+def test_timings_meet_their_jobs_in_one_join(spark):
+    jobs = spark.createDataFrame(
+        [(1, "success", "build", "h", "20240101", "010203"), (2, "failed", "build", "h", "20240101", "010203"), (3, "success", None, "h", "20240101", "1"),
+         (4, "success", "build", None, "20240102", "1"), (5, "success", "build", "h", "20240101", "1"), (None, "success", "build", "h", "20240101", "1")],
+        "job_id LONG, status STRING, job_type STRING, spec_hash STRING, start_date_key STRING, start_time_key STRING")
+    rows = [(j, "p", h, c, 1.0, [("build", 1.0)]) for j in (1, 2, 3, 4, 5, 9, None) for h in ("h", "g", None) for c in (True, False, None)]
+    timings = spark.createDataFrame(rows + rows[:9], TIMING)
+    both = facts.select_timings(timings, jobs, unknown=True)
+    listed = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    chosen = facts.select_timings(timings, jobs)
+    assert listed(both.where("known").drop("known")) == listed(chosen) and chosen.columns == [*timings.columns, "date_key", "time_key"]
+    rest = both.where("NOT known").select(*timings.columns)
+    assert listed(rest) == listed(timings.join(jobs, "job_id", "left_anti")) and rest.count() == 18
+    want = [r for r in rows + rows[:9] if r[0] in (1, 4, 5) and (r[3] or (r[0] != 4 and r[2] == "h"))]
+    assert sorted((r[:4] for r in listed(chosen)), key=repr) == sorted((r[:4] for r in want), key=repr)
+
+
+def test_waiting_timings_are_read_from_what_was_written(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    stored(spark, path)
+    rows = [(1, "p", "own", False, 4.0, [("build", 3.0)]), (1, "zz", "own", True, 4.0, []), (9, "p", "own", True, 1.0, [])]
+    chosen, rest = streams._stored_timings(spark.createDataFrame(rows, TIMING), None, path)
+    try:
+        assert sorted((r["job_id"], r["name"]) for r in rest.collect()) == [(1, "zz"), (9, "p")]
+        assert "(job_id" not in plan(rest)  # the timings met their jobs before
+        written = rest._scratch
+        assert os.path.isdir(written)
+        scratch.discard(rest)
+        assert not os.path.exists(written)
+    finally:
+        chosen.unpersist()
+
+
+def test_events_are_packed_files(spark):
+    path = q_sources.write_events(spark, "/root/testdata/sf0.001")
+    assert all(f.endswith(".json.gz") for f in os.listdir(path) if f.startswith("part"))
+    want = q_sources.event_rows(spark, "/root/testdata/sf0.001")
+    got = readers.read_job_events(spark, path)
+    assert got.count() == want.count() and got.agg(F.sum("build_id")).first() == want.agg(F.sum("build_id")).first()
