@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.columns import as_column
 from ..operators import details, metrics
-from ..sources.scratch import discard, stage
+from ..sources.scratch import DENSE, discard, stage
 from .bindings import bind
 from .registry import query
 
@@ -281,7 +281,7 @@ def job_details(spark, sf):
         *[F.lit(v).alias(c) for c, v in given.items() if c != "build_jobs"],
         F.lit(3).alias("build_jobs"),
     )
-    samples = stage(metric_samples(spark, sf), "samples")
+    samples = stage(metric_samples(spark, sf), "samples", DENSE)
     records, rejects = details.job_details(samples, jobs.drop("pod", "ref"), artifacts)
     discard(samples)
 
